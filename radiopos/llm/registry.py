@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing
 
 QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_mixing": mixing.op7_mixing,
 }
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
