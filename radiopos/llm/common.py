@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -38,14 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def running_start(df: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
+def running_start(df: DataFrame, key: str, order: str, value: str, out: str, rows: int) -> DataFrame:
     """Adds out: the sum of value over the rows of the same key that come before, in a hashed order of `order`.
 
-    A key with n rows is cut into about sqrt(n) chunks of about sqrt(n) rows, so neither the window within a
-    chunk nor the one over the chunks' sums gathers a whole key in one task. key must not be null.
+    `rows` is the number of rows (or near it). Each key is cut into about sqrt(rows) chunks, so a key that holds
+    a third of all rows has chunks of about sqrt(rows) / 3 rows, and neither the window within a chunk nor the
+    one over a key's chunk sums gathers a whole key in one task. key must not be null.
     """
-    counts = df.groupBy(key).agg(F.ceil(F.sqrt(F.count(F.lit(1)))).cast("long").alias("_chunks"))
-    cut = df.join(counts, key).withColumn("_chunk", F.pmod(F.xxhash64(order), "_chunks"))
+    cut = df.withColumn("_chunk", F.pmod(F.xxhash64(order), F.lit(math.isqrt(rows) + 1)))
     sums = cut.groupBy(key, "_chunk").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(key, "_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).cast("long").alias("_base"))
@@ -54,5 +55,5 @@ def running_start(df: DataFrame, key: str, order: str, value: str, out: str) ->
         cut.withColumn("_inner", F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .join(sums, [key, "_chunk"])
         .withColumn(out, (F.col("_base") + F.col("_inner")).cast("long"))
-        .drop("_chunks", "_chunk", "_base", "_inner")
+        .drop("_chunk", "_base", "_inner")
     )

@@ -13,7 +13,7 @@
 5. Slots join blocks by (source, block index); adding up the words per document gives what the mix takes of it.
 
 All randomness is hashed from `seed`, so reruns agree. Only per-source and per-shard sums are windowed whole;
-a hot source's documents are summed in about sqrt(n) chunks of sqrt(n) rows.
+a hot source's documents are summed in about sqrt(n) chunks.
 
 Cases: null or empty texts have size 0 and nothing is taken of them; a null source is a source of its own;
 repeated rows are documents of their own; sources without words get target 0; an empty table gives no rows.
@@ -34,6 +34,8 @@ MAX_PASSES = 3
 WEIGHTS = (5, 2, 1)
 SEED = 7
 _ROUNDS = 12
+#: A few thousand counts become this many slots; their tasks are dealt by slots, not by bytes.
+_SLOTS_PER_TASK = 200_000
 
 
 class Plan(NamedTuple):
@@ -62,14 +64,14 @@ def source_targets(rows: DataFrame, block_words: int, max_passes: int) -> DataFr
     return s.withColumn("slots", slots).select("sid", "source", "source_size", "weight", "target", "blocks", "slots")
 
 
-def shard_counts(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
-    """(shard, sid, c): how many of a shard's slots each source fills."""
+def shard_counts(sources: DataFrame, shard_slots: int, seed: int) -> tuple[DataFrame, int]:
+    """(shard, sid, c): how many of a shard's slots each source fills; and the number of slots."""
     spark = sources.sparkSession
     some = sources.filter("slots > 0")
     n_sources, expected = some.agg(F.count(F.lit(1)), F.sum("slots")).first()
     n_slots = round(expected or 0)
     if not n_slots:
-        return spark.createDataFrame([], "shard long, sid int, c long")
+        return spark.createDataFrame([], "shard long, sid int, c long"), 0
     shards = -(-n_slots // shard_slots)
     # every shard is alike but the last, which may be shorter
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.lit(float(shard_slots)).alias("m")), F.struct(F.lit(1).alias("kind"), F.lit(float(n_slots - (shards - 1) * shard_slots)).alias("m")))
@@ -92,7 +94,7 @@ def shard_counts(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     # an interval is shorter than one cell, so it touches two at most
     cells = share.filter("hi > lo").select("kind", "sid", "lo", "hi", F.explode(F.sequence(F.floor("lo"), F.floor("hi"))).alias("cell"))
     drawn_counts = draws.join(cells, ["kind", "cell"]).filter("u >= lo AND u < hi").select("shard", "sid", F.lit(1).cast("long").alias("c"))
-    return sure.union(drawn_counts).groupBy("shard", "sid").agg(F.sum("c").alias("c")).filter("c > 0")
+    return sure.union(drawn_counts).groupBy("shard", "sid").agg(F.sum("c").alias("c")).filter("c > 0"), n_slots
 
 
 def permuted(index: str, size: str, keys: str) -> F.Column:
@@ -108,11 +110,13 @@ def plan(rows: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHA
     sources = common.stage(source_targets(rows, block_words, max_passes), "mix-sources")
     s = sources.select("sid", F.col("source").alias("_source"))
     known = rows.join(s, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    documents = common.stage(common.running_start(known, "sid", "doc_id", "size", "start"), "mix-documents")
+    documents = common.stage(common.running_start(known, "sid", "doc_id", "size", "start", rows.count()), "mix-documents")
     first, last = f"start div {block_words}", f"(start + size - 1) div {block_words}"
     cut = documents.filter("size > 0").select("sid", "start", "size", F.explode(F.expr(f"sequence({first}, {last})")).alias("block"))
     segments = cut.select("sid", "start", "block", F.expr(f"greatest(block * {block_words} - start, 0)").alias("at"), F.expr(f"least((block + 1) * {block_words}, start + size) - greatest(block * {block_words}, start)").alias("n"))
-    counts = common.running_start(shard_counts(sources, shard_slots, seed), "sid", "shard", "c", "first")
+    counts, n_slots = shard_counts(sources, shard_slots, seed)
+    counts = common.running_start(counts, "sid", "shard", "c", "first", n_slots // shard_slots + 1)
+    counts = counts.repartition(n_slots // _SLOTS_PER_TASK + 1, "shard", "sid")
     slots = counts.select("shard", "sid", F.explode(F.expr("sequence(first, first + c - 1)")).alias("slot")).join(sources.select("sid", "blocks"), "sid")
     slots = slots.filter(F.col("slot") < max_passes * F.col("blocks")).withColumn("pass", F.expr("slot div blocks")).withColumn("at", F.expr("slot % blocks"))
     slots = slots.withColumn("block", permuted("at", "blocks", f"{seed}, sid, pass")).select("shard", "sid", "slot", "pass", "block")
