@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, toxicity
+from . import exact_dedup, mixing, quality, simhash, toxicity
 
 QUERIES = {
+    "op3_simhash": simhash.op3_simhash,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op9_toxicity": toxicity.op9_toxicity,
