@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, simhash, toxicity
+from . import exact_dedup, mixing, pii, quality, simhash, toxicity
 
 QUERIES = {
     "op3_simhash": simhash.op3_simhash,
+    "op5_pii": pii.op5_pii,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op9_toxicity": toxicity.op9_toxicity,
