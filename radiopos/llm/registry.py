@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pii, quality, simhash, toxicity
+from . import exact_dedup, mixing, pii, quality, simhash, topk, toxicity
 
 QUERIES = {
+    "op1_topk": topk.op1_topk,
     "op3_simhash": simhash.op3_simhash,
     "op5_pii": pii.op5_pii,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
@@ -13,5 +14,6 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
 }
 ORACLES = {
+    "op1_topk": topk.ORACLE_SQL,
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
 }
