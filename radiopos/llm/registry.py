@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pii, quality, simhash, topk, toxicity
+from . import exact_dedup, mixing, pieces, pii, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op3_simhash": simhash.op3_simhash,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_pii": pii.op5_pii,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_mixing": mixing.op7_mixing,
