@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html, mixing, pieces, pii, quality, simhash, topk, toxicity
+from . import exact_dedup, html, mixing, passages, pieces, pii, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
+    "op2_passages": passages.op2_passages,
     "op3_simhash": simhash.op3_simhash,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_pii": pii.op5_pii,
