@@ -32,17 +32,55 @@ from . import common, labelled
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Positions between two looks for a common boundary; entries and length of cached words.
-_LOOK, _CACHE, _CACHED = 64, 200_000, 48
+_LOOK, _CACHE, _CACHED = 64, 300_000, 48
 _CHUNK = re.compile(r" +[^ ]*|[^ ]+")
 
 
+#: Codecs of this process by content: tasks that follow each other in a worker share words already found.
+_LIVE: dict = {}
+
+
+def _revived(key: int, *state) -> Codec:
+    if key not in _LIVE:
+        _LIVE.clear()
+        _LIVE[key] = Codec(*state)
+    return _LIVE[key]
+
+
+class _Words(dict):
+    """Ids (int32 bytes) of words, found on first use. Two generations of _CACHE words each bound it: when the young
+    one is full it becomes the old one, and words still in use come back from there."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find, self.old = find, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.find(word)
+        if len(word) <= _CACHED:
+            if len(self) >= _CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Codec:
     """vocabulary: piece -> (id, score), spaces unescaped; bytes_of: id of each byte value."""
 
     def __init__(self, vocabulary: dict[str, tuple[int, float]], bytes_of: list[int], size: int):
         self.vocabulary, self.bytes_of, self.size = vocabulary, bytes_of, size
         self.longest = max(map(len, vocabulary), default=1)
-        self.starts = {p[:k] for p in vocabulary for k in range(1, len(p))}
+        # nodes by character: [next nodes, id or -1, score]
+        self.trie: dict = {}
+        for piece, (i, score) in vocabulary.items():
+            level, node = self.trie, None
+            for c in piece:
+                node = level.setdefault(c, [{}, -1, 0.0])
+                level = node[0]
+            node[1:] = i, score
         self.unknown = min((s for _, s in vocabulary.values()), default=0.0) - 10.0
         self.splits = not any(re.search("[^ ] ", p) for p in vocabulary)
         self.table = [b""] * size
@@ -50,13 +88,10 @@ class Codec:
             self.table[i] = piece.encode()
         for value, i in enumerate(bytes_of):
             self.table[i] = bytes([value])
-        self.cache: dict[str, array] = {}
+        self.words = _Words(lambda word: b"".join(part.tobytes() for part in self.viterbi(word)))
 
-    def __getstate__(self):
-        return self.vocabulary, self.bytes_of, self.size
-
-    def __setstate__(self, state):
-        self.__init__(*state)
+    def __reduce__(self):
+        return _revived, (hash((self.size, tuple(self.bytes_of), tuple(self.table))), self.vocabulary, self.bytes_of, self.size)
 
     @classmethod
     def load(cls, path: str = MODEL) -> Codec:
@@ -70,87 +105,73 @@ class Codec:
         return cls(vocabulary, [found[v] for v in range(256)], len(pieces))
 
     def viterbi(self, text: str) -> Iterator[array]:
-        """Ids of the text, in pieces, each as soon as it is final."""
-        n, base = len(text), 0
-        best: dict[int, float] = {0: 0.0}
-        back: dict[int, tuple[int, int]] = {}
+        """Ids of the text, in pieces, each as soon as it is final. The window's lists begin at position `base`."""
+        n, base, longest, trie, unknown = len(text), 0, self.longest, self.trie, self.unknown
+        none = float("-inf")
+        width = min(n, longest) + 1
+        best, back, ids = [none] * width, [0] * width, [-1] * width
+        best[0] = 0.0
         for at in range(n):
-            here = best.get(at)
-            if here is None:
-                continue
-            for end in range(at + 1, min(n, at + self.longest) + 1):
-                piece = text[at:end]
-                known = self.vocabulary.get(piece)
-                if known:
-                    score = here + known[1]
-                    if end not in best or score > best[end]:
-                        best[end], back[end] = score, (at, known[0])
-                elif end == at + 1:
-                    score = here + self.unknown
-                    if end not in best or score > best[end]:
-                        best[end], back[end] = score, (at, -1)
-                if piece not in self.starts:
-                    break
-            if at % _LOOK == _LOOK - 1:
-                live = {p for p in best if p > at}
-                front = set(live)
+            here = best[at - base]
+            if here > none:
+                level, end = trie, at - base
+                for c in text[at : at + longest]:
+                    node = level.get(c)
+                    end += 1
+                    if node is None:
+                        break
+                    if node[1] >= 0 and here + node[2] > best[end]:
+                        best[end], back[end], ids[end] = here + node[2], at, node[1]
+                    level = node[0]
+                first = trie.get(text[at])
+                if (first is None or first[1] < 0) and here + unknown > best[at - base + 1]:
+                    best[at - base + 1], back[at - base + 1], ids[at - base + 1] = here + unknown, at, -1
+            if len(best) < n - base + 1:
+                best.append(none)
+                back.append(0)
+                ids.append(-1)
+            if at % _LOOK == _LOOK - 1 and at + 1 < n:
+                front = {p for p in range(at + 1, min(n, at + longest) + 1) if best[p - base] > none}
                 while len(front) > 1:
                     last = max(front)
                     front.remove(last)
-                    front.add(back[last][0])
+                    front.add(back[last - base])
                 meet = front.pop()
                 if meet > base:
-                    yield self._walk(text, back, base, meet)
+                    yield self._walk(text, back, ids, base, meet)
+                    best, back, ids = best[meet - base :], back[meet - base :], ids[meet - base :]
                     base = meet
-                    best = {p: s for p, s in best.items() if p > at}
-                    back = {p: b for p, b in back.items() if p > base}
         if n > base:
-            yield self._walk(text, back, base, n)
+            yield self._walk(text, back, ids, base, n)
 
-    def _walk(self, text: str, back: dict[int, tuple[int, int]], base: int, end: int) -> array:
-        steps = []
-        while end > base:
-            start, i = back[end]
-            steps.append((start, end, i))
-            end = start
+    def _walk(self, text: str, back: list[int], ids: list[int], base: int, end: int) -> array:
         out = array("i")
-        for start, end, i in reversed(steps):
+        while end > base:
+            start, i = back[end - base], ids[end - base]
             if i >= 0:
                 out.append(i)
             else:
-                out.extend(self.bytes_of[b] for b in text[start:end].encode("utf-8", "replace"))
+                out.extend(self.bytes_of[b] for b in reversed(text[start:end].encode("utf-8", "replace")))
+            end = start
+        out.reverse()
         return out
 
-    def encode(self, text: str) -> array:
-        out = array("i")
+    def encode(self, text: str) -> np.ndarray:
         if not text:
-            return out
-        for chunk in _CHUNK.findall(" " + text) if self.splits else [" " + text]:
-            ids = self.cache.get(chunk)
-            if ids is None:
-                ids = array("i")
-                for part in self.viterbi(chunk):
-                    ids.extend(part)
-                if len(chunk) <= _CACHED:
-                    if len(self.cache) >= _CACHE:
-                        self.cache.clear()
-                    self.cache[chunk] = ids
-            out.extend(ids)
-        return out
+            return np.zeros(0, np.int32)
+        chunks = _CHUNK.findall(" " + text) if self.splits else [" " + text]
+        return np.frombuffer(b"".join(map(self.words.__getitem__, chunks)), np.int32)
 
     def decode(self, ids) -> str:
-        table, size = self.table, self.size
-        raw = b"".join([table[i] for i in ids if 0 <= i < size])
-        return raw.removeprefix(b" ").decode("utf-8", "replace")
+        ids = np.asarray(ids, np.int64)
+        inside = ids[(ids >= 0) & (ids < self.size)].tolist()
+        return b"".join(map(self.table.__getitem__, inside)).removeprefix(b" ").decode("utf-8", "replace")
 
 
-def _list(parts: list[array]) -> pa.ListArray:
+def _list(parts: list[np.ndarray]) -> pa.ListArray:
     offsets = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([len(p) for p in parts], out=offsets[1:])
-    flat = array("i")
-    for p in parts:
-        flat.extend(p)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
 
 
 def encode(docs: DataFrame, codec: Codec, check: bool = False) -> DataFrame:
@@ -175,7 +196,7 @@ def decode(rows: DataFrame, codec: Codec) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [codec.decode(i for i in ids or () if i is not None) for ids in b.column(1).to_pylist()]
+            texts = [codec.decode([i for i in ids or () if i is not None]) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "text": pa.array(texts, pa.string())})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
