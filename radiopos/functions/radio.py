@@ -62,7 +62,7 @@ def link_metrics(gain: Column, tx_dbm: Column | float = 0.0) -> dict[str, Column
 def path_loss(re: Column, im: Column, mean: float = 84.0, deviation: float = 14.0) -> Column:
     """Standardised loss of an array of complex path responses (two arrays): -10 log10 (sum |h|)^2, by variance."""
     total = F.aggregate(F.zip_with(re, im, lambda a, b: F.sqrt(a * a + b * b)), F.lit(0.0), lambda s, h: s + h)
-    return (-_db(F.pow(F.greatest(total, F.lit(1e-30)), 2)) - mean) / deviation**2
+    return (-_db(F.greatest(total * total, F.lit(LEAST_GAIN))) - mean) / deviation**2
 
 
 def standardised(value: Column, mean: float, scale: float, fill: float | None = None) -> Column:

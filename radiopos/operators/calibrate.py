@@ -90,19 +90,20 @@ def _beta(a: float, b: float, x: float) -> float:
     return front * value
 
 
-@F.pandas_udf("double")
-def _p_value(rho: pd.Series, n: pd.Series) -> pd.Series:
-    def one(r: float, k: int) -> float | None:
-        if r is None or r != r or k < 3:
-            return None
-        return 0.0 if abs(r) >= 1 else student_tail(r * math.sqrt((k - 2) / (1 - r * r)), k - 2)
-
-    return pd.Series([one(r, k) for r, k in zip(rho, n, strict=True)], dtype="float64")
+def p_value(rho: float | None, n: int) -> float | None:
+    if rho is None or rho != rho or n < 3:
+        return None
+    return 0.0 if abs(rho) >= 1 else student_tail(rho * math.sqrt((n - 2) / (1 - rho * rho)), n - 2)
 
 
 def with_p_value(correlations: DataFrame) -> DataFrame:
     """Adds the two-sided p-value; runs over aggregated rows only."""
-    return correlations.withColumn("p_value", _p_value("rho", "n"))
+
+    @F.pandas_udf("double")
+    def of(rho: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([p_value(r, k) for r, k in zip(rho, n, strict=True)], dtype="float64")
+
+    return correlations.withColumn("p_value", of("rho", "n"))
 
 
 def best_trial(trials: DataFrame) -> DataFrame:
