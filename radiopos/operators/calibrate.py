@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import radio
+from .numbering import dense
 
 
 def corrected(links: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -21,17 +22,8 @@ def corrected(links: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def appearance_index(rows: DataFrame, key: str, order: str, out: str) -> DataFrame:
-    """(key, first order value, dense number from 0) by first appearance. Ranks are taken inside range partitions and
-    shifted by the partitions' sizes, so no task sorts all keys."""
-    first = rows.groupBy(key).agg(F.min(order).alias("first_row"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = first.repartitionByRange(parts, "first_row").withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_part").orderBy("first_row")
-    numbered = ranged.join(offsets, "_part").withColumn(out, F.col("_offset") + F.row_number().over(inside) - 1)
-    return numbered.select(key, "first_row", out)
+    """(key, first order value, dense number from 0) by first appearance; order is a number."""
+    return dense(rows.groupBy(key).agg(F.min(order).alias("first_row")), out, "first_row").select(key, "first_row", out)
 
 
 def dense_cube(rows: DataFrame, metrics: list[str], order: str, fill: float = radio.MISSING) -> DataFrame:

@@ -6,19 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws, geo
+from .numbering import dense
 
 
 def numbered_ues(ues: DataFrame, keys: tuple[str, ...] = ("latitude", "longitude")) -> DataFrame:
-    """Dense numbers from 0 in key order, two-phase: ranks inside range partitions, then the partitions' offsets, so
-    no task sorts all places."""
-    parts = ues.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = ues.repartitionByRange(int(parts), *keys).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_part").orderBy(*keys)
-    out = ranged.join(offsets, "_part").withColumn("ue", F.col("_offset") + F.row_number().over(inside) - 1)
-    return out.drop("_part", "_offset")
+    """Dense numbers from 0 in key order, as `ue`."""
+    return dense(ues, "ue", *keys)
 
 
 def random_ue_crops(spark: SparkSession, n: int, ues: DataFrame, n_ues: int, seed: int) -> DataFrame:
