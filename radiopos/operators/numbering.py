@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _range_of(value: Column, cuts: list[float], first: int) -> Column:
+    """How many cuts are at or below the value, by halving; the first of them is number `first`."""
+    if not cuts:
+        return F.lit(first)
+    middle = len(cuts) // 2
+    low, high = _range_of(value, cuts[:middle], first), _range_of(value, cuts[middle + 1 :], first + middle + 1)
+    return F.when(value < cuts[middle], low).otherwise(high)
+
+
 def dense(df: DataFrame, out: str, *keys: str) -> DataFrame:
     """Numbers the rows from 0 in key order; keys are unique together, the first is a number.
 
@@ -14,7 +23,7 @@ def dense(df: DataFrame, out: str, *keys: str) -> DataFrame:
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(df.approxQuantile(keys[0], [i / parts for i in range(1, parts)], 0.01))) if parts > 1 else []
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(keys[0]))) if cuts else F.lit(0)
+    part = _range_of(F.col(keys[0]), cuts, 0)
     ranged = df.withColumn("_part", part)
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

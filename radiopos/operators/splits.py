@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws, geo
+from ..staging import stage
 
 SPLITS = ("train", "hard_test", "hard_val", "medium_test", "medium_val", "easy_test", "easy_val")
 
@@ -66,10 +67,10 @@ def split_index(index: DataFrame, test: dict[str, Column], val: dict[str, Column
     """Every crop with its split: hard by place, then medium by UE, then easy by crop; train_only keeps all in train."""
     if train_only:
         return index.withColumn("split", F.lit("train"))
-    placed = hard(index, test, val)
+    placed = stage(hard(index, test, val), "placed")
     rest = placed.filter(F.col("split").isNull()).drop("split")
     ues = medium(rest.select("campaign_id", "ue_id").distinct(), medium_train, share, seed)
-    by_ue = rest.join(ues, ["campaign_id", "ue_id"])
+    by_ue = stage(rest.join(ues, ["campaign_id", "ue_id"]), "by-ue")
     crops = easy(by_ue.filter("split = 'train'").drop("split"), easy_train, share, seed + 2)
     return placed.filter(F.col("split").isNotNull()).unionByName(by_ue.filter("split != 'train'")).unionByName(crops)
 
