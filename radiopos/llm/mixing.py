@@ -5,8 +5,8 @@
 2. Sources in code point order (null last) weigh 5, 2, 1, repeating. They share all words by weight; a target
    stops at `max_passes` times its source and the excess goes to the others by weight (water filling).
 3. Output shards have a fixed number of slots. Each shard draws its source counts from a multinomial over the
-   targets, by residuals: the whole part of every expected count is certain, the rest is drawn at random. The
-   draw stays unbiased and its error does not grow with the shard.
+   targets, by residuals: the whole part of every expected count is certain, the rest is drawn at random, in strata
+   over the shards. Each shard's draw stays unbiased; the sum over shards hardly strays from the target.
 4. A source's slots are numbered across shards. Slot i reads block perm(i mod blocks), a swap-or-not permutation
    keyed by seed, source and pass, so a pass reads every block once before any comes again. Slots beyond
    `max_passes` passes are void.
@@ -90,7 +90,9 @@ def shard_counts(sources: DataFrame, shard_slots: int, seed: int) -> tuple[DataF
     draws = spark.range(shards * most).select((F.col("id") % most).alias("r"), F.expr(f"id div {most}").alias("shard")).withColumn("kind", kind(F.col("shard")))
     of_kind = lambda i: F.when(F.col("kind") == 1, F.lit(drawn[1][i])).otherwise(F.lit(drawn[0][i]))
     uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "shard", "r"), 11) / F.lit(float(2**53))
-    draws = draws.filter(F.col("r") < of_kind(0)).withColumn("u", uniform * of_kind(1)).withColumn("cell", F.floor("u"))
+    # draw r of all shards takes one number from each of as many equal strata, dealt to the shards by a permutation
+    spread = (permuted("shard", f"{shards}L", f"{seed}, r") + uniform) / F.lit(float(shards))
+    draws = draws.filter(F.col("r") < of_kind(0)).withColumn("u", spread * of_kind(1)).withColumn("cell", F.floor("u"))
     # an interval is shorter than one cell, so it touches two at most
     cells = share.filter("hi > lo").select("kind", "sid", "lo", "hi", F.explode(F.sequence(F.floor("lo"), F.floor("hi"))).alias("cell"))
     drawn_counts = draws.join(cells, ["kind", "cell"]).filter("u >= lo AND u < hi").select("shard", "sid", F.lit(1).cast("long").alias("c"))
@@ -146,9 +148,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     parts = taken(p).groupBy("sid", "start").agg(F.array_sort(F.collect_list(F.struct("at", "n", "times"))).alias("_parts"))
     known = p.documents.filter("size > 0").withColumn("_nth", F.row_number().over(nth)).join(parts, ["sid", "start"])
     known = known.select(*(F.col(k).alias(f"_{k}") for k in keys), "_nth", "_parts")
-    clash = [c for c in docs.columns if c.startswith("_")]
-    full = docs.withColumnsRenamed({c: f"extra{c}" for c in clash})
-    full = full.withColumn("_words", F.regexp_count(common.text_of(), F.lit(common.WORD)).cast("long"))
+    full = docs.select("doc_id", "source", common.text_of().alias("text"), F.struct(*docs.columns).alias("row"))
+    full = full.withColumn("_words", F.regexp_count("text", F.lit(common.WORD)).cast("long"))
     full = full.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "source", "_words").orderBy(F.lit(0))))
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source"))
     out = full.join(known, same & (F.col("_words") == F.col("_size")) & (F.col("_row") == F.col("_nth")))
@@ -157,10 +158,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     pieces = r"regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)"
     whole = F.expr("aggregate(_held, 0L, (s, p) -> s + p.n) = _words")
     part = F.expr(f"ltrim(' \n\t\r', array_join(flatten(transform(array({pieces}), w -> flatten(transform(_held, p -> slice(w, int(p.at + 1), int(p.n)))))), ''))")
-    out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
+    out = out.withColumn("_text", F.when(whole, F.col("text")).otherwise(part)).withColumn("row", F.col("row").withField("text", F.col("_text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.withColumnsRenamed({f"extra{c}": c for c in clash}).select(*docs.columns)
+        out = out.withColumn("row", F.col("row").withField("n_chars", F.length("_text").cast(docs.schema["n_chars"].dataType)))
+    return out.select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
