@@ -106,7 +106,8 @@ def train(rows: DataFrame, vocabulary_size: int = VOCABULARY, strength: float =
     n, n1 = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if n1 in (0, n):
         return Model({}, 40.0 if n and n1 else -40.0)
-    vocab = vocabulary(rows, vocabulary_size)
+    # no more words than rows can tell apart
+    vocab = vocabulary(rows, max(1, min(vocabulary_size, n // 4)))
     at = {w: i for i, w in enumerate(vocab)}
 
     def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
