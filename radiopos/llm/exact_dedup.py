@@ -9,7 +9,8 @@ Texts shuffle once, and only partial groups of them: a text with a million copie
 
 Cases: a null text equals the empty text. Rows with equal text form one group; the largest doc_id stays.
 A row without doc_id never wins over one with it. Repeated rows count in group_size and are all marked as the
-document they repeat; `keep` leaves one of them. An empty table gives an empty result. Other columns are ignored.
+document they repeat; `keep` leaves one of them. An empty table gives an empty result. Other columns stay as they are,
+but those named like one that `decide` adds are replaced by it.
 """
 
 from __future__ import annotations
@@ -175,9 +176,10 @@ def decide(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows that stay, with the columns of docs. Repeats of a doc_id are looked for, and only then dropped."""
-    left = decide(docs).filter("kept").select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    left = decide(whole).filter("kept").select("doc_id", "text", "row")
     again = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return left.dropDuplicates(["doc_id", "text"]) if again else left
+    return (left.dropDuplicates(["doc_id", "text"]) if again else left).select("row.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,7 +242,7 @@ def keep(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, radius: int = SIMILAR_
     """One document of each group of similar ones, that of the smallest doc_id, with the columns of docs. Rows
     without doc_id stay."""
     goes = similar(docs, shingle, radius).filter("node != root").select(F.col("node").alias("_goes"))
-    return docs.join(goes, F.col("doc_id").cast("long") == F.col("_goes"), "left_anti")
+    return docs.join(goes, docs["doc_id"].cast("long") == goes["_goes"], "left_anti")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
