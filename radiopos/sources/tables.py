@@ -68,7 +68,7 @@ def read_best_parameters(spark: SparkSession, path: str) -> DataFrame:
     pick = lambda c: F.coalesce(F.col(f"best_parameters.{c}"), F.col(c))
     in_name = F.nullif(F.regexp_extract("file_name", r"bs_(\d+)", 1), F.lit("")).try_cast("int")
     out = raw.select(F.coalesce("bs_idx", "target_bs_idx", in_name).alias("bs_idx"), pick("latitude").alias("latitude"), pick("longitude").alias("longitude"), F.coalesce(pick("altitude"), F.lit(30.0)).alias("altitude"), F.coalesce(pick("azimuth"), F.lit(0.0)).alias("azimuth"))
-    if out.isEmpty():
+    if not out.head(1):
         raise ValueError(f"no readable corrected_*_result.json under {path}")
     return out.orderBy("bs_idx")
 
