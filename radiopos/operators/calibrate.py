@@ -108,7 +108,7 @@ def best_trial(trials: DataFrame) -> DataFrame:
 def trial_scores(trials: DataFrame, real: str = "real_rssi", simulated: str = "sim_rssi") -> DataFrame:
     """bs_idx, trial, score = -rho over the links of each trial (1 where undefined): all trials in one job."""
     found = spearman(trials, ["bs_idx", "trial"], real, simulated)
-    return found.select("bs_idx", "trial", F.coalesce(-F.col("rho"), F.lit(1.0)).alias("score"))
+    return found.select("bs_idx", "trial", F.coalesce(0.0 - F.col("rho"), F.lit(1.0)).alias("score"))
 
 
 def best_epoch(metrics: DataFrame) -> DataFrame:

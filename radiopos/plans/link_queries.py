@@ -178,11 +178,11 @@ def spearman_p_value(spark: SparkSession, d: str) -> DataFrame:
     return calibrate.with_p_value(calibrate.spearman(filled, ["bs_idx"], "RSSI", "sim_rssi"))
 
 
-@_register("trial_scores", f"WITH {cte('links')}, t AS (SELECT bs_idx, ue_idx % 5 AS trial, coalesce(RSSI, -90e0) AS RSSI, sim_rssi FROM links), r AS ({_rho('t', 'bs_idx, trial')}) SELECT bs_idx, trial, coalesce(-rho, 1e0) AS score FROM r")
+@_register("trial_scores", f"WITH {cte('links')}, t AS (SELECT bs_idx, ue_idx % 5 AS trial, coalesce(RSSI, -90e0) AS RSSI, sim_rssi FROM links), r AS ({_rho('t', 'bs_idx, trial')}) SELECT bs_idx, trial, coalesce(0e0 - rho, 1e0) + 0e0 AS score FROM r")
 def trial_scores(spark: SparkSession, d: str) -> DataFrame:
     filled, _ = measurements.fill_rssi(view(spark, d, "links"), "RSSI")
     out = calibrate.trial_scores(filled.withColumn("trial", F.col("ue_idx") % 5), "RSSI", "sim_rssi")
-    return out.select("bs_idx", "trial", F.round("score", 9).alias("score"))
+    return out.select("bs_idx", "trial", (F.round("score", 9) + 0.0).alias("score"))
 
 
 @_register("best_trial", f"WITH {cte('trials')}, s AS (SELECT bs_idx, trial, coalesce(score, 1e0) AS score FROM trials) SELECT bs_idx, arg_min(trial, (score, trial)) AS best_trial, min(score) AS best_score, count(*) AS n_trials FROM s GROUP BY bs_idx")
