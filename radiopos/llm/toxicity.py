@@ -89,10 +89,11 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, strength: float, ridge:
     w, bias = np.zeros(x.shape[1]), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        off = weight * (1 / (1 + np.exp(-(x @ w + bias))) - y)
-        g = x.T @ off / len(y) + 2 * ridge * w
+        # single precision throughout the products: the sample is not copied at each step
+        off = weight * (1 / (1 + np.exp(-(x @ w.astype(np.float32) + bias))) - y)
+        g = off.astype(np.float32) @ x / len(y) + 2 * ridge * w
         if len(pairs):
-            g = g + 2 * strength * (pairs.T @ (pairs @ w)) / len(pairs)
+            g = g + 2 * strength * ((pairs @ w.astype(np.float32)) @ pairs) / len(pairs)
         g = np.append(g, off.mean())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
