@@ -10,7 +10,25 @@ NOISE_DBM, INTERFERENCE_DBM = -100.0, -110.0
 SUBCARRIERS, SYMBOLS = 1008.0, 84.0
 LEAST_GAIN, LEAST_RSSI, MISSING = 1e-30, -140.0, -90.0
 #: Operator labels by id.
-OPERATORS = {1: "op1", 10: "op10", 88: "op88"}
+OPERATORS = {1: '"Op"[1]', 10: '"Op"[2]', 88: '"Op"[3]'}
+#: Means and scales of the features.
+FEATURE_MEANS = {"rssi": -64.0, "nsinr": -5.0, "nrsrp": -83.0, "nrsrq": -19.0, "bs_power_dbm": 0.0}
+FEATURE_SCALES = {"rssi": 57.0, "nsinr": 94.0, "nrsrp": 114.0, "nrsrq": 41.0, "bs_power_dbm": 1.0}
+#: Default heights by building type; floor heights; ranges of heights by type, amenity and footprint.
+DEFAULT_HEIGHTS = ((("house", "residential"), 8.0), (("office", "commercial"), 15.0), (("industrial", "warehouse"), 12.0), (("apartment", "apartments"), 20.0))
+FLOOR_HEIGHTS = ((("industrial", "warehouse"), 4.5), (("commercial", "office", "retail"), 3.5))
+KIND_RANGES = (
+    (("house", "residential", "detached", "semi_detached"), 5.5, 8.5),
+    (("apartments", "dormitory"), 12.0, 25.0),
+    (("commercial", "office", "retail"), 10.0, 20.0),
+    (("industrial", "warehouse", "manufacture"), 6.0, 12.0),
+    (("church", "cathedral", "chapel"), 15.0, 35.0),
+    (("school", "university"), 8.0, 15.0),
+    (("hospital",), 15.0, 30.0),
+)
+AMENITY_RANGES = ((("place_of_worship",), 12.0, 25.0), (("school", "university"), 8.0, 15.0))
+AREA_RANGES = ((1000.0, 12.0, 25.0), (200.0, 8.0, 18.0))
+SMALL_RANGE, UNKNOWN_RANGE = (5.0, 12.0), (8.0, 15.0)
 
 
 def ue_key(lat: Column, lon: Column) -> Column:
@@ -72,26 +90,31 @@ def standardised(value: Column, mean: float, scale: float, fill: float | None =
 
 def building_height(height: Column, levels: Column, kind: Column) -> Column:
     """Metres from the height (an m is dropped; 5 to 200), else 3 a level (1 to 50), else by type, else 10."""
-    h = F.trim(F.regexp_replace(F.lower(height), "m", "")).try_cast("double")
+    h = F.trim(F.replace(height, F.lit("m"), F.lit(""))).try_cast("double")
     n = levels.try_cast("double")
-    by_kind = F.when(kind.isin("house", "detached", "residential"), 8.0).when(kind.isin("commercial", "retail", "industrial"), 12.0).when(kind.isin("apartments"), 15.0).when(kind.isin("office", "hotel", "hospital"), 20.0)
-    return F.coalesce(F.when(h.between(5, 200), h), F.when(n.between(1, 50), 3 * n), by_kind, F.lit(10.0))
+    by_kind = (F.when(F.lower(kind).isin(*kinds), metres) for kinds, metres in DEFAULT_HEIGHTS)
+    return F.coalesce(F.when(h.between(5, 200), h), F.when(n.between(1, 50), 3 * n), *by_kind, F.lit(10.0))
 
 
-def height_with_units(heights: list[Column], levels: list[Column], kind: Column, drawn: Column) -> Column:
-    """Metres from the first height that parses with its unit (2 to 200), else levels by the type's floor height,
-    else the type's range at the drawn share in [0, 1), with one decimal."""
+def height_with_units(heights: list[Column], levels: list[Column], kind: Column, drawn: Column, amenity: Column | None = None, area: Column | None = None) -> Column:
+    """Metres from the first height that parses with its unit (2 to 200), else levels (1 to 50) by the type's floor
+    height, else a range at the drawn share in [0, 1) with one decimal: by type, amenity or footprint (square metres)."""
 
     def metres(text: Column) -> Column:
-        number = F.nullif(F.regexp_extract(text, r"^\s*([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).try_cast("double")
-        value = F.when(F.lower(text).rlike("ft|feet|'"), number * 0.3048).otherwise(number)
+        low = F.lower(F.trim(text))
+        number = F.nullif(F.regexp_extract(low, r"^([0-9]*\.?[0-9]+)", 1), F.lit("")).try_cast("double")
+        value = F.when(low.rlike(r"^[0-9]*\.?[0-9]+\s*(?:ft|feet|')"), number * 0.3048).otherwise(number)
         return F.when(value.between(2, 200), value)
 
-    floor = F.when(kind.isin("industrial", "warehouse"), 4.5).when(kind.isin("office", "commercial"), 3.5).otherwise(3.0)
-    low = F.when(kind.isin("apartments"), 12.0).when(kind.isin("office", "commercial"), 10.0).when(kind.isin("industrial", "warehouse"), 6.0).otherwise(4.0)
-    high = F.when(kind.isin("apartments"), 30.0).when(kind.isin("office", "commercial"), 40.0).when(kind.isin("industrial", "warehouse"), 15.0).otherwise(10.0)
-    by_level = (F.when(n.between(1, 80), n * floor) for n in (x.try_cast("double") for x in levels))
-    return F.coalesce(*map(metres, heights), *by_level, F.round(low + (high - low) * drawn, 1))
+    floor = F.coalesce(*(F.when(kind.isin(*kinds), m) for kinds, m in FLOOR_HEIGHTS), F.lit(3.0))
+    by_level = (F.when(n.between(1, 50), n * floor) for n in (x.try_cast("double") for x in levels))
+    at = lambda lo, hi: F.round(lo + (hi - lo) * drawn, 1)
+    ranges = [F.when(kind.isin(*kinds), at(lo, hi)) for kinds, lo, hi in KIND_RANGES]
+    if amenity is not None:
+        ranges += [F.when(amenity.isin(*kinds), at(lo, hi)) for kinds, lo, hi in AMENITY_RANGES]
+    if area is not None:
+        ranges += [F.when(area > least, at(lo, hi)) for least, lo, hi in AREA_RANGES] + [F.when(area.isNotNull(), at(*SMALL_RANGE))]
+    return F.coalesce(*map(metres, heights), *by_level, *ranges, at(*UNKNOWN_RANGE))
 
 
 def sigmoid(z: Column) -> Column:

@@ -5,13 +5,32 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import radio
 from .numbering import dense
 
 
+#: Corrected coordinates of base stations by location key.
+CORRECTIONS = {
+    "41.871766_12.461936": (41.87255347, 12.46204160),
+    "41.868917_12.462432": (41.86982378, 12.46159222),
+    "41.870385_12.46081": (41.86982378, 12.46159222),
+    "41.865419_12.465402": (41.86603287, 12.46527750),
+    "41.869046_12.46551": (41.86603287, 12.46527750),
+    "41.871251_12.464301": (41.87255347, 12.46204160),
+    "41.871046_12.471436": (41.87131243, 12.46805397),
+    "41.873666_12.453575": (41.87290044, 12.45348311),
+    "41.864758_12.469067": (41.86384904, 12.46890104),
+    "41.866025_12.465944": (41.86603287, 12.46527750),
+}
+
+
+def corrections(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, *v) for k, v in CORRECTIONS.items()], "BS_location string, new_lat double, new_lon double")
+
+
 def corrected(links: DataFrame, corrections: DataFrame) -> DataFrame:
     """Links with the corrected station coordinates where BS_location is listed, and the key made anew; corrections
     (BS_location, new_lat, new_lon) are a handful of rows."""

@@ -94,7 +94,7 @@ def passive_join(spark: SparkSession, d: str) -> DataFrame:
     return measurements.attach_passive(passive, _deduplicated(spark, d).select(*keys, "rssi"), keys, "rssi")
 
 
-@_register("operator_labels", f"""WITH {cte('cells')} SELECT enode, CASE mnc WHEN 1 THEN 'op1' WHEN 10 THEN 'op10' WHEN 88 THEN 'op88' END AS label,
+@_register("operator_labels", f"""WITH {cte('cells')} SELECT enode, CASE mnc WHEN 1 THEN '"Op"[1]' WHEN 10 THEN '"Op"[2]' WHEN 88 THEN '"Op"[3]' END AS label,
   TRY_CAST(nullif(regexp_extract('cell ' || enode || CASE WHEN enode % 5 = 0 THEN '' ELSE ' NPCI:' || npci END || ' x', 'NPCI:([0-9]+)', 1), '') AS INTEGER) AS number,
   'bs_' || enode || '_' || mnc AS plain FROM cells""")
 def operator_labels(spark: SparkSession, d: str) -> DataFrame:

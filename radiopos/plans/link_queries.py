@@ -226,10 +226,10 @@ def station_summary(spark: SparkSession, d: str) -> DataFrame:
 # buildings
 
 
-_SIMPLE = """CASE WHEN h BETWEEN 5 AND 200 THEN h WHEN n BETWEEN 1 AND 50 THEN 3 * n ELSE CASE kind WHEN 'house' THEN 8e0 WHEN 'apartments' THEN 15e0 WHEN 'office' THEN 20e0 WHEN 'industrial' THEN 12e0 ELSE 10e0 END END"""
+_SIMPLE = """CASE WHEN h BETWEEN 5 AND 200 THEN h WHEN n BETWEEN 1 AND 50 THEN 3 * n ELSE CASE kind WHEN 'house' THEN 8e0 WHEN 'apartments' THEN 20e0 WHEN 'office' THEN 15e0 WHEN 'industrial' THEN 12e0 ELSE 10e0 END END"""
 
 
-@_register("building_height", f"WITH {cte('buildings')}, p AS (SELECT *, TRY_CAST(trim(replace(lower(height), 'm', '')) AS DOUBLE) AS h, TRY_CAST(levels AS DOUBLE) AS n FROM buildings) SELECT feature_id, {_SIMPLE} AS height_m FROM p")
+@_register("building_height", f"WITH {cte('buildings')}, p AS (SELECT *, TRY_CAST(trim(replace(height, 'm', '')) AS DOUBLE) AS h, TRY_CAST(levels AS DOUBLE) AS n FROM buildings) SELECT feature_id, {_SIMPLE} AS height_m FROM p")
 def building_height(spark: SparkSession, d: str) -> DataFrame:
     b = view(spark, d, "buildings")
     return b.select("feature_id", radio.building_height(F.col("height"), F.col("levels"), F.col("kind")).alias("height_m"))
@@ -237,12 +237,14 @@ def building_height(spark: SparkSession, d: str) -> DataFrame:
 
 _UNIT = lambda c: f"(SELECT CASE WHEN v BETWEEN 2 AND 200 THEN v END FROM (SELECT CASE WHEN lower({c}) LIKE '%ft%' THEN x * 0.3048e0 ELSE x END AS v FROM (SELECT TRY_CAST(nullif(regexp_extract({c}, '^\\s*([0-9]+(?:\\.[0-9]+)?)', 1), '') AS DOUBLE) AS x)))"
 _FLOOR = "CASE kind WHEN 'industrial' THEN 4.5e0 WHEN 'office' THEN 3.5e0 ELSE 3e0 END"
-_RANGE = "CASE kind WHEN 'apartments' THEN {0}e0 WHEN 'office' THEN {1}e0 WHEN 'industrial' THEN {2}e0 ELSE {3}e0 END"
+_LOW = "CASE kind WHEN 'apartments' THEN 12e0 WHEN 'office' THEN 10e0 WHEN 'industrial' THEN 6e0 WHEN 'house' THEN 5.5e0 ELSE CASE WHEN size > 40 THEN 12e0 WHEN size > 14 THEN 8e0 ELSE 5e0 END END"
+_HIGH = "CASE kind WHEN 'apartments' THEN 25e0 WHEN 'office' THEN 20e0 WHEN 'industrial' THEN 12e0 WHEN 'house' THEN 8.5e0 ELSE CASE WHEN size > 40 THEN 25e0 WHEN size > 14 THEN 18e0 ELSE 12e0 END END"
 
 
-@_register("building_height_units", f"WITH {cte('buildings')} SELECT feature_id, coalesce({_UNIT('height_ft')}, {_UNIT('height')}, CASE WHEN TRY_CAST(levels AS DOUBLE) BETWEEN 1 AND 80 THEN TRY_CAST(levels AS DOUBLE) * {_FLOOR} END, round({_RANGE.format(12, 10, 6, 4)} + ({_RANGE.format(30, 40, 15, 10)} - {_RANGE.format(12, 10, 6, 4)}) * {og.uniform(3, 'feature_id')}, 1)) AS height_m FROM buildings")
+@_register("building_height_units", f"WITH {cte('buildings')} SELECT feature_id, coalesce({_UNIT('height_ft')}, {_UNIT('height')}, CASE WHEN TRY_CAST(levels AS DOUBLE) BETWEEN 1 AND 50 THEN TRY_CAST(levels AS DOUBLE) * {_FLOOR} END, round({_LOW} + ({_HIGH} - {_LOW}) * {og.uniform(3, 'feature_id')}, 1)) AS height_m FROM buildings")
 def building_height_units(spark: SparkSession, d: str) -> DataFrame:
-    return buildings.heights_drawn(view(spark, d, "buildings"), ["height_ft", "height"], ["levels"], 3).select("feature_id", "height_m")
+    b = view(spark, d, "buildings").withColumn("area", F.when(F.col("size") > 40, 1500.0).when(F.col("size") > 14, 500.0).otherwise(100.0))
+    return buildings.heights_drawn(b, ["height_ft", "height"], ["levels"], 3, area="area").select("feature_id", "height_m")
 
 
 @_register("patch_buildings", f"WITH {cte('buildings')}, {_TILES}, c AS (SELECT CAST({_PATCH.replace('ue_lat', 'min_lat').replace('ue_lon', 'min_lon')} AS BIGINT) AS patch_idx, count(*) AS n FROM buildings WHERE min_lat BETWEEN {BOX[0]}e0 AND {BOX[1]}e0 AND min_lon BETWEEN {BOX[2]}e0 AND {BOX[3]}e0 GROUP BY ALL) SELECT patch_idx, round((min_lat + max_lat) / 2, 7) AS center_lat, round((min_lon + max_lon) / 2, 7) AS center_lon, coalesce(n, 0) AS n_buildings FROM tiles LEFT JOIN c USING (patch_idx)")

@@ -13,7 +13,7 @@ from .fixtures import cte, view
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-MEANS, SCALES = {"rssi": -65.0, "nsinr": 0.0}, {"rssi": 14.0, "nsinr": 3.0}
+MEANS, SCALES = ({k: t[k] for k in ("rssi", "nsinr")} for t in (radio.FEATURE_MEANS, radio.FEATURE_SCALES))
 EDGES = (200.0, 400.0, 800.0, 1200.0, 1600.0)
 
 
@@ -39,13 +39,13 @@ _ST = f"{_BASE}, st AS (SELECT *, replace(printf('%.6f_%.6f', latitude, longitud
 _CAP = "cap AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY crop_id ORDER BY enode) AS INTEGER) AS bs_no FROM st) WHERE bs_no <= 3 AND NOT interpolated)"
 
 
-@_register("bs_sequence", f"{_ST}, {_CAP} SELECT crop_id, bs_no, enode, (coalesce(rssi, 0e0) - -65e0) / 14e0 AS z_rssi, (coalesce(nsinr, 0e0) - 0e0) / 3e0 AS z_nsinr FROM cap")
+@_register("bs_sequence", f"{_ST}, {_CAP} SELECT crop_id, bs_no, enode, (coalesce(rssi, 0e0) + 64e0) / 57e0 AS z_rssi, (coalesce(nsinr, 0e0) + 5e0) / 94e0 AS z_nsinr FROM cap")
 def bs_sequence(spark: SparkSession, d: str) -> DataFrame:
     capped = samples.capped(_stations(spark, d), 3)
     return samples.station_features(capped, MEANS, SCALES).select("crop_id", "bs_no", "enode", "z_rssi", "z_nsinr")
 
 
-@_register("pad_sequence", f"""{_ST}, {_CAP}, s AS (SELECT crop_id, list([(coalesce(rssi, 0e0) + 65e0) / 14e0, coalesce(nsinr, 0e0) / 3e0] ORDER BY bs_no) AS v FROM cap GROUP BY crop_id), b AS (SELECT *, substr(crop_id, 1, 6) AS batch FROM s)
+@_register("pad_sequence", f"""{_ST}, {_CAP}, s AS (SELECT crop_id, list([(coalesce(rssi, 0e0) + 64e0) / 57e0, (coalesce(nsinr, 0e0) + 5e0) / 94e0] ORDER BY bs_no) AS v FROM cap GROUP BY crop_id), b AS (SELECT *, substr(crop_id, 1, 6) AS batch FROM s)
 SELECT crop_id, batch, CAST(len(v) AS INTEGER) AS length, CAST(max(len(v)) OVER (PARTITION BY batch) AS INTEGER) AS padded, round(list_sum(flatten(v)), 6) + 0e0 AS total FROM b""")
 def pad_sequence(spark: SparkSession, d: str) -> DataFrame:
     capped = samples.station_features(samples.capped(_stations(spark, d), 3), MEANS, SCALES)

@@ -83,6 +83,12 @@ def test_spearman_and_p_value(spark):
     assert out["d"].p_value == pytest.approx(0.00680719, abs=1e-5)
 
 
+def test_corrections(spark):
+    rows = [("41.870385_12.46081", 41.870385, 12.46081), ("1.0_2.0", 1.0, 2.0)]
+    out = {r.BSLatitude: r.BS_location for r in calibrate.corrected(spark.createDataFrame(rows, "BS_location string, BSLatitude double, BSLongitude double"), calibrate.corrections(spark)).collect()}
+    assert out == {41.86982378: "41.86982378_12.46159222", 1.0: "1.0_2.0"}
+
+
 def test_dense_cube_fills_and_takes_the_last(spark):
     rows = [(0, 0, 1, -50.0), (0, 0, 2, -60.0), (1, 1, 3, -70.0)]
     got = {(r.tx_idx, r.rx_idx): r.rssi for r in calibrate.dense_cube(spark.createDataFrame(rows, "tx_idx int, rx_idx int, n int, rssi double"), ["rssi"], "n").collect()}
