@@ -27,6 +27,7 @@ from . import common
 
 #: Digests per filter; the number of buckets follows the number of rows.
 BUCKET = 1024
+SALTS = 16
 _FILTER = "bucket long, seed long, segment int, reach int, cells binary"
 
 
@@ -115,6 +116,15 @@ def _digest(digest_bytes: int) -> Column:
     return F.substring(F.unhex(F.sha2(common.text_of(), 256)), 1, digest_bytes)
 
 
+def _salt() -> Column:
+    """Which of SALTS copies of its group's narrow row a document's row meets; a hot group is met in as many tasks."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+
+
+def _salts() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+
+
 def _groups(docs: DataFrame, buckets: int, digest_bytes: int) -> DataFrame:
     keyed = docs.select("doc_id", _digest(digest_bytes).alias("digest"))
     found = keyed.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
@@ -143,9 +153,9 @@ def groups(snapshot_docs: DataFrame, incoming: DataFrame, digest_bytes: int = 32
     repeated = [x.filter("n > 1").select("digest") for x in (snap.index, batch)]
     suspects = in_snapshot.union(repeated[0]).union(repeated[1]).distinct()
     both = snapshot_docs.select("doc_id", "text").union(incoming.select("doc_id", "text"))
-    rows = both.select("doc_id", common.text_of().alias("text"), _digest(digest_bytes).alias("digest"))
+    rows = both.select("doc_id", common.text_of().alias("text"), _digest(digest_bytes).alias("digest"), _salt().alias("salt"))
     return (
-        rows.join(suspects, "digest", "left_semi")
+        rows.join(suspects.withColumn("salt", _salts()), ["digest", "salt"], "left_semi")
         .groupBy("digest", "text")
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1")
@@ -161,16 +171,16 @@ def halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def decide(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     """docs with keep_id, group_size, kept and text_sha256; every row stays."""
-    names = ("keep_id", "group_size", "kept", "text_sha256", "_digest", "_hash")
+    names = ("keep_id", "group_size", "kept", "text_sha256", "_digest", "_hash", "_salt")
     found = groups(*halves(docs), digest_bytes).withColumnsRenamed({"digest": "_digest", "text_hash": "_hash"})
     rows = docs.drop(*names).select("*", F.sha2(common.text_of(), 256).alias("text_sha256"), F.xxhash64(common.text_of()).alias("_hash"))
-    rows = rows.withColumn("_digest", F.substring(F.unhex("text_sha256"), 1, digest_bytes))
+    rows = rows.withColumns({"_digest": F.substring(F.unhex("text_sha256"), 1, digest_bytes), "_salt": _salt()})
     return (
-        rows.join(found, ["_digest", "_hash"], "left")
+        rows.join(found.withColumn("_salt", _salts()), ["_digest", "_hash", "_salt"], "left")
         .withColumn("keep_id", F.coalesce("keep_id", "doc_id"))
         .withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("long"))
         .withColumn("kept", F.col("keep_id").eqNullSafe(F.col("doc_id")))
-        .drop("_digest", "_hash")
+        .drop("_digest", "_hash", "_salt")
     )
 
 
