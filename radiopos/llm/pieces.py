@@ -34,7 +34,7 @@ from . import common, labelled
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Positions between two looks for a common boundary; entries and length of cached words.
-_LOOK, _CACHE, _CACHED = 64, 300_000, 48
+_LOOK, _CACHE, _CACHED = 64, 120_000, 48
 _ZIPF = 100
 _CHUNK = re.compile(r" +[^ ]*|[^ ]+")
 
