@@ -8,7 +8,7 @@
 3. Matches of a pair (document, reference) are chained: a match adds WEIGHT, a gap costs GAP a word on either side,
    and a Fenwick tree over reference positions finds the best chain to extend (prefix maxima).
 4. Chains are aligned on words, MARGIN words to either side included: along the diagonal, or by matching blocks where
-   words were inserted or lost. Passages of MIN_WORDS equal words or more are returned.
+   words were inserted or lost. All passages of MIN_WORDS equal words or more are returned: a chain may hold several.
 
 Words end at ASCII white space and A-Z is lower-cased.
 
@@ -161,27 +161,39 @@ def best_run(gain: np.ndarray) -> tuple[int, int]:
     return int(total[: end + 1].argmin()), end
 
 
-def aligned(a: np.ndarray, b: np.ndarray, shift: int | None) -> tuple[int, int, int, int, int] | None:
-    """(start, end, other_start, other_end, equal words) of the best passage of a in b; shift: place in b of a's
-    first word if the chain lies on one diagonal."""
+def runs(gain: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+    """[start, end) of the best run with gains of `least` or more, and of those on either side of every best run."""
+    parts = [(0, len(gain))]
+    while parts:
+        a, b = parts.pop()
+        if np.maximum(gain[a:b], 0).sum() < least:
+            continue
+        s, e = best_run(gain[a:b])
+        if np.maximum(gain[a + s : a + e], 0).sum() >= least:
+            yield a + s, a + e
+        parts += [(a, a + s), (a + e, b)]
+
+
+def aligned(a: np.ndarray, b: np.ndarray, shift: int | None, least: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(start, end, other_start, other_end, equal words) of every passage of a in b with `least` equal words or more;
+    shift: place in b of a's first word if the chain lies on one diagonal."""
     if shift is not None:
         lead = max(0, -shift)
         n = min(len(a) - lead, len(b) - shift - lead)
         if n <= 0:
-            return None
+            return
         same = a[lead : lead + n] == b[shift + lead : shift + lead + n]
-        s, e = best_run(np.where(same, 1.0, -2.0))
-        return lead + s, lead + e, lead + s + shift, lead + e + shift, int(same[s:e].sum())
+        for s, e in runs(np.where(same, 1.0, -2.0), least):
+            yield lead + s, lead + e, lead + s + shift, lead + e + shift, int(same[s:e].sum())
+        return
     blocks = [x for x in SequenceMatcher(None, a.tolist(), b.tolist(), autojunk=False).get_matching_blocks() if x.size]
     gains: list[float] = []
     for i, x in enumerate(blocks):
         lost = max(x.a - blocks[i - 1].a - blocks[i - 1].size, x.b - blocks[i - 1].b - blocks[i - 1].size) if i else 0
         gains += [-2.0 * lost, float(x.size)]
-    if not blocks:
-        return None
-    s, e = best_run(np.array(gains))
-    run = blocks[s // 2 : (e + 1) // 2]
-    return run[0].a, run[-1].a + run[-1].size, run[0].b, run[-1].b + run[-1].size, sum(x.size for x in run)
+    for s, e in runs(np.array(gains), least):
+        run = blocks[s // 2 : (e + 1) // 2]
+        yield run[0].a, run[-1].a + run[-1].size, run[0].b, run[-1].b + run[-1].size, sum(x.size for x in run)
 
 
 def _sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,9 +215,7 @@ def _aligned_rows(least: int):
             for r in b.itertuples():
                 x, y = np.frombuffer(r.a, np.uint32), np.frombuffer(r.b, np.uint32)
                 at, other = max(0, r.s - MARGIN), max(0, r.rs - MARGIN)
-                found = aligned(x, y, None if r.bent else (r.rs - other) - (r.s - at))
-                if found and found[4] >= least:
-                    s, e, os, oe, equal = found
+                for s, e, os, oe, equal in aligned(x, y, None if r.bent else (r.rs - other) - (r.s - at), least):
                     out.append((r.doc, at + s, at + e, r.ref, other + os, other + oe, equal, equal / max(e - s, oe - os)))
             yield pd.DataFrame(out, columns=["doc_id", "start", "end", "other_id", "other_start", "other_end", "words", "identity"])
 

@@ -161,3 +161,15 @@ def test_shared_passages_are_found(spark):
     assert (exact.start, exact.end, exact.other_start, exact.other_end, exact.words) == (60, 130, 60, 130, 70)
     cut = {r.doc_id: r.text for r in passages.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert " ".join(shared) in cut[2] and " ".join(shared) not in cut[5] and len(cut) == len({d for d, _ in docs})
+
+
+@pytest.mark.parametrize("inserted", [0, 1])
+def test_all_passages_of_a_chain_are_found(spark, inserted):
+    rng = random.Random(11)
+    one, two = words(rng, 60).split(), words(rng, 70).split()
+    docs = [(i, " ".join(words(rng, 40).split() + one + words(rng, 80 + i * inserted).split() + two + words(rng, 40).split())) for i in (1, 2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r.doc_id, r.start, r.end, r.other_id, r.other_start, r.other_end) for r in passages.shared_passages(df).collect()}
+    assert found == {(2, 40, 100, 1, 40, 100), (2, 180 + 2 * inserted, 250 + 2 * inserted, 1, 180 + inserted, 250 + inserted)}
+    cut = {r.doc_id: r.text for r in passages.without_repeats(df).collect()}
+    assert " ".join(one) not in cut[2] and " ".join(two) not in cut[2]
