@@ -7,7 +7,8 @@
    through the reference.
 3. Matches of a pair (document, reference) are chained: a match adds WEIGHT, a gap costs GAP a word on either side,
    and a Fenwick tree over reference positions finds the best chain to extend (prefix maxima).
-4. Chains are aligned on words, MARGIN words to either side included: along the diagonal, or by matching blocks where
+4. Chains are aligned on words, MARGIN words to either side included, and the whole of a periodic stretch there, as
+   seeds of equal hash count once: along the diagonal, or by matching blocks where
    words were inserted or lost. All passages of MIN_WORDS equal words or more are returned: a chain may hold several.
 
 Words end at ASCII white space and A-Z is lower-cased.
@@ -196,13 +197,38 @@ def aligned(a: np.ndarray, b: np.ndarray, shift: int | None, least: int) -> Iter
         yield run[0].a, run[-1].a + run[-1].size, run[0].b, run[-1].b + run[-1].size, sum(x.size for x in run)
 
 
+def past(codes: np.ndarray, at: int) -> int:
+    """Where a slice that would end at `at` ends: beyond a stretch of period WINDOW or less there, as it has no seeds."""
+    while at < len(codes) and len(set(codes[max(0, at - 2 * WINDOW) : at].tolist())) <= WINDOW:
+        low = max(0, at - 2 * WINDOW)
+        end = max(low + p + _agreement(codes[low + p :], codes[low:-p]) for p in range(1, WINDOW + 1) if low + p < len(codes))
+        if end <= at:
+            break
+        at = min(len(codes), end + MARGIN)
+    return at
+
+
+def _agreement(a: np.ndarray, b: np.ndarray) -> int:
+    """The number of equal words at the start of both."""
+    done, size = 0, 4 * WINDOW
+    while done < min(len(a), len(b)):
+        x, y = a[done : done + size], b[done : done + size]
+        n = min(len(x), len(y))
+        if len(differ := np.flatnonzero(x[:n] != y[:n])):
+            return done + int(differ[0])
+        done, size = done + n, 2 * size
+    return done
+
+
 def _sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
         for doc, text, wanted in zip(b["doc"], b["text"], b["wanted"], strict=True):
             codes = word_codes(text)
-            out += [(doc, w["s"], w["e"], codes[max(0, w["s"] - MARGIN) : w["e"] + MARGIN].tobytes()) for w in wanted]
-        yield pd.DataFrame(out, columns=["doc", "s", "e", "words"])
+            for w in wanted:
+                low = len(codes) - past(codes[::-1], len(codes) - max(0, w["s"] - MARGIN))
+                out.append((doc, w["s"], w["e"], low, codes[low : past(codes, min(len(codes), w["e"] + MARGIN))].tobytes()))
+        yield pd.DataFrame(out, columns=["doc", "s", "e", "low", "words"])
 
 
 _PASSAGE = "doc_id long, start int, end int, other_id long, other_start int, other_end int, words int, identity double"
@@ -214,7 +240,7 @@ def _aligned_rows(least: int):
             out = []
             for r in b.itertuples():
                 x, y = np.frombuffer(r.a, np.uint32), np.frombuffer(r.b, np.uint32)
-                at, other = max(0, r.s - MARGIN), max(0, r.rs - MARGIN)
+                at, other = r.at, r.other
                 for s, e, os, oe, equal in aligned(x, y, None if r.bent else (r.rs - other) - (r.s - at), least):
                     out.append((r.doc, at + s, at + e, r.ref, other + os, other + oe, equal, equal / max(e - s, oe - os)))
             yield pd.DataFrame(out, columns=["doc_id", "start", "end", "other_id", "other_start", "other_end", "words", "identity"])
@@ -236,9 +262,9 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ends = linked.select("doc", "s", "e").union(linked.select("ref", "rs", "re")).distinct()
     wanted = ends.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("wanted"))
     one_each = texts.join(wanted, "doc")
-    slices = common.stage(one_each.mapInPandas(_sliced, "doc long, s int, e int, words binary"), "slices").dropDuplicates(["doc", "s", "e"])
-    pairs = linked.join(slices.withColumnRenamed("words", "a"), ["doc", "s", "e"])
-    pairs = pairs.join(slices.toDF("ref", "rs", "re", "b"), ["ref", "rs", "re"])
+    slices = common.stage(one_each.mapInPandas(_sliced, "doc long, s int, e int, low int, words binary"), "slices").dropDuplicates(["doc", "s", "e"])
+    pairs = linked.join(slices.withColumnsRenamed({"low": "at", "words": "a"}), ["doc", "s", "e"])
+    pairs = pairs.join(slices.toDF("ref", "rs", "re", "other", "b"), ["ref", "rs", "re"])
     return pairs.mapInPandas(_aligned_rows(min_words), _PASSAGE).distinct()
 
 

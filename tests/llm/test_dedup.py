@@ -173,3 +173,17 @@ def test_all_passages_of_a_chain_are_found(spark, inserted):
     assert found == {(2, 40, 100, 1, 40, 100), (2, 180 + 2 * inserted, 250 + 2 * inserted, 1, 180 + inserted, 250 + inserted)}
     cut = {r.doc_id: r.text for r in passages.without_repeats(df).collect()}
     assert " ".join(one) not in cut[2] and " ".join(two) not in cut[2]
+
+
+@pytest.mark.parametrize("period", [1, 2, 7, 16])
+def test_periodic_passages_have_their_whole_extent(spark, period):
+    rng = random.Random(12)
+    unit = words(rng, period).split()
+    run = (unit * 600)[:600]
+    docs = [(1, " ".join(words(rng, 90).split() + run)), (2, " ".join(words(rng, 30).split() + run + words(rng, 120).split()))]
+    docs += [(3, " ".join(run + words(rng, 10).split()))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r.doc_id, r.start, r.end, r.other_id, r.other_start, r.other_end) for r in passages.shared_passages(df).collect()}
+    assert {(2, 30, 630, 1, 90, 690), (3, 0, 600, 1, 90, 690)} <= found
+    left = {r.doc_id: len(r.text.split()) for r in passages.without_repeats(df).collect()}
+    assert left == {1: 690, 2: 150, 3: 10}
