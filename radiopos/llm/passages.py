@@ -10,6 +10,9 @@
 4. Chains are aligned on words, MARGIN words to either side included, and the whole of a periodic stretch there, as
    seeds of equal hash count once: along the diagonal, or by matching blocks where
    words were inserted or lost. All passages of MIN_WORDS equal words or more are returned: a chain may hold several.
+5. The reference of a seed may share less than a passage and hide a document that shares more. So every run of
+   MIN_WORDS words that no passage of its document holds and whose seeds all occur elsewhere meets the least document
+   that has the whole run: a run of MIN_WORDS words that a document of smaller doc_id has too is always in a passage.
 
 Words end at ASCII white space and A-Z is lower-cased.
 
@@ -42,17 +45,23 @@ def word_codes(text: str) -> np.ndarray:
     return np.fromiter(map(crc32, words), np.uint32, len(words))
 
 
+def hashes(codes: np.ndarray, size: int, at: np.ndarray | slice) -> np.ndarray:
+    """Hashes of the runs of `size` words that start at the positions `at`."""
+    n = len(codes) - size + 1
+    h = np.zeros(n, np.uint64)[at]
+    for i in range(size):
+        h = h * _BASE + codes[i : i + n][at]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
 def seeds(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and word positions of the text's minimisers; a run of equal ones counts once."""
     codes = word_codes(text).astype(np.uint64)
     n = len(codes) - KMER + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    for i in range(KMER):
-        h = h * _BASE + codes[i : i + n]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
+    h = hashes(codes, KMER, slice(None))
     width = min(WINDOW, n)
     views = np.lib.stride_tricks.sliding_window_view(h, width)
     at = np.unique(np.concatenate([np.arange(a, min(a + 65536, len(views))) + views[a : a + 65536].argmin(axis=1) for a in range(0, len(views), 65536)]))
@@ -248,6 +257,58 @@ def _aligned_rows(least: int):
     return run
 
 
+def windows(text: str, shared: list[int], found: list | None, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, position and whether no passage in `found` holds it, of every run of `least` words whose seeds are all in
+    `shared`. Runs of a periodic stretch are given until they repeat, and then in steps that cover it."""
+    codes = word_codes(text).astype(np.uint64)
+    n = len(codes) - least + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+    bad = np.zeros(n + 1, np.int64)
+    inner = least - KMER - WINDOW + 2  # windows of seeds within a run
+    if inner > 0:
+        low = hashes(codes, KMER, slice(None))
+        for k in (1, 2, 4, 8):
+            low = np.minimum(low[:-k], low[k:])
+        lacks = np.concatenate([[0], np.cumsum(~np.isin(low.view(np.int64), np.array(shared, np.int64)))])
+        bad = lacks[inner:] - lacks[:-inner]
+    at = np.flatnonzero(bad[:n] == 0)
+    h = np.zeros(n, np.uint64)
+    h[at] = hashes(codes, least, at)
+    again = np.zeros(n + 1, bool)
+    for p in range(1, min(WINDOW, n - 1) + 1):
+        again[p:n] |= (h[p:] == h[:-p]) & (h[p:] != 0)
+    held = np.zeros(n + 1, np.int64)
+    for f in () if found is None else found:
+        if f["end"] - f["start"] >= least:
+            held[f["start"]] += 1
+            held[f["end"] - least + 1] -= 1
+    at = at[~again[at] | ~again[at + 1] | (at % min(least, 2 * WINDOW) == 0)]
+    return h[at].view(np.int64), at.astype(np.int32), np.cumsum(held)[at] == 0
+
+
+def _window_rows(least: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for doc, text, shared, found in zip(b["doc"], b["text"], b["shared"], b["found"], strict=True):
+                h, pos, loose = windows(text, shared, found, least)
+                if len(h):
+                    yield pd.DataFrame({"h": h, "doc": doc, "pos": pos, "loose": loose})
+
+    return run
+
+
+def _aligned(texts: DataFrame, linked: DataFrame, min_words: int) -> DataFrame:
+    """The passages of the chains `linked`."""
+    ends = linked.select("doc", "s", "e").union(linked.select("ref", "rs", "re")).distinct()
+    wanted = ends.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("wanted"))
+    one_each = texts.join(wanted, "doc")
+    slices = common.stage(one_each.mapInPandas(_sliced, "doc long, s int, e int, low int, words binary"), "slices").dropDuplicates(["doc", "s", "e"])
+    pairs = linked.join(slices.withColumnsRenamed({"low": "at", "words": "a"}), ["doc", "s", "e"])
+    pairs = pairs.join(slices.toDF("ref", "rs", "re", "other", "b"), ["ref", "rs", "re"])
+    return pairs.mapInPandas(_aligned_rows(min_words), _PASSAGE)
+
+
 def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Passages [start, end) in words of doc_id that other_id, the reference, has at [other_start, other_end)."""
     labelled.small_batches(docs.sparkSession)
@@ -256,16 +317,23 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # every document counts once, with its first occurrence
     own = found.filter("first").groupBy("h").agg(F.min("doc").alias("ref"), F.min_by("pos", "doc").alias("ref_pos"), F.count(F.lit(1)).alias("n"))
     refs = own.filter("n > 1").drop("n")
-    matches = common.stage(found.drop("first").join(refs, "h").filter("doc != ref").select("doc", "ref", "pos", "ref_pos"), "matches")
-    dealt = matches.repartition(matches.count() // 200_000 + 1, "doc", "ref").sortWithinPartitions("doc", "ref", "pos", "ref_pos")
+    matches = common.stage(found.join(refs, "h").select("h", "doc", "ref", "pos", "ref_pos", "first"), "matches")
+    others = matches.filter("doc != ref").drop("h", "first")
+    dealt = others.repartition(matches.count() // 200_000 + 1, "doc", "ref").sortWithinPartitions("doc", "ref", "pos", "ref_pos")
     linked = common.stage(dealt.mapInPandas(_chained, _CHAIN), "chains")
-    ends = linked.select("doc", "s", "e").union(linked.select("ref", "rs", "re")).distinct()
-    wanted = ends.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("wanted"))
-    one_each = texts.join(wanted, "doc")
-    slices = common.stage(one_each.mapInPandas(_sliced, "doc long, s int, e int, low int, words binary"), "slices").dropDuplicates(["doc", "s", "e"])
-    pairs = linked.join(slices.withColumnsRenamed({"low": "at", "words": "a"}), ["doc", "s", "e"])
-    pairs = pairs.join(slices.toDF("ref", "rs", "re", "other", "b"), ["ref", "rs", "re"])
-    return pairs.mapInPandas(_aligned_rows(min_words), _PASSAGE).distinct()
+    passages = common.stage(_aligned(texts, linked, min_words).distinct(), "passages")
+    # what no passage holds yet meets the least document that has the whole run of min_words words
+    shared = matches.filter("first").groupBy("doc").agg(F.collect_set("h").alias("shared"))
+    spans = passages.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct("start", "end")).alias("found"))
+    whole = texts.join(shared, "doc").join(spans, "doc", "left")
+    rows = common.stage(whole.mapInPandas(_window_rows(min_words), "h long, doc long, pos int, loose boolean"), "windows")
+    least = rows.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("least"), F.max("loose").alias("loose")).filter("loose").drop("loose")
+    met = rows.filter("loose").join(least, "h").filter("doc != least.doc")
+    met = met.groupBy("doc", F.col("least.doc").alias("ref"), (F.col("pos") - F.col("least.pos")).alias("shift"))
+    met = met.agg(F.min("pos").alias("s"), (F.max("pos") + min_words).alias("e"))
+    met = met.select("doc", "ref", "s", "e", (F.col("s") - F.col("shift")).alias("rs"), (F.col("e") - F.col("shift")).alias("re"), F.lit(False).alias("bent"))
+    more = _aligned(texts, common.stage(met, "more-chains"), min_words)
+    return passages.union(more).distinct()
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

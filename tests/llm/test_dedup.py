@@ -187,3 +187,26 @@ def test_periodic_passages_have_their_whole_extent(spark, period):
     assert {(2, 30, 630, 1, 90, 690), (3, 0, 600, 1, 90, 690)} <= found
     left = {r.doc_id: len(r.text.split()) for r in passages.without_repeats(df).collect()}
     assert left == {1: 690, 2: 150, 3: 10}
+
+
+def test_every_run_shared_with_a_lower_document_is_in_a_passage(spark):
+    rng = random.Random(13)
+    lines = [words(rng, 20).split() for _ in range(12)]
+    texts = [words(rng, 30).split() + line + words(rng, 30).split() for line in lines]  # each line alone, in lower documents
+    texts += [words(rng, 25).split() + sum(lines[a:b], []) + words(rng, 25).split() for a, b in ((0, 3), (0, 3), (2, 7), (1, 6), (5, 12), (6, 12))]
+    texts += [(["ab", "c"] * 20) + words(rng, 30).split(), words(rng, 9).split() + ["ab", "c"] * 200, ["c", "ab"] * 300 + lines[3]]
+    texts += [lines[8] + words(rng, 40).split() + lines[9] + words(rng, 40).split() + lines[8] + lines[9] + lines[10], lines[8] + lines[9] + lines[10]]
+    least = passages.MIN_WORDS
+    seen, expected = {}, []
+    for doc, t in enumerate(texts):
+        for i in range(len(t) - least + 1):
+            run = tuple(t[i : i + least])
+            if seen.setdefault(run, doc) < doc:
+                expected.append((doc, i))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    covered = {}
+    for r in passages.shared_passages(docs).collect():
+        assert r.other_id < r.doc_id and r.words >= least
+        covered.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    assert (13, 25) in expected and (20, 0) in expected
+    assert [(d, i) for d, i in expected if not set(range(i, i + least)) <= covered.get(d, set())] == []
