@@ -210,3 +210,17 @@ def test_every_run_shared_with_a_lower_document_is_in_a_passage(spark):
         covered.setdefault(r.doc_id, set()).update(range(r.start, r.end))
     assert (13, 25) in expected and (20, 0) in expected
     assert [(d, i) for d, i in expected if not set(range(i, i + least)) <= covered.get(d, set())] == []
+
+
+def test_similar_texts_are_decided_by_their_shingles(spark):
+    rng = random.Random(14)
+    data = []
+    for k in range(30):  # a Jaccard similarity of 0.8 on 4 and 5 shingles, and of 91 in 117 or 0.78
+        short, long = words(rng, 8), words(rng, 108).split()
+        data += [(10 * k, short), (10 * k + 1, short + " more"), (10 * k + 2, " ".join(long)), (10 * k + 3, " ".join(long[:-13] + words(rng, 13).split()))]
+    sets = {i: {tuple(t.split()[a : a + 5]) for a in range(len(t.split()) - 4)} for i, t in data}
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    expected = {i for i, _ in data if not (i % 2 and near(i - 1, i))}
+    got = simhash.keep(spark.createDataFrame(data, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == expected
+    assert len(expected) == 90
