@@ -208,3 +208,21 @@ def test_digest_of_no_spans(spark, tmp_path):
     got = {r.doc_id: r for r in pii.op5_pii(spark, str(tmp_path)).collect()}
     assert got[1].base_sha256 == hashlib.sha256(b"").hexdigest() and got[1].spans == ""
     assert got[2].base_sha256 == hashlib.sha256(b"email:0:6").hexdigest() and got[2].n_email == 1
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<h1>Title</h1><p>{0}</p><blockquote>quoted</blockquote><p>{1}</p>",
+        "<p>{0}</p><ul><li>one</li></ul><p>{1}</p><table><tr><td>cell</td></tr></table>",
+        "<div class='a'>{0}</div><div class='b'>{1}</div>",
+        "<section><p>{0}</p></section><p>{1}</p><figure>image</figure>",
+    ],
+)
+@pytest.mark.parametrize("page", ["<html><body>{0}</body></html>", "{0}", "<body class='x'><nav>menu</nav>{0}</body>"])
+def test_text_beside_other_blocks_is_kept(body, page):
+    texts = ["first " * 40, "second " * 30]
+    items = list(html.nested(html.tokens(page.format(body.format(*texts)))))
+    got = html.extract(items, html.container([items]), True).split()
+    expected = re.sub("<nav>.*?</nav>|<[^>]*>", " ", page.format(body.format(*texts))).split()
+    assert got == expected
