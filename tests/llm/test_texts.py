@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from radiopos.llm import html, labelled, pieces, pii, quality, toxicity
+from radiopos.llm import labelled, pieces, pii, quality, toxicity
 
 ODD = [None, "", " ", "x" * 20_000, "12 34-" * 5000, "a@" * 5000, "1." * 5000, "+1" * 5000, "é\U0001f600 +12 345 678 901 ü a@b.cc"]
 
@@ -173,31 +173,6 @@ def test_words_are_bounded(monkeypatch):
     assert codec.decode(codec.encode(text)) == text and len(codec.words) <= 10 and len(codec.words.old) <= 10
 
 
-PAGE = """<!DOCTYPE html><html><head><title>T</title><script>if (a<b) "</p>";</script></head><body><nav><a href=/>x</a></nav>
-<div class="ad">buy</div><article><h1>Head {n}</h1><p>One &amp; <b>two</b><br>three<p>four{more}</article><!-- <p>no</p> --><div id=comments><p>c</p></div><footer>f</footer></body></html>"""
-
-
-def test_main_text(spark):
-    pages = [(i, f"http://h{i % 3}.example/{i}", PAGE.format(n=i, more="<ul><li>a<li>b</ul>" if i % 2 else "")) for i in range(30)]
-    odd = [(100, None, None), (101, "nonsense", ""), (102, "http://h0.example/", "plain & simple"), (103, "http://h0.example/z", "<p>a</p><script>x</p>"), (104, "http://h9.example", "<div><" * 2000), pages[0], (None, None, "<main>m</main>t")]
-    df = spark.createDataFrame([(*r, 1) for r in pages + odd], "page_id long, url string, html string, host int")
-    got = {r.page_id: r.text for r in html.main_text(df).collect()}
-    for i in range(30):
-        assert got[i] == f"Head {i}\nOne & two three\nfour" + ("\na\nb" if i % 2 else "")
-    assert (got[100], got[101], got[102], got[103], got[None]) == ("", "", "plain & simple", "a", "m")
-    assert html.main_text(df.limit(0)).count() == 0
-
-
-def test_wrappers_generalise():
-    pages = [f"<body><h1>t</h1>{'<p>x</p>' * k}{'<div>o</div>' if k % 2 else ''}</body>" for k in range(1, 6)]
-    _, pattern = html.infer(pages)
-    match = lambda p: html.fits(re.compile(pattern), list(html.nested(html.tokens(p))))
-    assert all(map(match, pages))
-    assert match("<body><h1>t</h1>" + "<p>x</p>" * 50 + "</body>")
-    assert not match("<body><table>t</table></body>")
-    assert "|" not in pattern
-
-
 @pytest.mark.parametrize("text", ["", "A", "a b", "é" * 10])
 def test_quality_features_of_short_texts(text):
     assert quality.features(text).dtype == np.int32
@@ -208,21 +183,3 @@ def test_digest_of_no_spans(spark, tmp_path):
     got = {r.doc_id: r for r in pii.op5_pii(spark, str(tmp_path)).collect()}
     assert got[1].base_sha256 == hashlib.sha256(b"").hexdigest() and got[1].spans == ""
     assert got[2].base_sha256 == hashlib.sha256(b"email:0:6").hexdigest() and got[2].n_email == 1
-
-
-@pytest.mark.parametrize(
-    "body",
-    [
-        "<h1>Title</h1><p>{0}</p><blockquote>quoted</blockquote><p>{1}</p>",
-        "<p>{0}</p><ul><li>one</li></ul><p>{1}</p><table><tr><td>cell</td></tr></table>",
-        "<div class='a'>{0}</div><div class='b'>{1}</div>",
-        "<section><p>{0}</p></section><p>{1}</p><figure>image</figure>",
-    ],
-)
-@pytest.mark.parametrize("page", ["<html><body>{0}</body></html>", "{0}", "<body class='x'><nav>menu</nav>{0}</body>"])
-def test_text_beside_other_blocks_is_kept(body, page):
-    texts = ["first " * 40, "second " * 30]
-    items = list(html.nested(html.tokens(page.format(body.format(*texts)))))
-    got = html.extract(items, html.container([items]), True).split()
-    expected = re.sub("<nav>.*?</nav>|<[^>]*>", " ", page.format(body.format(*texts))).split()
-    assert got == expected
