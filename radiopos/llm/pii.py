@@ -2,13 +2,16 @@
 
 Base spans follow fixed rules: leftmost non-overlapping matches of one pattern a kind, those that fail their test
 (an IP part over 255, Luhn, number of digits) dropped. High-recall generators then propose further spans that may
-overlap: e-mail addresses with the signs spelt out, numbers in other notations. Boosted trees score a candidate by
-format and context; the threshold is the least one at which nine in ten (PRECISION) held-out candidates of the
-training rows are right. Candidates at or above it that touch no base span are added.
+overlap, some of them several a kind: addresses with signs spelt out or in brackets, cards with other separators or
+beside other numbers, phones without a plus or beside other numbers. Boosted trees score a candidate by its format and
+its context. Candidates at or above their kind's threshold that touch no base span are added, best score first.
 
-Training rows are at most SAMPLE candidates (a parameter) with labels by rule: 1 if the base rule holds for the
-candidate, 0 if it has the base form but fails the test, or sits inside a longer word or number. Other notations
-have no label. The trees become one CASE expression, so scoring is one pass without a shuffle.
+Training needs no labelled table. A bounded sample of excerpts of the documents (DOCS documents, a parameter) gets
+injected strings, drawn by hash from FORMS: personal data in known forms, and look-alikes. A candidate's label is 1 if
+it is exactly an injected or a base span of its kind, else 0; so natural text beside the injections, parts of a span
+and spans that reach too far are negatives too. The trees learn from three quarters of the documents; on the other
+quarter an isotonic regression a kind turns their sums into probabilities, and the threshold is the least sum with a
+probability of PRECISION. The trees become one CASE expression, so all documents take one pass without a shuffle.
 
 Patterns are linear in the text: possessive loops, and starts only where a run of characters starts.
 
@@ -24,14 +27,16 @@ from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE = 20_000
+#: Sampled documents, forms injected into each, and training candidates at most.
+DOCS, FORMS_EACH, SAMPLE = 2_000, 8, 30_000
 PRECISION = 0.9
-TREES, DEPTH = 12, 3
+TREES, DEPTH = 16, 4
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -41,17 +46,24 @@ BASE = {
 }
 #: A text without this has no base match of the kind.
 _SIGN = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-_SPELT = r"@|\[at\]|\(at\)|\x20at\x20"
-_LOCAL, _LABEL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+", r"[A-Za-z0-9-]{1,63}+"
-GENERATORS = {
-    "email": rf"{_LOCAL}(?:\x20?(?:@|\[at\]|\(at\))\x20?{_LABEL}(?:(?:\.|\x20?\[dot\]\x20?|\x20?\(dot\)\x20?){_LABEL})++|\x20at\x20{_LABEL}(?:\x20dot\x20{_LABEL})++)",
-    "ip": r"(?<![0-9.])[0-9]{1,4}+(?:\.[0-9]{1,4}+){3}",
-    "card": r"(?<![0-9])[0-9](?:[\x20./-]?[0-9]){11,19}+",
-    "phone": r"(?<![0-9])(?:\+|\()?[0-9][\x20().0-9/-]{6,20}[0-9]",
-}
+_AT = r"(?:\x20?(?:@|[\[({<]\x20?(?:at|AT|@)\x20?[\])}>])\x20?|\x20(?:at|AT)\x20)"
+_DOT = r"(?:\.|\x20?[\[({<]\x20?(?:dot|DOT|\.)\x20?[\])}>]\x20?|\x20(?:dot|DOT)\x20)"
+_WORD, _LABEL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++", r"[A-Za-z0-9-]++"
+_OCTET = r"[0-9]{1,3}+"
+GENERATORS = (
+    ("email", rf"{_WORD}{_AT}{_LABEL}(?:{_DOT}{_LABEL})++"),
+    ("ip", rf"(?<![0-9.]){_OCTET}(?:(?:\x20?\.\x20?|-|\x20?[\[({{<]\x20?(?:dot|DOT|\.)\x20?[\])}}>]\x20?|\x20(?:dot|DOT)\x20){_OCTET}){{3}}"),
+    ("card", r"(?<![0-9])[0-9](?:[\x20./_-]{0,2}[0-9]){12,18}+"),
+    ("card", r"(?<![0-9])(?:[0-9]{4}[\x20./_-]{0,2}){3}[0-9]{4}(?![0-9])"),
+    ("phone", r"(?<![0-9])[+(]?[0-9](?:[\x20()./-]{0,2}[0-9]){8,14}+"),
+    ("phone", r"(?<![0-9])(?:(?:\+|00)[0-9]{1,3}[\x20./-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[\x20./-]?[0-9]{3}[\x20./-]?[0-9]{4}(?![0-9])"),
+)
+#: Texts without this have no candidates of the generators: an address sign, or seven digits close together, or four numbers.
+_SPELT = r"@|[\[({<]\x20?(?:at|AT)\x20?[\])}>]|\x20(?:at|AT)\x20[A-Za-z0-9-]++(?:\.[A-Za-z0-9]|\x20?[\[({<]?\x20?(?:dot|DOT))"
+_NUMBERS = r"[0-9](?:[^0-9A-Za-z]{0,3}[0-9]){8}|[0-9]{1,3}(?:[^0-9]{1,7}[0-9]{1,3}){3}"
 _SPAN = "array<struct<s:int,e:int,m:string>>"
-FEATURES = ("kind_no", "digits", "letters", "signs", "groups", "longest", "length", "plus", "at", "dots", "spaces", "tail", "left_word", "right_word", "left_space", "right_space", "hint", "quoted")
-_HINT = r"(?i)(?:mail|phone|tel|call|fax|contact|card|visa|ip|host|server|address|@)\W{0,3}$"
+FEATURES = ("kind_no", "digits", "letters", "signs", "groups", "longest", "shortest", "length", "plus", "zeros", "spelt_at", "sign_at", "dots", "spaces", "brackets", "tail", "valid", "left_word", "right_word", "left_number", "right_number", "left_sign", "hint", "capital")
+_HINT = r"(?i)(?:mail|phone|tel|call|fax|contact|card|visa|ip|host|server|address|reach|write)\W{0,3}$"
 
 
 def _hits(pattern: str, sign: str) -> Column:
@@ -103,90 +115,169 @@ def _held(kind: str) -> Column:
 
 def base_spans(docs: DataFrame) -> DataFrame:
     """docs with one array of spans (s, e, m) a kind: base_email and so on. `text` is not null any more."""
-    docs = docs.drop("candidates", "spans", "_added", *(f"{p}_{k}" for p in ("hits", "base", "gen") for k in KINDS))
+    docs = docs.drop("candidates", "spans", "_added", "_some", *(f"{p}_{k}" for p in ("hits", "base") for k in KINDS), *(f"{p}_{i}" for p in ("hits", "gen") for i in range(len(GENERATORS))))
     out = docs.withColumn("text", common.text_of())
     out = out.select("*", *(_hits(BASE[k], _SIGN[k]).alias(f"hits_{k}") for k in KINDS))
     out = out.select(*docs.columns, *(_placed(f"hits_{k}", BASE[k]).alias(f"base_{k}") for k in KINDS))
     return out.select(*docs.columns, *(_held(k).alias(f"base_{k}") for k in KINDS))
 
 
-def _features(kind_no: int, c: Column) -> dict[str, Column]:
-    m = F.regexp_replace(F.regexp_replace(c["m"], rf"\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?", "@"), rf"\x20?(?:\[dot\]|\(dot\)|\x20dot\x20)\x20?", ".")
-    left, right = F.substring(F.col("text"), F.greatest(c["s"] - 23, F.lit(1)), F.least(c["s"], F.lit(24))), F.substring(F.col("text"), c["e"] + 1, F.lit(2))
-    count = lambda p: F.regexp_count(m, F.lit(p))
+def _features(kind: str, c: Column) -> dict[str, Column]:
+    plain = F.regexp_replace(F.regexp_replace(c["m"], _AT, "@"), _DOT, ".") if kind == "email" else F.regexp_replace(c["m"], r"[^0-9]+", ".") if kind == "ip" else c["m"]
+    left, right = F.substring(F.col("text"), F.greatest(c["s"] - 23, F.lit(1)), F.least(c["s"], F.lit(24))), F.substring(F.col("text"), c["e"] + 1, F.lit(3))
+    count = lambda p: F.regexp_count(c["m"], F.lit(p))
     flag = lambda text, p: text.rlike(p).cast("int")
-    numbers = F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))
+    sizes = F.transform(F.regexp_extract_all(c["m"], F.lit("[0-9]+"), F.lit(0)), F.length)
+    valid = _valid(kind, plain).cast("int") if kind != "email" else flag(plain, r"^[^@]+@[^@]+\.[A-Za-z]{2,6}$")
     return {
-        "kind_no": F.lit(kind_no), "digits": count("[0-9]"), "letters": count("[A-Za-z]"), "signs": count("[^0-9A-Za-z]"), "groups": F.size(numbers),
-        "longest": F.coalesce(F.array_max(F.transform(numbers, F.length)), F.lit(0)), "length": F.length(m), "plus": flag(m, r"^\+"), "at": count("@"), "dots": count(r"\."), "spaces": count(" "),
-        "tail": F.length(F.regexp_extract(m, r"([A-Za-z]*)$", 1)), "left_word": flag(left, r"[A-Za-z0-9_]$"), "right_word": flag(right, r"^[A-Za-z0-9_]"), "left_space": flag(left, r"(?:^|\s)$"), "right_space": flag(right, r"^(?:$|[\s.,;])"),
-        "hint": flag(left, _HINT), "quoted": flag(left, r"[\"'=]\s?$"),
+        "kind_no": F.lit(KINDS.index(kind)), "digits": count("[0-9]"), "letters": count("[A-Za-z]"), "signs": count("[^0-9A-Za-z]"), "groups": F.size(sizes),
+        "longest": F.coalesce(F.array_max(sizes), F.lit(0)), "shortest": F.coalesce(F.array_min(sizes), F.lit(0)), "length": F.length(c["m"]), "plus": flag(c["m"], r"^\+"), "zeros": flag(c["m"], "^00"),
+        "spelt_at": flag(c["m"], r"(?i)[^A-Za-z0-9]at[^A-Za-z0-9]"), "sign_at": count("@"), "dots": count(r"\."), "spaces": count(" "), "brackets": count(r"[\[\](){}<>]"),
+        "tail": F.length(F.regexp_extract(plain, r"([A-Za-z]*)$", 1)), "valid": valid, "left_word": flag(left, r"[A-Za-z_]$"), "right_word": flag(right, r"^[A-Za-z_@]"), "left_number": flag(left, r"[0-9][^A-Za-z0-9]{0,2}$"), "right_number": flag(right, r"^[^A-Za-z0-9]{0,2}[0-9]"),
+        "left_sign": flag(left, r"[^A-Za-z0-9\s(\[\"'<:]$"), "hint": flag(left, _HINT), "capital": flag(right, r"^\s*[A-Z]"),
     }
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """base_spans with `candidates`: kind_no, s, e, m, features and the rule's label y (null: none)."""
+    """base_spans with `candidates`: kind_no, s, e, m and the other features; those equal to a base span as well."""
     based = base_spans(docs)
-    some = F.col("text").rlike(rf"[0-9]|{_SPELT}")
-    out = based.select("*", *(F.when(some, F.regexp_extract_all("text", F.lit(GENERATORS[k]), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(f"hits_{k}") for k in KINDS))
-    out = out.select(*based.columns, *(_placed(f"hits_{k}", GENERATORS[k]).alias(f"gen_{k}") for k in KINDS))
-
-    def described(no: int, kind: str) -> Column:
-        def one(c: Column) -> Column:
-            f = _features(no, c)
-            base = F.exists(f"base_{kind}", lambda b: (b["s"] == c["s"]) & (b["e"] == c["e"]))
-            form = c["m"].rlike(f"^(?:{BASE[kind]})$")
-            inside = (f["left_word"] == 1) | (f["right_word"] == 1)
-            y = F.when(base, 1).when(form | inside, 0)
-            return F.struct(c["s"].alias("s"), c["e"].alias("e"), c["m"].alias("m"), y.alias("y"), *(v.cast("double").alias(n) for n, v in f.items()))
-
-        return F.transform(f"gen_{kind}", one)
-
-    return out.select(*based.columns, F.concat(*(described(i, k) for i, k in enumerate(KINDS))).alias("candidates"))
-
-
-def train(found: DataFrame, size: int = SAMPLE) -> tuple[str, float] | None:
-    """A SQL expression over a candidate `c` for the trees' sum, and its threshold; None if the rows are too few."""
-    rows = found.select("doc_id", F.inline("candidates")).filter("y IS NOT NULL")
-    draw = F.xxhash64("doc_id", "m", "s")
-    rows = common.stage(rows.orderBy(draw, "m", "s").limit(size).select("y", (F.pmod(draw, F.lit(4)) == 0).alias("aside"), *FEATURES), "pii-sample")
+    some = {"email": F.col("text").rlike(_SPELT), "other": F.col("text").rlike(_NUMBERS)}
+    out = based.withColumn("_some", F.struct(*(c.alias(k) for k, c in some.items())))
+    hits = lambda k, p: F.when(F.col("_some")["email" if k == "email" else "other"], F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    out = out.select("*", *(hits(k, p).alias(f"hits_{i}") for i, (k, p) in enumerate(GENERATORS)))
+    out = out.select(*based.columns, *(_placed(f"hits_{i}", p).alias(f"gen_{i}") for i, (_, p) in enumerate(GENERATORS)))
+
+    def described(i: int, kind: str) -> Column:
+        return F.transform(f"gen_{i}", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["m"].alias("m"), *(v.cast("double").alias(n) for n, v in _features(kind, c).items())))
+
+    return out.select(*based.columns, F.concat(*(described(i, k) for i, (k, _) in enumerate(GENERATORS))).alias("candidates"))
+
+
+def _forms() -> list[tuple[str, Column]]:
+    """(kind, or '' for a look-alike; the string to inject). Digits and names are hashed from `doc_id` and the text."""
+    number = lambda n, salt: F.lpad(F.pmod(F.xxhash64("excerpt", F.lit(salt)), F.lit(10**n)).cast("string"), n, "0")
+    octet = lambda salt: F.pmod(F.xxhash64("excerpt", F.lit(salt)), F.lit(256)).cast("string")
+    pick = lambda salt, *of: F.element_at(F.array(*map(F.lit, of)), (F.pmod(F.xxhash64("excerpt", F.lit(salt)), F.lit(len(of))) + 1).cast("int"))
+    word = lambda salt: F.coalesce(F.get("words", F.pmod(F.xxhash64("excerpt", F.lit(salt)), F.greatest(F.size("words"), F.lit(1))).cast("int")), F.lit("name"))
+    join = lambda sign, parts: reduce(lambda a, b: F.concat(a, sign if isinstance(sign, Column) else F.lit(sign), b), parts)
+    user = F.concat(word("u"), pick("us", ".", "_", "", "-"), number(2, "un"))
+    site, end = F.concat(word("d"), pick("dn", "", "7", "-net")), pick("t", "com", "org", "net", "de", "co.uk", "fr")
+    at, dot = pick("at", " [at] ", " (at) ", "(at)", "[at]", " {at} ", " at ", " AT ", " [AT] ", "<at>", " @ ", "[@]"), pick("dot", " [dot] ", "(dot)", " (dot) ", "[dot]", " dot ", " DOT ", "[.]")
+    octets = [octet(f"o{i}") for i in range(4)]
+    fifteen = F.concat(pick("c0", "3", "4", "5", "6"), number(14, "c1"))
+    cards = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(fifteen, d.cast("string")))
+    card, wrong = F.get(F.filter(cards, _luhn), F.lit(0)), F.get(F.filter(cards, lambda m: ~_luhn(m)), F.lit(3))
+    grouped = lambda c, sign: join(sign, [F.substring(c, 4 * i + 1, 4) for i in range(4)])
+    odd = pick("cs", ".", "/", "_", "  ", " - ", "--")
+    area, three, four = F.concat(pick("p0", "2", "4", "7", "9"), number(2, "p1")), number(3, "p3"), number(4, "p4")
+    country = pick("cc", "1", "33", "44", "49", "351")
+    small = number(2, "n2")
+    return [
+        ("email", F.concat(user, F.lit("@"), site, F.lit("."), end)),
+        *[("email", F.concat(user, at, site, dot, end))] * 3,
+        *[("email", F.concat(user, at, site, F.lit("."), end))] * 2,
+        ("ip", join(".", octets)),
+        *[("ip", join(pick("is", "[.]", "(.)", " dot ", "[dot]", " . ", "(dot)", " [.] ", " (dot) "), octets))] * 3,
+        ("card", card),
+        ("card", grouped(card, pick("cb", " ", "-"))),
+        *[("card", grouped(card, odd))] * 2,
+        ("phone", F.concat(F.lit("+"), country, F.lit(" ("), area, F.lit(") "), three, F.lit("-"), four)),
+        *[("phone", F.concat(F.lit("00"), country, pick("f1", " ", "-", "/", "."), area, pick("f2", " ", "-", ""), three, pick("f3", " ", "-", ""), four))] * 2,
+        *[("phone", F.concat(F.lit("("), area, F.lit(")"), pick("f4", " ", "", "-"), three, pick("f5", "-", " ", "."), four))] * 2,
+        *[("phone", join(pick("f6", "-", ".", " "), [area, three, four]))] * 2,
+        ("phone", F.concat(F.lit("+"), country, F.lit("/"), area, F.lit("/"), three, four)),
+        # look-alikes
+        ("", F.concat(word("a"), pick("x1", " at ", " @ "), word("b"))),
+        ("", F.concat(word("a"), F.lit(" at "), word("b"), pick("x2", ".", " dot "), word("c"))),
+        ("", F.concat(word("a"), F.lit(" at "), small, F.lit("."), number(2, "n3"), F.lit(" "), word("b"))),
+        ("", F.concat(F.lit("@"), word("a"), F.lit("."), word("b"))),
+        ("", join(pick("x3", ".", "-", " . ", "[.]"), [F.concat(F.lit("9"), number(2, "q1")), octets[1], octets[2], octets[3]])),
+        ("", join(pick("x4", ".", " . "), [*octets, number(2, "q5")])),
+        ("", F.concat(F.lit("20"), small, F.lit("-"), pick("x5", "01", "07", "12"), F.lit("-"), pick("x6", "03", "18", "29"), F.lit(" "), pick("x7", "08", "21"), F.lit(":"), pick("x8", "00", "45"), F.lit(":"), number(2, "q9"))),
+        ("", join("-", [pick("x9", "10", "25"), pick("xa", "02", "11"), F.concat(F.lit("20"), small), number(2, "qa")])),
+        ("", wrong),
+        ("", grouped(wrong, F.when(F.length(odd) > 1, F.lit(" ")).otherwise(odd))),
+        ("", F.concat(pick("xb", "978", "979"), F.lit("-"), number(1, "qb"), F.lit("-"), number(4, "qc"), F.lit("-"), number(4, "qd"), F.lit("-"), number(1, "qe"))),
+        ("", F.concat(number(1, "qf"), F.lit("."), number(14, "qg"))),
+        ("", join(pick("xc", " ", ".", ","), [small, *(number(3, f"qh{i}") for i in range(3))])),
+        ("", join(pick("xd", " ", ", ", "-"), [F.concat(F.lit("19"), number(2, "qi")), F.concat(F.lit("20"), number(2, "qj")), number(4, "qk")])),
+        ("", F.concat(pick("xe", "no ", "id ", "#", "order "), number(10, "ql"))),
+        ("", F.concat(F.lit("0."), number(10, "qm"))),
+        ("", join("/", [number(4, "qn"), number(4, "qo"), number(3, "qp")])),
+    ]
+
+
+def training_rows(docs: DataFrame, size: int = DOCS) -> DataFrame:
+    """doc_id, y and the features of the candidates in excerpts with an injected string each."""
+    draw = F.xxhash64(F.col("doc_id").cast("string"))
+    chosen = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(draw, "doc_id").limit(size)
+    text = common.text_of()
+    at = F.pmod(draw, F.greatest(F.length(text) - 200, F.lit(1))) + 1
+    rows = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", F.substring(text, at.cast("int"), F.lit(240)).alias("excerpt"))
+    rows = common.stage(rows.groupBy("doc_id").agg(F.max("excerpt").alias("excerpt")), "pii-excerpts").repartition(16, "doc_id")
+    rows = rows.withColumn("words", F.regexp_extract_all("excerpt", F.lit("[A-Za-z]{2,12}"), F.lit(0)))
+    forms = F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("string")) for k, v in _forms()))
+    rows = rows.select("doc_id", "excerpt", F.posexplode(forms).alias("n", "f"))
+    rows = rows.filter(F.pmod(F.xxhash64("doc_id", "n"), F.lit(len(_forms()))) < FORMS_EACH)
+    lead = F.element_at(F.array(*map(F.lit, ("", "", "", "", "tel: ", "mail: ", "call ", "12 ", "card ", "server ", "contact "))), (F.pmod(F.xxhash64("excerpt", "n"), F.lit(11)) + 1).cast("int"))
+    trail = F.element_at(F.array(*map(F.lit, ("", "", "", "", "", " 12", ".", ", ", " 2024"))), (F.pmod(F.xxhash64("n", "excerpt"), F.lit(9)) + 1).cast("int"))
+    left = F.concat(F.regexp_replace(F.substring("excerpt", 1, 120), r"\S*$", ""), lead)
+    rows = rows.select("doc_id", F.col("f.kind").alias("want"), left.alias("left"), F.col("f.string").alias("string"), F.concat(trail, F.lit(" "), F.regexp_replace(F.substring("excerpt", 121, 120), r"^\S*\s?", "")).alias("right"))
+    rows = rows.select("doc_id", "want", F.length("left").alias("since"), (F.length("left") + F.length("string")).alias("upto"), F.concat("left", "string", "right").alias("text"))
+    found = candidates(common.stage(rows, "pii-injected"))  # else every pattern would build its text anew
+    found = found.select("doc_id", "since", "upto", F.expr(f"array_position(array({', '.join(map(repr, KINDS))}), want) - 1").alias("want"), *(f"base_{k}" for k in KINDS), F.inline("candidates"))
+    same = lambda s, e: (F.col("s") == s) & (F.col("e") == e)
+    base = lambda k: (F.col("kind_no") == KINDS.index(k)) & F.exists(f"base_{k}", lambda b: same(b["s"], b["e"]))
+    right = reduce(lambda a, b: a | b, (base(k) for k in KINDS), (F.col("kind_no") == F.col("want")) & same(F.col("since"), F.col("upto")))
+    return found.withColumn("y", right.cast("double"))
+
+
+def train(rows: DataFrame, size: int = SAMPLE) -> tuple[str, dict[str, float]] | None:
+    """A SQL expression over a candidate `c` for the trees' sum, and the kinds' thresholds; None if rows are too few."""
+    rows = rows.orderBy(F.xxhash64("doc_id", "s", "m"), "m", "s").limit(size)
+    rows = common.stage(rows.select("y", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("aside"), *FEATURES), "pii-training")
     seen = {(r["y"], r["aside"]): r["count"] for r in rows.groupBy("y", "aside").count().collect()}
     if min(seen.get((y, a), 0) for y in (0, 1) for a in (True, False)) < 5:
         return None
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="x")
-    fit = vectors.transform(rows.filter(~F.col("aside")).withColumn("y", F.col("y").cast("double")))
-    model = GBTClassifier(labelCol="y", featuresCol="x", maxIter=TREES, maxDepth=DEPTH, seed=1, cacheNodeIds=False).fit(fit)
-    total = " + ".join(f"{w!r} * ({_case(t.rootNode())})" for w, t in zip(model.treeWeights, model._java_obj.trees(), strict=True))
-    scored = rows.filter("aside").select("y", F.expr(total.replace("c.", "")).alias("z"))
-    grid = [k / 10 for k in range(-5, 31)]
-    held = scored.agg(*(F.struct(F.sum(F.when(F.col("z") >= g, F.col("y"))).alias("good"), F.count(F.when(F.col("z") >= g, 1)).alias("n")) for g in grid)).first()
-    enough = [g for g, r in zip(grid, held, strict=True) if r["n"] >= 5 and r["good"] >= PRECISION * r["n"]]
-    return (total, enough[0]) if enough else None
+    model = GBTClassifier(labelCol="y", featuresCol="x", maxIter=TREES, maxDepth=DEPTH, seed=1, cacheNodeIds=False).fit(vectors.transform(rows.filter(~F.col("aside"))))
+    total = " + ".join(f"{w!r}D * ({_case(t.rootNode())})" for w, t in zip(model.treeWeights, model._java_obj.trees(), strict=True))
+    scored = rows.filter("aside").select("y", "kind_no", F.expr(total.replace("c.", "")).alias("z"))
+    scored = VectorAssembler(inputCols=["z"], outputCol="sum").transform(scored)
+    least = {}
+    for no, kind in enumerate(KINDS):
+        curve = IsotonicRegression(featuresCol="sum", labelCol="y").fit(scored.filter(F.col("kind_no") == no))
+        enough = [z for z, p in zip(curve.boundaries, curve.predictions, strict=True) if p >= PRECISION]
+        if enough:
+            least[kind] = float(min(enough))
+    return total, least
 
 
 def _case(node) -> str:
     """A tree's node as SQL."""
     if node.getClass().getSimpleName() == "LeafNode":
-        return repr(float(node.prediction()))
+        return f"{float(node.prediction())!r}D"
     s = node.split()
-    return f"CASE WHEN c.{FEATURES[s.featureIndex()]} <= {s.threshold()!r} THEN {_case(node.leftChild())} ELSE {_case(node.rightChild())} END"
+    return f"CASE WHEN c.{FEATURES[s.featureIndex()]} <= {s.threshold()!r}D THEN {_case(node.leftChild())} ELSE {_case(node.rightChild())} END"
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """docs with base_<kind> arrays and `spans`: kind, s, e of base and added spans, by kind, then start."""
-    found = candidates(docs)
-    model = train(found)
+def detect(docs: DataFrame, model: tuple[str, dict[str, float]] | None = None) -> DataFrame:
+    """docs with base_<kind> arrays and `spans`: kind, s, e of base and added spans, by kind, then start. The model is
+    trained on docs if none is given."""
+    model = model or train(training_rows(docs.select("doc_id", "text")))
     kinds = F.array(*map(F.lit, KINDS))
     named = lambda k: F.transform(f"base_{k}", lambda x: F.struct(F.lit(KINDS.index(k)).alias("k"), x["s"].alias("s"), x["e"].alias("e")))
-    out = found.withColumn("spans", F.concat(*(named(k) for k in KINDS)))
+    out = (candidates(docs) if model else base_spans(docs)).withColumn("spans", F.concat(*(named(k) for k in KINDS)))
     if model:
         total, least = model
-        # outside a labelled 0, at the threshold or above, touching no base span nor a better candidate
-        chosen = F.expr(f"filter(candidates, c -> coalesce(c.y, 1) = 1 AND {total} >= {least!r} AND NOT exists(spans, b -> b.s < c.e AND c.s < b.e))")
-        out = out.withColumn("_added", chosen)
-        clear = F.expr("filter(_added, (c, i) -> NOT exists(slice(_added, 1, i), b -> b.s < c.e AND c.s < b.e))")
-        added = F.transform(clear, lambda c: F.struct(c["kind_no"].cast("int").alias("k"), c["s"].alias("s"), c["e"].alias("e")))
-        out = out.withColumn("spans", F.array_sort(F.concat("spans", added))).drop("_added")
+        limit = " ".join(f"WHEN {KINDS.index(k)} THEN {z!r}D" for k, z in least.items())
+        limit = f"CASE c.kind_no {limit} ELSE double('inf') END" if least else "double('inf')"
+        free = "filter(candidates, c -> NOT exists(spans, b -> b.s < c.e AND c.s < b.e))"
+        scored = f"transform({free}, c -> struct({limit} - ({total}) AS short, int(c.kind_no) AS k, c.s AS s, c.e AS e))"
+        best = f"array_sort(filter({scored}, c -> c.short <= 0))"
+        clear = "aggregate(_added, cast(array() AS array<struct<k:int,s:int,e:int>>), (held, c) -> if(exists(held, b -> b.s < c.e AND c.s < b.e), held, array_append(held, struct(c.k AS k, c.s AS s, c.e AS e))))"
+        out = out.withColumn("_added", F.expr(f"if(size(candidates) = 0, NULL, {best})"))
+        out = out.withColumn("spans", F.expr(f"if(size(_added) > 0, array_sort(concat(spans, {clear})), spans)")).drop("_added")
     named_spans = F.transform("spans", lambda x: F.struct(F.element_at(kinds, x["k"] + 1).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     return out.withColumn("spans", named_spans).drop("candidates")
 
