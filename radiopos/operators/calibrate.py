@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import radio
+from ..staging import stage
+from . import links, numbering
 from .numbering import dense
 
 
@@ -46,27 +48,32 @@ def appearance_index(rows: DataFrame, key: str, order: str, out: str) -> DataFra
 
 
 def dense_cube(rows: DataFrame, metrics: list[str], order: str, fill: float = radio.MISSING) -> DataFrame:
-    """Every (tx, rx) of a scene with its last metrics, missing ones filled. The transmitters (tens) are exploded
-    into the receivers' rows."""
+    """Every (tx, rx) of a scene with its last metrics, missing ones filled."""
     last = rows.groupBy("tx_idx", "rx_idx").agg(*(F.max_by(m, order).alias(m) for m in metrics))
-    tx = rows.select("tx_idx").distinct().agg(F.collect_list("tx_idx").alias("_tx")).withColumn("_k", F.lit(0))
-    rx = rows.select("rx_idx").distinct().withColumn("_k", F.lit(0))
-    grid = rx.join(F.broadcast(tx), "_k").select("rx_idx", F.explode("_tx").alias("tx_idx"))
+    grid = links.every_pair(rows.select("rx_idx").distinct(), rows.select("tx_idx").distinct())
     full = grid.join(last, ["tx_idx", "rx_idx"], "left")
     return full.select("tx_idx", "rx_idx", *(F.coalesce(m, F.lit(fill)).alias(m) for m in metrics))
 
 
-def average_rank(value: str, group: list[str]) -> Column:
-    """Ranks from 1; ties share their mean rank."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
-    return F.rank().over(Window.partitionBy(*group).orderBy(value)) + (ties - 1) / 2.0
+def average_ranks(counts: DataFrame, group: list[str], value: str, count: str, out: str) -> DataFrame:
+    """group, value, out: ranks from 1 of values that occur `count` times each; ties share their mean rank."""
+    each = counts.groupBy(*group, value).agg(F.sum(count).alias("_times"))
+    ranked = numbering.running(each, "_before", "_times", group, value)
+    return ranked.select(*group, value, (F.col("_before") + (F.col("_times") + 1) / 2.0).alias(out))
 
 
 def spearman(rows: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
-    """group, n, rho; null for constant or single rows."""
-    ranked = rows.withColumns({"_a": average_rank(a, group), "_b": average_rank(b, group)})
-    rho = F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b"))
-    return ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), rho.alias("rho"))
+    """group, n, rho; null for constant or single rows. group, a and b are not null.
+
+    Rows become counts of (group, a, b) first. Ranks come from running sums over value ranges, so no group is sorted
+    in one task; as the mean rank is (n + 1) / 2, sums of products about it give the correlation in one pass.
+    """
+    counts = stage(rows.groupBy(*group, F.col(a).alias("_x"), F.col(b).alias("_y")).agg(F.count(F.lit(1)).alias("_c")), "rank-counts")
+    ranked = counts.join(average_ranks(counts, group, "_x", "_c", "_a"), [*group, "_x"]).join(average_ranks(counts, group, "_y", "_c", "_b"), [*group, "_y"])
+    sizes = counts.groupBy(*group).agg(F.sum("_c").alias("n"))
+    x, y = (F.col(c) - (F.col("n") + 1) / 2.0 for c in ("_a", "_b"))
+    sums = ranked.join(sizes, group).groupBy(*group, "n").agg(F.sum(F.col("_c") * x * y).alias("_xy"), F.sum(F.col("_c") * x * x).alias("_xx"), F.sum(F.col("_c") * y * y).alias("_yy"))
+    return sums.select(*group, "n", F.try_divide(F.col("_xy"), F.sqrt("_xx") * F.sqrt("_yy")).alias("rho"))
 
 
 def spearman_both(rows: DataFrame, group: list[str], real: str, simulated: str, missing: float = radio.MISSING) -> DataFrame:
@@ -124,6 +131,14 @@ def best_trial(trials: DataFrame) -> DataFrame:
     return scored.groupBy("bs_idx").agg(best, F.count(F.lit(1)).alias("n_trials")).select("bs_idx", F.col("_b.trial").alias("best_trial"), F.col("_b.score").alias("best_score"), "n_trials")
 
 
+def trial_history(trials: DataFrame) -> DataFrame:
+    """Every trial with its score (1 if it failed) and the best score up to it, for each station in order of trials. A
+    station has as many trials as its search's budget (tens)."""
+    upto = Window.partitionBy("bs_idx").orderBy("trial").rowsBetween(Window.unboundedPreceding, 0)
+    scored = trials.withColumn("score", F.coalesce("score", F.lit(1.0)))
+    return scored.withColumn("best_so_far", F.min("score").over(upto)).select("bs_idx", "trial", "score", "best_so_far")
+
+
 def trial_scores(trials: DataFrame, real: str = "real_rssi", simulated: str = "sim_rssi") -> DataFrame:
     """bs_idx, trial, score = -rho over the links of each trial (1 where undefined): all trials in one job."""
     found = spearman(trials, ["bs_idx", "trial"], real, simulated)

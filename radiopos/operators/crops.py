@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from statistics import NormalDist
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import draws, geo
@@ -41,13 +43,16 @@ def jittered(crops: DataFrame, half: Column, u: Column, v: Column, share: float
     return crops.withColumns({"center_lat": b["min_lat"] + (b["max_lat"] - b["min_lat"]) * u, "center_lon": b["min_lon"] + (b["max_lon"] - b["min_lon"]) * v})
 
 
-def half_sizes(crops: DataFrame, mean: float, deviation: float, least: float, most: float, seed: int, tries: int = 32) -> DataFrame:
-    """Normal half-sizes, drawn again outside [least, most], cut to whole metres; the mean after `tries` misses."""
+def half_sizes(crops: DataFrame, mean: float, deviation: float, least: float, most: float, seed: int) -> DataFrame:
+    """Half-sizes of a normal distribution within [least, most], cut to whole metres. Drawing again outside the bounds
+    is the same as one draw from the distribution between them, so a number between their shares is turned around."""
     if deviation == 0:
         return crops.withColumn("half", F.lit(int(mean)))
-    drawn = F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda i: mean + deviation * draws.normal(seed, F.col("crop_id"), i))
-    fits = F.filter(drawn, lambda x: x.between(least, most))
-    return crops.withColumn("half", F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(mean)).cast("int"))
+    normal = NormalDist(mean, deviation)
+    low, high = normal.cdf(least), normal.cdf(most)
+    share = low + (high - low) * draws.uniform(seed, "crop_id")
+    size = F.least(F.greatest(mean + deviation * draws.normal_quantile(share), F.lit(float(least))), F.lit(float(most)))
+    return crops.withColumn("half", size.cast("int"))
 
 
 def outside(crops: DataFrame) -> Column:
@@ -63,8 +68,10 @@ def cells_in_crops(crops: DataFrame, measurements: DataFrame) -> DataFrame:
 
 def distinct_cells(found: DataFrame, keys: tuple[str, ...] = ("enode", "mnc", "npci")) -> DataFrame:
     """One row a cell and crop, observed before interpolated."""
-    order = Window.partitionBy("crop_id", *keys).orderBy("interpolated")
-    return found.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    keys = ("crop_id", *keys)
+    rest = [c for c in found.columns if c not in keys]
+    least = found.groupBy(*keys).agg(F.min_by(F.struct(*rest), "interpolated").alias("_row"))
+    return least.select(*keys, "_row.*").select(*found.columns)
 
 
 def crop_documents(found: DataFrame) -> DataFrame:
@@ -87,6 +94,8 @@ def crop_index(found: DataFrame) -> DataFrame:
 
 
 def index_map(index: DataFrame, count: str = "num_bs") -> DataFrame:
-    """campaign_id and the nested map ue -> crop -> count as JSON, for export."""
-    per_ue = index.groupBy("campaign_id", "ue_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("crop_id").cast("string"), count)))).alias("crops"))
-    return per_ue.groupBy("campaign_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ue_id", F.to_json("crops").alias("crops"))), lambda a, b: F.when(a["ue_id"] < b["ue_id"], -1).when(a["ue_id"] > b["ue_id"], 1).otherwise(0)))).alias("document"))
+    """ue_id and, for export, a JSON document of one nested map campaign -> ue -> crop -> count: a document a UE, as
+    a campaign's map would be one value of any size."""
+    entry = F.struct(F.col("crop_id").cast("string"), F.col(count).cast("int"))
+    per_ue = index.groupBy("campaign_id", "ue_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("crops"))
+    return per_ue.select("campaign_id", "ue_id", F.to_json(F.create_map(F.col("campaign_id").cast("string"), F.create_map("ue_id", "crops"))).alias("document"))

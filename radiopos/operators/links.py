@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import draws, geo, radio
+from . import numbering
 
 
 def uniform_points(spark: SparkSession, n: int, bounds: tuple[float, float, float, float], seed: int, name: str) -> DataFrame:
@@ -15,6 +16,13 @@ def uniform_points(spark: SparkSession, n: int, bounds: tuple[float, float, floa
     return spark.range(n).select(F.col("id").alias(f"{name}_idx"), at(lo_lat, hi_lat, "lat").alias(f"{name}_lat"), at(lo_lon, hi_lon, "lon").alias(f"{name}_lon"))
 
 
+def drawn_near(rows: DataFrame, key: str, lat: str, lon: str, n: int, spread: float, seed: int) -> DataFrame:
+    """n points uniform in the box of `spread` degrees around each row's place, drawn by its key."""
+    u = lambda tag: draws.uniform(seed, F.lit(tag), key, "j")
+    out = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return out.withColumns({"ue_lat": F.col(lat) + spread * (2.0 * u("lat") - 1.0), "ue_lon": F.col(lon) + spread * (2.0 * u("lon") - 1.0)})
+
+
 def around_stations(stations: DataFrame, n: int, n_stations: int, radius: float, seed: int, area_uniform: bool = False) -> DataFrame:
     """n devices shared evenly among stations numbered in bs_no from 0; the first ones get the remainder. The
     radius is drawn linearly, or uniformly by area."""
@@ -44,11 +52,29 @@ def pairs_by_key(ues: DataFrame, stations: DataFrame, key: str) -> DataFrame:
     return _measured(ues.join(stations, key))
 
 
+#: Rows of the smaller side that go to every task as one array; more of them join in blocks of as many.
+BLOCK = 2000
+_SALTS = 64
+
+
+def every_pair(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Every row of left with every row of right, which is the smaller side. Up to `block` rows of it are broadcast.
+    More are cut into blocks; a row of left then meets each block by an equi-join on block and salt."""
+    n = right.count()
+    rows = F.collect_list(F.struct(*right.columns)).alias("_all")
+    if n <= block:
+        one = right.agg(rows).withColumn("_k", F.lit(0))
+        return left.withColumn("_k", F.lit(0)).join(F.broadcast(one), "_k").select(*left.columns, F.inline("_all"))
+    blocks = -(-n // block)
+    dealt = right.withColumn("_block", F.pmod(F.xxhash64(*right.columns), F.lit(blocks)))
+    packed = dealt.groupBy("_block").agg(rows).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(_SALTS)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return salted.join(packed, ["_block", "_salt"]).select(*left.columns, F.inline("_all"))
+
+
 def all_pairs(ues: DataFrame, stations: DataFrame) -> DataFrame:
-    """Every device with every station: the stations travel as one array in a row, one per scene (tens of them)."""
-    row = stations.agg(F.collect_list(F.struct(*stations.columns)).alias("_all")).withColumn("_k", F.lit(0))
-    joined = ues.withColumn("_k", F.lit(0)).join(F.broadcast(row), "_k").drop("_k")
-    return _measured(joined.select(*ues.columns, F.inline("_all")))
+    """Every device with every station of a scene, with distance and bearing."""
+    return _measured(every_pair(ues, stations))
 
 
 def pair_profile(pairs: DataFrame) -> DataFrame:
@@ -61,8 +87,24 @@ def pair_profile(pairs: DataFrame) -> DataFrame:
 
 
 def chunks(pairs: DataFrame, group: str, order: str, size: int) -> DataFrame:
-    window = Window.partitionBy(group).orderBy(order)
-    return pairs.withColumn("chunk", F.floor((F.row_number().over(window) - 1) / size).cast("long"))
+    """Chunk numbers of `size` rows a group, in order; group and order are unique together."""
+    return numbering.within(pairs, "_in", [group], order).withColumn("chunk", F.floor(F.col("_in") / size).cast("long")).drop("_in")
+
+
+#: Columns of a final simulated row and their types.
+FINAL_ROW = {"bs_idx": "int", "ue_id": "int", **dict.fromkeys(("bs_lat", "bs_lon", "bs_alt", "bs_azimuth", "ue_lat", "ue_lon", "distance_m", "bearing_rad", "sim_rssi", "sim_nsinr", "sim_nrsrp", "sim_nrsrq"), "double")}
+
+
+def final_rows(results: DataFrame) -> DataFrame:
+    """The columns of the final simulated table in their types. Rows with a value that has no such type are left out;
+    saved_share counts them."""
+    typed = results.select(*(F.col(c).try_cast(t).alias(c) for c, t in FINAL_ROW.items()))
+    return typed.na.drop("any", subset=["bs_idx", "ue_id"])
+
+
+def verified(rows: DataFrame) -> DataFrame:
+    """What a table read back holds: n_rows, n_ues and n_bs."""
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("ue_id").alias("n_ues"), F.count_distinct("bs_idx").alias("n_bs"))
 
 
 def link_metrics(paths: DataFrame, tx_dbm: float = 0.0) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The order of numbers in a row of the raw matrix.
@@ -41,9 +41,10 @@ def drop_missing(df: DataFrame) -> DataFrame:
 
 def deduplicate(df: DataFrame, keys: Sequence[str] = MEASUREMENT_KEY, tie: Sequence[str] = ()) -> DataFrame:
     """One row a key, observed before interpolated, then the least of `tie`; with a total tie-break the result is
-    the same on any partitioning."""
-    order = Window.partitionBy(*keys).orderBy("interpolated", *tie)
-    return df.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    the same on any partitioning. Each task keeps its least row a key before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    least = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("interpolated", *tie)).alias("_row"))
+    return least.select(*keys, "_row.*").select(*df.columns)
 
 
 def placed_cells(cells: DataFrame) -> DataFrame:

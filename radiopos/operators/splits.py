@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import draws, geo
+from ..functions import geo
 from ..staging import stage
+from . import numbering
 
 SPLITS = ("train", "hard_test", "hard_val", "medium_test", "medium_val", "easy_test", "easy_val")
 
@@ -25,9 +26,8 @@ def second_side(share: float, n: Column) -> Column:
 
 def draw(keys: DataFrame, group: Sequence[str], key: str, share: float, seed: int, out: str = "second") -> DataFrame:
     """keys (one row a key) with a flag for the second side of each group, drawn in the order of a seeded md5."""
-    order = Window.partitionBy(*group).orderBy(draws.key(seed, key), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*group))
-    return keys.withColumn(out, F.row_number().over(order) <= second_side(share, n))
+    ranked = numbering.drawn(keys, [*group], key, seed)
+    return ranked.withColumn(out, F.col("_rank") <= second_side(share, F.col("_size"))).drop("_rank", "_size")
 
 
 def hard(df: DataFrame, test: dict[str, Column], val: dict[str, Column], margin: float = 0.0) -> DataFrame:
@@ -63,8 +63,20 @@ def without_overlap(train: DataFrame, test: dict[str, Column], val: dict[str, Co
     return train.filter(~(near[0] | near[1]))
 
 
-def split_index(index: DataFrame, test: dict[str, Column], val: dict[str, Column], medium_train: float, easy_train: float, share: float, seed: int, train_only: bool = False) -> DataFrame:
-    """Every crop with its split: hard by place, then medium by UE, then easy by crop; train_only keeps all in train."""
+def split_index(index: DataFrame, test: dict[str, Column], val: dict[str, Column], medium_train: float, easy_train: float, share: float, seed: int, train_only: bool = False, largest: float | None = None) -> DataFrame:
+    """Every crop with its split: hard by place, then medium by UE, then easy by crop; train_only keeps all in train.
+
+    Train crops that meet the test or val box go, so UEs and campaigns left without crops go as well; largest is the
+    half-width of the largest crop, and the index has center_lat, center_lon and half. Without largest nothing goes.
+    """
+    split = _every_split(index, test, val, medium_train, easy_train, share, seed, train_only)
+    if largest is None:
+        return split
+    train = without_overlap(split.filter("split = 'train'"), test, val, F.col("half"), largest)
+    return train.unionByName(split.filter("split != 'train'"))
+
+
+def _every_split(index: DataFrame, test: dict[str, Column], val: dict[str, Column], medium_train: float, easy_train: float, share: float, seed: int, train_only: bool) -> DataFrame:
     if train_only:
         return index.withColumn("split", F.lit("train"))
     placed = stage(hard(index, test, val), "placed")
@@ -75,6 +87,16 @@ def split_index(index: DataFrame, test: dict[str, Column], val: dict[str, Column
     return placed.filter(F.col("split").isNotNull()).unionByName(by_ue.filter("split != 'train'")).unionByName(crops)
 
 
+def campaigns(df: DataFrame) -> DataFrame:
+    """The campaigns of all splits together."""
+    return df.select("campaign_id").distinct()
+
+
+def of_campaigns(df: DataFrame, chosen: Sequence[int]) -> DataFrame:
+    """Rows of the chosen campaigns (a handful), in every split."""
+    return df.filter(F.col("campaign_id").isin(*chosen))
+
+
 def split_counts(df: DataFrame) -> DataFrame:
     point = F.struct("campaign_id", "ue_id", "crop_id")
     return df.groupBy("split").agg(F.count_distinct(point).alias("n_points"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, radio
 from ..operators import crops, measurements, region, splits
+from ..staging import stage
 from . import oracle_geo as og
 from .fixtures import BOX, TIE, cte, u, view
 
@@ -34,6 +35,11 @@ def _placed(spark: SparkSession, d: str) -> DataFrame:
     return measurements.attach_cells(_deduplicated(spark, d), view(spark, d, "cells"))
 
 
+def _staged(spark: SparkSession, d: str) -> DataFrame:
+    """_placed, written once: crops and their numbers read it several times."""
+    return stage(_placed(spark, d), "placed-measurements")
+
+
 _DEDUP = f"""dedup AS (SELECT * EXCLUDE (n_) FROM (SELECT *, row_number() OVER (PARTITION BY latitude, longitude, enode, mnc, npci
   ORDER BY interpolated, {", ".join(TIE)}) AS n_ FROM measurements WHERE rssi IS NOT NULL) WHERE n_ = 1)"""
 _PLACED = _DEDUP + ",\nplaced AS (SELECT d.*, c.cell_lat, c.cell_lon FROM dedup d JOIN cells c USING (enode, mnc, npci) WHERE c.cell_lon IS NOT NULL AND c.cell_lon <> 0)"
@@ -86,11 +92,11 @@ def flatten_measurements(spark: SparkSession, d: str) -> DataFrame:
     return measurements.flatten_measurements(raw(False), raw(True))
 
 
-@_register("passive_join", f"""WITH {cte('measurements')}, passive AS (SELECT DISTINCT latitude, longitude, enode, mnc, npci FROM measurements WHERE l_linenumber < 4), {_DEDUP}
+@_register("passive_join", f"""WITH {cte('measurements')}, passive AS (SELECT DISTINCT latitude, longitude, enode, mnc, npci FROM measurements), {_DEDUP}
   SELECT p.latitude, p.longitude, p.enode, p.mnc, p.npci, m.rssi FROM passive p JOIN dedup m USING (latitude, longitude, enode, mnc, npci) WHERE m.rssi IS NOT NULL""")
 def passive_join(spark: SparkSession, d: str) -> DataFrame:
     keys = list(measurements.MEASUREMENT_KEY)
-    passive = view(spark, d, "measurements").filter("l_linenumber < 4").select(*keys).distinct()
+    passive = view(spark, d, "measurements").select(*keys).distinct()
     return measurements.attach_passive(passive, _deduplicated(spark, d).select(*keys, "rssi"), keys, "rssi")
 
 
@@ -125,7 +131,7 @@ _CENTRED = f"{_BASE},\nboxed AS (SELECT *, {og.box('latitude', 'longitude', '300
 
 @_register("crop_bs_count", f"{_CENTRED} SELECT latitude, longitude, count(*) AS num_bs, max(rssi) AS best_rssi FROM boxed JOIN placed USING (latitude, longitude) WHERE {_IN} GROUP BY latitude, longitude")
 def crop_bs_count(spark: SparkSession, d: str) -> DataFrame:
-    placed = _placed(spark, d)
+    placed = _staged(spark, d)
     found = crops.cells_in_crops(_centred(placed), placed)
     return found.groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("num_bs"), F.max("rssi").alias("best_rssi"))
 
@@ -146,7 +152,7 @@ def _jittered(placed: DataFrame) -> DataFrame:
 
 @_register("jittered_crops", f"{_JIT} SELECT crop_id, round(center_lat, 7) AS center_lat, round(center_lon, 7) AS center_lon, latitude NOT BETWEEN min_lat AND max_lat OR longitude NOT BETWEEN min_lon AND max_lon AS outside FROM jbox")
 def jittered_crops(spark: SparkSession, d: str) -> DataFrame:
-    made = _jittered(_placed(spark, d))
+    made = _jittered(_staged(spark, d))
     out = ~geo.inside(F.col("latitude"), F.col("longitude"), geo.box(F.col("center_lat"), F.col("center_lon"), F.col("half").cast("double")))
     return made.select("crop_id", F.round("center_lat", 7).alias("center_lat"), F.round("center_lon", 7).alias("center_lon"), out.alias("outside"))
 
@@ -163,7 +169,7 @@ ix AS (SELECT campaign_id, ue_id, crop_id, count(*) FILTER (WHERE NOT interpolat
 
 @_register("crop_index", f"{_INDEX} SELECT * FROM ix")
 def crop_index(spark: SparkSession, d: str) -> DataFrame:
-    return _index(_placed(spark, d))
+    return _index(_staged(spark, d))
 
 
 @_register("grid_crops", f"""{_BASE}, around AS (SELECT *, {og.box('latitude', 'longitude', '300e0')} FROM (SELECT DISTINCT latitude, longitude FROM placed)),
@@ -171,7 +177,7 @@ grid AS (SELECT latitude, longitude, gy, gx, min_lat + (max_lat - min_lat) * gy
 gbox AS (SELECT latitude, longitude, gy, gx, {og.box('center_lat', 'center_lon', '300e0')} FROM grid)
 SELECT gy, gx, count(*) AS n_bs, count(DISTINCT (latitude, longitude)) AS n_crops FROM gbox JOIN placed USING (latitude, longitude) WHERE {_IN} GROUP BY gy, gx""")
 def grid_crops(spark: SparkSession, d: str) -> DataFrame:
-    placed = _placed(spark, d)
+    placed = _staged(spark, d)
     made = crops.grid_crops(measurements.ue_positions(placed), HALF, 2).withColumn("half", F.lit(HALF))
     found = crops.cells_in_crops(made, placed)
     per_crop = found.groupBy("gy", "gx", "latitude", "longitude").agg(F.count(F.lit(1)).alias("n"))
@@ -181,7 +187,7 @@ def grid_crops(spark: SparkSession, d: str) -> DataFrame:
 @_register("random_crops", f"""{_BASE},\n{_UES}, n AS (SELECT count(*) AS n FROM ues), drawn AS (SELECT range AS crop_id, CAST(floor({og.uniform(42, 'range')} * (SELECT n FROM n)) AS BIGINT) AS ue FROM range((SELECT n // 2 FROM n)))
 SELECT crop_id, ue, latitude, longitude FROM drawn JOIN ues USING (ue)""")
 def random_crops(spark: SparkSession, d: str) -> DataFrame:
-    ues = crops.numbered_ues(measurements.ue_positions(_placed(spark, d)))
+    ues = crops.numbered_ues(measurements.ue_positions(_staged(spark, d)))
     n = ues.count()
     return crops.random_ue_crops(spark, n // 2, ues, n, 42).select("crop_id", "ue", "latitude", "longitude")
 
@@ -195,7 +201,7 @@ def _projection_sql() -> str:
 
 @_register("crop_projection", _projection_sql())
 def crop_projection(spark: SparkSession, d: str) -> DataFrame:
-    placed = _placed(spark, d)
+    placed = _staged(spark, d)
     found = crops.cells_in_crops(_centred(placed), placed).select("latitude", "longitude", "center_lat", "center_lon", "half", "cell_lat", "cell_lon").distinct()
     out = geo.crop_position(found, "cell_lat", "cell_lon", "center_lat", "center_lon", "half", "bs_y", "bs_x")
     return out.select("latitude", "longitude", "cell_lat", "cell_lon", F.round("bs_y", 3).alias("bs_y"), F.round("bs_x", 3).alias("bs_x"))
@@ -204,7 +210,7 @@ def crop_projection(spark: SparkSession, d: str) -> DataFrame:
 @_register("crop_documents", f"""{_JIT}, found AS (SELECT * FROM jbox JOIN placed USING (latitude, longitude) WHERE {_IN})
 SELECT crop_id, count(*) AS n_bs, arg_min(campaign_id, (enode, mnc, npci)) AS campaign_id, list(enode ORDER BY enode, mnc, npci) AS enodes FROM found GROUP BY crop_id""")
 def crop_documents(spark: SparkSession, d: str) -> DataFrame:
-    placed = _placed(spark, d)
+    placed = _staged(spark, d)
     made = crops.crop_documents(crops.distinct_cells(crops.cells_in_crops(_jittered(placed), placed)))
     return made.select("crop_id", F.size("base_stations").cast("long").alias("n_bs"), "campaign_id", F.transform("base_stations", lambda b: b["enode"]).alias("enodes"))
 
@@ -285,7 +291,7 @@ def _splits(placed: DataFrame) -> DataFrame:
 
 @_register("split_counts", f"{_SPLIT} SELECT split, count(DISTINCT (campaign_id, ue_id, crop_id)) AS n_points FROM sp GROUP BY split")
 def split_counts(spark: SparkSession, d: str) -> DataFrame:
-    return splits.split_counts(_splits(_placed(spark, d)))
+    return splits.split_counts(_splits(_staged(spark, d)))
 
 
 def _grown(b: tuple, m: float) -> str:
@@ -298,16 +304,45 @@ _hits = lambda b: f"({_grown(b, 2 * 300 * 2**0.5)} AND min_lat <= {b[1]}e0 AND {
 
 @_register("train_overlap_drop", f"{_JIT}, tr AS (SELECT * FROM jbox WHERE {_HARD} IS NULL) SELECT crop_id, latitude, longitude FROM tr WHERE NOT ({_hits(TEST_BOX)} OR {_hits(VAL_BOX)})")
 def train_overlap_drop(spark: SparkSession, d: str) -> DataFrame:
-    train = splits.hard(_jittered(_placed(spark, d)), *_boxes()).filter("split IS NULL")
+    train = splits.hard(_jittered(_staged(spark, d)), *_boxes()).filter("split IS NULL")
     return splits.without_overlap(train, *_boxes(), F.col("half"), HALF).select("crop_id", "latitude", "longitude")
 
 
+def _geometric(placed: DataFrame) -> DataFrame:
+    """The index with each crop's centre and half-width."""
+    return _full_index(placed).join(_jittered(placed).select("crop_id", "center_lat", "center_lon", "half"), "crop_id")
+
+
+_LEAKS = f"({_hits(TEST_BOX)} OR {_hits(VAL_BOX)})"
+_GEOMETRY = "(SELECT crop_id, min_lat, max_lat, min_lon, max_lon FROM jbox)"
+
+
+@_register("split_without_leaks", f"{_SPLIT} SELECT campaign_id, ue_id, crop_id, split FROM sp JOIN {_GEOMETRY} USING (crop_id) WHERE split <> 'train' OR NOT {_LEAKS}")
+def split_without_leaks(spark: SparkSession, d: str) -> DataFrame:
+    out = splits.split_index(_geometric(_staged(spark, d)), *_boxes(), 0.9, 0.5, 0.5, 0, largest=HALF)
+    return out.select("campaign_id", "ue_id", "crop_id", "split")
+
+
+@_register("train_only_without_leaks", f"{_SPLIT} SELECT campaign_id, count(DISTINCT ue_id) AS n_ues, count(*) AS n_crops FROM full_ JOIN {_GEOMETRY} USING (crop_id) WHERE NOT {_LEAKS} GROUP BY campaign_id")
+def train_only_without_leaks(spark: SparkSession, d: str) -> DataFrame:
+    out = splits.split_index(_geometric(_staged(spark, d)), *_boxes(), 0.9, 0.5, 0.5, 0, train_only=True, largest=HALF)
+    return out.groupBy("campaign_id").agg(F.count_distinct("ue_id").alias("n_ues"), F.count(F.lit(1)).alias("n_crops"))
+
+
+@_register("split_campaigns", f"{_SPLIT} SELECT campaign_id, count(*) FILTER (WHERE campaign_id IN (1, 3) AND split <> 'train') AS n_held_out FROM sp GROUP BY campaign_id")
+def split_campaigns(spark: SparkSession, d: str) -> DataFrame:
+    """Campaigns of all splits, and what is held out of two chosen ones."""
+    found = stage(_splits(_staged(spark, d)), "splits")
+    held = splits.of_campaigns(found, (1, 3)).filter("split != 'train'").groupBy("campaign_id").agg(F.count(F.lit(1)).alias("n_held_out"))
+    return splits.campaigns(found).join(held, "campaign_id", "left").select("campaign_id", F.coalesce("n_held_out", F.lit(0)).alias("n_held_out"))
+
+
 @_register("eval_first_crop", f"""{_SPLIT}, ok AS (SELECT * FROM sp WHERE split <> 'train' AND num_bs >= 1)
 SELECT campaign_id, ue_id, crop_id, split, n_bs FROM (SELECT *, num_bs AS n_bs, row_number() OVER (PARTITION BY campaign_id, ue_id ORDER BY crop_id) AS r_ FROM ok) WHERE r_ = 1""")
 def eval_first_crop(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import samples
 
-    found = _splits(_placed(spark, d))
+    found = stage(_splits(_staged(spark, d)), "splits")
     key = ["campaign_id", "ue_id", "crop_id"]
     chosen = samples.eligible(found.filter("split != 'train'").select(*key, "split"), found.select(*key, "num_bs", "num_bs_all"), 1)
     return samples.first_per_ue(chosen).select(*key, "split", "n_bs")

@@ -108,10 +108,10 @@ def link_metrics(spark: SparkSession, d: str) -> DataFrame:
     return out.select("rx", "tx", *(F.round(c, 6).alias(c) for c in ("rssi", "nsinr", "nrsrp", "nrsrq")))
 
 
-@_register("results_onto_pairs", f"WITH {cte('paths')}, {_GAIN}, k AS (SELECT DISTINCT rx, tx FROM paths WHERE tx % 3 = 0) SELECT tx, count(*) AS n, round(avg(rssi), 5) AS mean_rssi FROM k JOIN p USING (rx, tx) GROUP BY tx")
+@_register("results_onto_pairs", f"WITH {cte('paths')}, {_GAIN}, k AS (SELECT DISTINCT rx, tx FROM paths) SELECT tx, count(*) AS n, round(avg(rssi), 5) AS mean_rssi FROM k JOIN p USING (rx, tx) GROUP BY tx")
 def results_onto_pairs(spark: SparkSession, d: str) -> DataFrame:
     paths = view(spark, d, "paths")
-    out = links.results_onto_pairs(paths.filter("tx % 3 = 0").select("rx", "tx").distinct(), links.link_metrics(paths), ["rx", "tx"])
+    out = links.results_onto_pairs(paths.select("rx", "tx").distinct(), links.link_metrics(paths), ["rx", "tx"])
     return out.groupBy("tx").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("rssi"), 5).alias("mean_rssi"))
 
 
@@ -185,6 +185,11 @@ def trial_scores(spark: SparkSession, d: str) -> DataFrame:
     return out.select("bs_idx", "trial", (F.round("score", 9) + 0.0).alias("score"))
 
 
+@_register("trial_history", f"WITH {cte('trials')} SELECT bs_idx, trial, coalesce(score, 1e0) AS score, min(coalesce(score, 1e0)) OVER (PARTITION BY bs_idx ORDER BY trial) AS best_so_far FROM trials")
+def trial_history(spark: SparkSession, d: str) -> DataFrame:
+    return calibrate.trial_history(view(spark, d, "trials"))
+
+
 @_register("best_trial", f"WITH {cte('trials')}, s AS (SELECT bs_idx, trial, coalesce(score, 1e0) AS score FROM trials) SELECT bs_idx, arg_min(trial, (score, trial)) AS best_trial, min(score) AS best_score, count(*) AS n_trials FROM s GROUP BY bs_idx")
 def best_trial(spark: SparkSession, d: str) -> DataFrame:
     return calibrate.best_trial(view(spark, d, "trials"))
@@ -216,6 +221,27 @@ def region_filter(spark: SparkSession, d: str) -> DataFrame:
     return filled.select("row_id", "stage", "RSSI")
 
 
+#: Boxes whose links are found by both ends, by the station alone, and by the station in the wider box.
+_CASCADE = (REGION, (BOX[0] - 1e-6, BOX[0] + 1e-6, BOX[2] - 1e-6, BOX[2] + 1e-6), (BOX[0] + 1.5e-6, BOX[0] + 1.15e-5, BOX[2] - 1e-6, BOX[2] + 3e-6))
+
+
+def _cascade_sql() -> str:
+    parts = []
+    for i, b in enumerate(_CASCADE):
+        masks = _masks(b)
+        stage = "CASE " + " ".join(f"WHEN (SELECT count(*) FROM links WHERE {m}) > 0 THEN '{n}'" for n, m in zip(("both", "station", "wider"), masks, strict=True)) + " END"
+        keep = " ".join(f"WHEN '{n}' THEN {m}" for n, m in zip(("both", "station", "wider"), masks, strict=True))
+        parts.append(f"SELECT {i} AS box, stage, count(*) AS n, min(row_id) AS first_row FROM (SELECT *, {stage} AS stage FROM links) WHERE CASE stage {keep} END GROUP BY stage")
+    return f"WITH {cte('links')} " + " UNION ALL ".join(parts)
+
+
+@_register("region_cascade", _cascade_sql())
+def region_cascade(spark: SparkSession, d: str) -> DataFrame:
+    v = view(spark, d, "links")
+    found = [region.region_filter(v, b).groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row")).select(F.lit(i).alias("box"), "*") for i, b in enumerate(_CASCADE)]
+    return found[0].union(found[1]).union(found[2])
+
+
 @_register("station_summary", f"WITH {cte('links')}, l AS (SELECT *, concat_ws('_', round(BSLatitude, 6), round(BSLongitude, 6)) AS BS_location FROM links) SELECT BS_location, count(*) AS n, arg_min(BSLatitude, row_id) AS lat, arg_min(BSLongitude, row_id) AS lon FROM l GROUP BY BS_location")
 def station_summary(spark: SparkSession, d: str) -> DataFrame:
     from ..sources import tables
@@ -265,15 +291,82 @@ def crop_buildings(spark: SparkSession, d: str) -> DataFrame:
     return buildings.in_crops(features, boxes, 0.001)
 
 
-@_register("building_triangles", f"WITH {cte('buildings')}, t AS (SELECT feature_id AS id, CAST(size AS DOUBLE) AS h, side, no FROM buildings, (SELECT 'roof' AS side, * FROM (VALUES (1), (2)) AS v(no) UNION ALL SELECT 'ground', * FROM (VALUES (1), (2)) AS v(no) UNION ALL SELECT 'wall', range FROM range(8)) AS s) SELECT id, side, CAST(no AS INTEGER) AS no, CASE side WHEN 'roof' THEN 3 * h WHEN 'ground' THEN 0e0 ELSE CASE WHEN no % 2 = 0 THEN h ELSE 2 * h END END AS z_sum FROM t")
+_CORNER = "(VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) AS {n}({n}_, {n}x, {n}y)"
+_FAN = "SELECT '{side}' AS side, no, CASE no WHEN 1 THEN 2 ELSE 1 END AS xs, CASE no WHEN 1 THEN 1 ELSE 2 END AS ys, {zs} AS zs FROM (VALUES (1), (2)) AS v(no)"
+_WALL = f"SELECT 'wall', 2 * i_ + k, CASE k WHEN 0 THEN ix + 2 * jx ELSE 2 * ix + jx END, CASE k WHEN 0 THEN iy + 2 * jy ELSE 2 * iy + jy END, k + 1 FROM {_CORNER.format(n='i')}, {_CORNER.format(n='j')}, (VALUES (0), (1)) AS w(k) WHERE j_ = (i_ + 1) % 4"
+
+
+@_register("building_triangles", f"WITH {cte('buildings')}, t AS ({_FAN.format(side='roof', zs=3)} UNION ALL {_FAN.format(side='ground', zs=0)} UNION ALL {_WALL}) SELECT feature_id AS id, side, CAST(no AS INTEGER) AS no, xs * CAST(size AS DOUBLE) AS x_sum, ys * CAST(size AS DOUBLE) AS y_sum, zs * CAST(size AS DOUBLE) AS z_sum FROM buildings, t")
 def building_triangles(spark: SparkSession, d: str) -> DataFrame:
     b = view(spark, d, "buildings")
     side = F.col("size").cast("double")
     at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     zero = F.lit(0.0)
     prints = b.select(F.col("feature_id").alias("id"), F.array(at(zero, zero), at(side, zero), at(side, side), at(zero, side)).alias("exterior"), side.alias("height"))
-    t = buildings.triangles(prints)
-    return t.select("id", "side", F.col("no").cast("int").alias("no"), (F.col("p.z") + F.col("q.z") + F.col("r.z")).alias("z_sum"))
+    total = lambda c: (F.col(f"p.{c}") + F.col(f"q.{c}") + F.col(f"r.{c}")).alias(f"{c}_sum")
+    return buildings.triangles(prints).select("id", "side", F.col("no").cast("int").alias("no"), *map(total, "xyz"))
+
+
+_CENTER = (BOX[0] + 0.006, BOX[2] + 0.007)
+
+
+def _footprint_sql() -> str:
+    source = f"(SELECT *, {_CENTER[0]!r} AS clat, {_CENTER[1]!r} AS clon FROM buildings)"
+    for n, (lat, lon) in enumerate((("clat", "clon"), ("min_lat", "min_lon"), ("max_lat", "max_lon"))):
+        source = og.mercator(source, lat, lon, "15e0", geo.UTM_SCALE, f"e{n}", f"n{n}")
+    high = "CASE WHEN h BETWEEN 5 AND 200 THEN h WHEN n BETWEEN 1 AND 50 THEN 3 * n ELSE CASE kind WHEN 'house' THEN 8e0 WHEN 'apartments' THEN 20e0 WHEN 'office' THEN 15e0 WHEN 'industrial' THEN 12e0 ELSE 10e0 END END"
+    return f"""WITH {cte('buildings')}, p AS (SELECT *, TRY_CAST(trim(replace(height, 'm', '')) AS DOUBLE) AS h, TRY_CAST(levels AS DOUBLE) AS n FROM {source})
+SELECT feature_id || '_' || part AS id, 4 AS corners, CASE part WHEN 0 THEN 1 ELSE 0 END AS n_holes, round(e1 - e0, 3) + 0e0 AS x0, round(n1 - n0, 3) + 0e0 AS y0, round(e2 - e0, 3) + 0e0 AS x2, round(n2 - n0, 3) + 0e0 AS y2, {high} AS height_m FROM p, (VALUES (0), (1)) AS v(part)"""
+
+
+@_register("footprints", _footprint_sql())
+def footprints(spark: SparkSession, d: str) -> DataFrame:
+    """Buildings of two parts, the first with a hole; a third part of two points is no polygon."""
+    b = view(spark, d, "buildings")
+    at = lambda lat, lon: F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    ring = F.array(at("min_lat", "min_lon"), at("min_lat", "max_lon"), at("max_lat", "max_lon"), at("max_lat", "min_lon"))
+    part = lambda r, holes: F.struct(r.alias("exterior"), holes.alias("interiors"))
+    none = F.slice(F.array(ring), 1, 0)
+    parts = F.array(part(ring, F.array(ring)), part(ring, none), part(F.slice(ring, 1, 2), none))
+    prints = buildings.footprints(b.select("feature_id", "height", "levels", "kind", parts.alias("parts")), *_CENTER)
+    corner = lambda i, c: (F.round(F.col("exterior")[i][c], 3) + 0.0).alias(f"{c}{i}")
+    return prints.select("id", F.size("exterior").alias("corners"), F.size("interiors").alias("n_holes"), corner(0, "x"), corner(0, "y"), corner(2, "x"), corner(2, "y"), F.col("height").alias("height_m"))
+
+
+def _shaped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Buildings as rings with a quarter as a hole, and crops of 100 m around the stations."""
+    at = lambda y, x: F.struct((F.col("min_lat") + y * (F.col("max_lat") - F.col("min_lat"))).alias("lat"), (F.col("min_lon") + x * (F.col("max_lon") - F.col("min_lon"))).alias("lon"))
+    ring = lambda a, b: F.array(at(a, a), at(a, b), at(b, b), at(b, a))
+    b = view(spark, d, "buildings").select("feature_id", ring(0.0, 1.0).alias("shape"), F.array(ring(0.25, 0.5)).alias("holes"))
+    s = _sql(spark, d, f"SELECT s_suppkey AS crop_id, {u('s_suppkey', 1103515245, 12345)} * 0.012e0 + 41.82e0 AS lat, {u('s_suppkey', 1220703125, 54321)} * 0.014e0 + 12.46e0 AS lon FROM {{supplier}}")
+    return b, s.withColumns(geo.box(F.col("lat"), F.col("lon"), F.lit(100.0))).drop("lat", "lon")
+
+
+def _overlap(lo: str, hi: str) -> str:
+    side = lambda c: f"greatest(least(b.min_{c} + {hi} * (b.max_{c} - b.min_{c}), c.max_{c}) - greatest(b.min_{c} + {lo} * (b.max_{c} - b.min_{c}), c.min_{c}), 0e0)"
+    return f"{side('lat')} * {side('lon')}"
+
+
+@_register("clipped_buildings", f"WITH {cte('buildings')}, c AS {_UE_BOX}, a AS (SELECT crop_id, feature_id, {_overlap('0e0', '1e0')} AS whole, {_overlap('0.25e0', '0.5e0')} AS hole FROM buildings b, c) SELECT crop_id, feature_id, round((whole - hole) * 1e12, 2) AS area FROM a WHERE whole * 1e12 > 1e-3")
+def clipped_buildings(spark: SparkSession, d: str) -> DataFrame:
+    """Area within each crop, in square microdegrees."""
+    cut = buildings.clipped_features(*_shaped(spark, d), 0.001)
+    area = buildings.ring_area(F.col("shape"))
+    holes = F.aggregate(F.transform("holes", buildings.ring_area), F.lit(0.0), lambda s, x: s + x)
+    return cut.filter(area * 1e12 > 1e-3).select("crop_id", "feature_id", F.round((area - holes) * 1e12, 2).alias("area"))
+
+
+_ENTER = ", ".join(f"least((c.{a}_{k} - b.min_{k}) / (b.max_{k} - b.min_{k}), (c.{z}_{k} - b.min_{k}) / (b.max_{k} - b.min_{k}))" for k in ("lat", "lon") for a, z in [("min", "max")])
+_LEAVE = _ENTER.replace("least(", "greatest(")
+
+
+@_register("clipped_roads", f"WITH {cte('buildings')}, c AS {_UE_BOX}, a AS (SELECT crop_id, feature_id, b.max_lat - b.min_lat AS run, greatest(0e0, {_ENTER}) AS enter, least(1e0, {_LEAVE}) AS leave FROM buildings b, c) SELECT crop_id, feature_id, CAST(0 AS INTEGER) AS no, round((leave - enter) * run * 1e6, 4) AS rise FROM a WHERE leave > enter")
+def clipped_roads(spark: SparkSession, d: str) -> DataFrame:
+    """Diagonals of the buildings as roads: how far each climbs within a crop, in microdegrees."""
+    features, boxes = _shaped(spark, d)
+    roads = features.select("feature_id", F.array(F.get("shape", F.lit(0)), F.get("shape", F.lit(2))).alias("shape"))
+    cut = buildings.clipped_roads(roads, boxes, 0.001)
+    return cut.select("crop_id", "feature_id", F.col("no").cast("int").alias("no"), F.round((F.col("lat1") - F.col("lat0")) * 1e6, 4).alias("rise"))
 
 
 @_register("ground_planes", f"{_BU}, {_TILES}, b AS (SELECT CAST({_PATCH} AS BIGINT) AS patch_idx, min(ue_idx) AS x0, max(ue_idx) AS x1 FROM ue WHERE ue_lat BETWEEN {BOX[0]}e0 AND {BOX[1]}e0 AND ue_lon BETWEEN {BOX[2]}e0 AND {BOX[3]}e0 GROUP BY ALL) SELECT patch_idx, triangle, CASE triangle WHEN 0 THEN 2 * (x1 + 10e0) + (x0 - 10e0) ELSE 2 * (x0 - 10e0) + (x1 + 10e0) END AS x_sum FROM b, (VALUES (0), (1)) AS v(triangle)")
@@ -292,10 +385,8 @@ def geodesic_check(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("bs_idx", "ue_idx", F.round(geo.haversine(*map(F.col, ("bs_lat", "bs_lon", "ue_lat", "ue_lon"))), 3).alias("sphere_m"))
 
 
-@_register("uniform_ues", f"WITH n AS (SELECT count(*) AS n FROM supplier) SELECT range AS ue_idx, round({BOX[0]}e0 + ({BOX[1]}e0 - {BOX[0]}e0) * {og.uniform(5, chr(39) + 'lat' + chr(39), 'range')}, 7) AS ue_lat, round({BOX[2]}e0 + ({BOX[3]}e0 - {BOX[2]}e0) * {og.uniform(5, chr(39) + 'lon' + chr(39), 'range')}, 7) AS ue_lon FROM range((SELECT n * 10 FROM n))")
+@_register("uniform_ues", f"WITH {cte('cells')} SELECT enode, CAST(range AS INTEGER) AS j, round(cell_lat + 0.002e0 * (2e0 * {og.uniform(5, chr(39) + 'lat' + chr(39), 'enode', 'range')} - 1e0), 7) AS ue_lat, round(cell_lon + 0.002e0 * (2e0 * {og.uniform(5, chr(39) + 'lon' + chr(39), 'enode', 'range')} - 1e0), 7) AS ue_lon FROM cells, range(10)")
 def uniform_ues(spark: SparkSession, d: str) -> DataFrame:
-    n = _sql(spark, d, "SELECT s_suppkey FROM {supplier}").count()
-    made = links.uniform_points(spark, n * 10, BOX, 5, "ue")
-    return made.select("ue_idx", F.round("ue_lat", 7).alias("ue_lat"), F.round("ue_lon", 7).alias("ue_lon"))
-
-
+    """Ten devices drawn about every cell."""
+    made = links.drawn_near(view(spark, d, "cells"), "enode", "cell_lat", "cell_lon", 10, 0.002, 5)
+    return made.select("enode", "j", F.round("ue_lat", 7).alias("ue_lat"), F.round("ue_lon", 7).alias("ue_lon"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions import geo
+from ..functions import draws, geo
 
 E2 = geo.FLATTENING * (2 - geo.FLATTENING)
 
@@ -38,6 +38,30 @@ def haversine(a: str, b: str, c: str, d: str) -> str:
     return f"(2e0 * {geo.RADIUS!r} * asin(sqrt({h})))"
 
 
+def geodesic(source: str, lat1: str, lon1: str, lat2: str, lon2: str, out: str) -> str:
+    """SELECT *, out FROM source with the metres on the ellipsoid by Andoyer and Lambert."""
+    f = repr(geo.FLATTENING)
+    a = f"SELECT *, atan((1e0 - {f}) * tan(radians({lat1}))) AS b1_, atan((1e0 - {f}) * tan(radians({lat2}))) AS b2_ FROM {source}"
+    b = f"SELECT *, (b1_ + b2_) / 2e0 AS p_, (b2_ - b1_) / 2e0 AS q_, pow(sin((b2_ - b1_) / 2e0), 2) + cos(b1_) * cos(b2_) * pow(sin(radians({lon2} - {lon1}) / 2e0), 2) AS h_ FROM ({a})"
+    c = f"SELECT *, 2e0 * asin(sqrt(h_)) AS s_ FROM ({b})"
+    up = "(s_ - sin(s_)) * pow(sin(p_) * cos(q_), 2) / pow(cos(s_ / 2e0), 2)"
+    down = "(s_ + sin(s_)) * pow(cos(p_) * sin(q_), 2) / nullif(pow(sin(s_ / 2e0), 2), 0e0)"
+    return f"(SELECT * EXCLUDE (b1_, b2_, p_, q_, h_, s_), CASE WHEN h_ = 0 THEN 0e0 ELSE {geo.AXIS!r} * (s_ - {f} / 2e0 * ({up} + {down})) END AS {out} FROM ({c}))"
+
+
+def normal_quantile(share: str) -> str:
+    def power(x: str, of: tuple[float, ...]) -> str:
+        out = repr(of[0])
+        for a in of[1:]:
+            out = f"({out} * {x} + {a!r})"
+        return out
+
+    tail = lambda p: f"({power(f'sqrt(-2e0 * ln({p}))', draws._C)} / ({power(f'sqrt(-2e0 * ln({p}))', draws._D)} * sqrt(-2e0 * ln({p})) + 1e0))"
+    q = f"({share} - 0.5e0)"
+    middle = f"({power(f'({q} * {q})', draws._A)} * {q} / ({power(f'({q} * {q})', draws._B)} * ({q} * {q}) + 1e0))"
+    return f"CASE WHEN {share} < {draws._TAIL!r} THEN {tail(share)} WHEN {share} > {1 - draws._TAIL!r} THEN -{tail(f'(1e0 - {share})')} ELSE {middle} END"
+
+
 def uniform(seed: int, *parts: str) -> str:
     key = " || ':' || ".join([f"'{seed}'", *(f"CAST({p} AS VARCHAR)" for p in parts)])
     return f"(CAST(('0x' || substr(md5({key}), 1, 13)) AS BIGINT) / 4503599627370496e0)"

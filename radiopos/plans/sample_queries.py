@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import draws, radio
-from ..operators import evaluate, measurements, raster, samples, scoring
+from ..operators import crops, evaluate, measurements, raster, samples, scoring
+from ..staging import stage
 from . import oracle_geo as og
-from .crop_queries import _BASE, _deduplicated
+from .crop_queries import _BASE, _IN, _JIT, _deduplicated, _jittered, _staged
 from .fixtures import cte, view
 
 QUERIES: dict = {}
@@ -119,15 +120,15 @@ def env_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stamped(spark: SparkSession, d: str) -> DataFrame:
-    s = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_linenumber <= 3")
+    s = spark.read.parquet(f"{d}/lineitem.parquet")
     px = lambda c, n: (F.col(c) % n).cast("int")
     return s.groupBy(F.col("l_suppkey").alias("crop_id"), F.col("l_linenumber").alias("bs_no")).agg(F.min("l_partkey").alias("k"), F.min("l_quantity").alias("rssi")).withColumns({"py": px("k", 97), "px": px("k", 89)})
 
 
-_STAMPED = "s AS (SELECT l_suppkey AS crop_id, l_linenumber AS bs_no, min(l_quantity) AS rssi, min(l_partkey) % 97 AS py, min(l_partkey) % 89 AS px FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL)"
+_STAMPED = "s AS (SELECT l_suppkey AS crop_id, l_linenumber AS bs_no, min(l_quantity) AS rssi, min(l_partkey) % 97 AS py, min(l_partkey) % 89 AS px FROM lineitem GROUP BY ALL)"
 
 
-@_register("bs_stamps", f"WITH {_STAMPED}, p AS (SELECT crop_id, bs_no, rssi, CAST(py + a AS INTEGER) AS y, CAST(px + b AS INTEGER) AS x FROM s, range(-3, 4) AS v(a), range(-3, 4) AS w(b)) SELECT crop_id, y, x, arg_max(rssi, bs_no) AS value FROM p WHERE y >= 0 AND x >= 0 GROUP BY crop_id, y, x")
+@_register("bs_stamps", f"WITH {_STAMPED}, p AS (SELECT crop_id, bs_no, rssi, CAST(py + a AS INTEGER) AS y, CAST(px + b AS INTEGER) AS x FROM s, range(-3, 3) AS v(a), range(-3, 3) AS w(b)) SELECT crop_id, y, x, arg_max(rssi, bs_no) AS value FROM p WHERE y >= 0 AND x >= 0 GROUP BY crop_id, y, x")
 def bs_stamps(spark: SparkSession, d: str) -> DataFrame:
     return samples.stamps(_stamped(spark, d), "rssi")
 
@@ -160,6 +161,66 @@ def building_raster(spark: SparkSession, d: str) -> DataFrame:
     return raster.building_pixels(b.withColumn("ring", ring))
 
 
+_L_SHAPE = "y >= y0 AND y < y0 + size AND x >= x0 AND x < x0 + size AND NOT (y >= y0 + size / 2e0 AND x >= x0 + size / 2e0) AND NOT (y >= y0 + size / 8e0 AND y < y0 + size / 4e0 AND x >= x0 + size / 8e0 AND x < x0 + size / 4e0)"
+
+
+@_register("courtyard_raster", f"WITH {cte('buildings')} SELECT feature_id % 50 AS crop_id, CAST(py AS BIGINT) AS y, CAST(px AS BIGINT) AS x FROM (SELECT feature_id, size, feature_id % 60 AS y0, feature_id % 70 AS x0 FROM buildings) b, (SELECT range AS py, range + 0.5e0 AS y FROM range(0, 121)) AS v, (SELECT range AS px, range + 0.5e0 AS x FROM range(0, 121)) AS w WHERE {_L_SHAPE} GROUP BY ALL")
+def courtyard_raster(spark: SparkSession, d: str) -> DataFrame:
+    """L-shaped buildings with a courtyard."""
+    b = view(spark, d, "buildings").select((F.col("feature_id") % 50).alias("crop_id"), F.lit(121).alias("side"), F.col("size").cast("double").alias("n"), (F.col("feature_id") % 60).cast("double").alias("y0"), (F.col("feature_id") % 70).cast("double").alias("x0"))
+    at = lambda y, x: F.struct((F.col("y0") + F.col("n") * y).alias("row"), (F.col("x0") + F.col("n") * x).alias("column"))
+    ring = F.array(at(0.0, 0.0), at(0.0, 1.0), at(0.5, 1.0), at(0.5, 0.5), at(1.0, 0.5), at(1.0, 0.0))
+    hole = F.array(at(0.125, 0.125), at(0.125, 0.25), at(0.25, 0.25), at(0.25, 0.125))
+    return raster.building_pixels(b.withColumns({"ring": ring, "holes": F.array(hole)}))
+
+
+_SEGMENTS = "SELECT p_partkey % 50 AS crop_id, CAST(p_partkey % 97 AS DOUBLE) AS y0, CAST(p_partkey % 89 AS DOUBLE) AS x0, p_partkey % 97 + p_size / 2e0 AS y1, p_partkey % 89 + CAST(p_partkey % 31 AS DOUBLE) AS x1"
+_ALONG = "least(greatest(coalesce(((y - y0) * (y1 - y0) + (x - x0) * (x1 - x0)) / nullif((y1 - y0) * (y1 - y0) + (x1 - x0) * (x1 - x0), 0e0), 0e0), 0e0), 1e0)"
+
+
+@_register("road_raster", f"WITH s AS ({_SEGMENTS} FROM part), g AS (SELECT *, {_ALONG} AS t FROM s, (SELECT range AS py, range + 0.5e0 AS y FROM range(0, 121)) AS v, (SELECT range AS px, range + 0.5e0 AS x FROM range(0, 121)) AS w WHERE y BETWEEN y0 - 2 AND y1 + 2 AND x BETWEEN x0 - 2 AND x1 + 2) SELECT crop_id, CAST(py AS BIGINT) AS y, CAST(px AS BIGINT) AS x FROM g WHERE sqrt(pow(y - y0 - t * (y1 - y0), 2) + pow(x - x0 - t * (x1 - x0), 2)) <= 2 GROUP BY ALL")
+def road_raster(spark: SparkSession, d: str) -> DataFrame:
+    segments = spark.sql(f"{_SEGMENTS} FROM parquet.`{d}/part.parquet`").withColumn("side", F.lit(121))
+    return raster.road_pixels(segments)
+
+
+_DOCS = f"""{_JIT}, found AS (SELECT * FROM jbox JOIN placed USING (latitude, longitude) WHERE {_IN}),
+at_ AS (SELECT *, 300e0 - (pn - cn) AS bs_y, 300e0 + pe AS bs_x, 300e0 - (un - cn) AS ue_y, 300e0 + ue AS ue_x FROM {og.mercator(og.mercator(og.mercator('(SELECT * EXCLUDE (ue) FROM found)', 'cell_lat', 'cell_lon', 'center_lon', 1.0, 'pe', 'pn'), 'center_lat', 'center_lon', 'center_lon', 1.0, 'ce', 'cn'), 'latitude', 'longitude', 'center_lon', 1.0, 'ue', 'un')}),
+cap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY crop_id ORDER BY enode, mnc, npci) AS bs_no FROM at_) WHERE bs_no <= 3 AND NOT interpolated AND crop_id % 5 <> 0)"""
+
+
+def _documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Crop documents, and the sides of their maps, a fifth of which are wrong."""
+    placed = _staged(spark, d)
+    made = crops.crop_documents(crops.distinct_cells(crops.cells_in_crops(_jittered(placed), placed)))
+    docs = stage(made.drop("latitude", "longitude"), "crop-documents")
+    side = F.when(F.col("crop_id") % 5 == 0, 600).otherwise(601)
+    return docs, docs.select("crop_id", side.alias("rows"), F.lit(601).alias("columns"))
+
+
+@_register("sample_table", f"""{_DOCS} SELECT crop_id, count(*) AS length, round(sum(bs_y) / 601e0, 6) + 0e0 AS y_sum, round(sum(bs_x) / 601e0, 6) + 0e0 AS x_sum, round(sum((coalesce(rssi, 0e0) + 64e0) / 57e0), 6) + 0e0 AS z_sum,
+round(min(ue_y) / 601e0 * 224, 4) AS target_y, round(min(ue_x) / 601e0 * 224, 4) AS target_x, 224 / 601e0 AS scale FROM cap GROUP BY crop_id""")
+def sample_table(spark: SparkSession, d: str) -> DataFrame:
+    docs, maps = _documents(spark, d)
+    rows = samples.assemble(samples.checked(docs, maps), 224, 3, {"rssi": MEANS["rssi"]}, {"rssi": SCALES["rssi"]})
+    total = lambda i: F.round(F.aggregate("sequence", F.lit(0.0), lambda s, v: s + v[i]), 6) + 0.0
+    places = (F.round(c, 4).alias(c) for c in ("target_y", "target_x"))
+    return rows.select("crop_id", F.size("sequence").cast("long").alias("length"), total(0).alias("y_sum"), total(1).alias("x_sum"), total(2).alias("z_sum"), *places, "scale")
+
+
+@_register("sample_inputs", f"""{_DOCS}, px AS (SELECT crop_id, bs_no, (coalesce(rssi, 0e0) + 64e0) / 57e0 AS z, CAST(trunc(bs_y / 601e0 * 224) AS INTEGER) + a AS y, CAST(trunc(bs_x / 601e0 * 224) AS INTEGER) + b AS x FROM cap, range(-3, 3) AS v(a), range(-3, 3) AS w(b)),
+st AS (SELECT crop_id, y, x, arg_max(z, bs_no) AS z FROM px WHERE y BETWEEN 0 AND 223 AND x BETWEEN 0 AND 223 GROUP BY crop_id, y, x), g AS (SELECT DISTINCT crop_id, CAST(crop_id % 224 AS INTEGER) AS y, CAST(enode % 224 AS INTEGER) AS x FROM cap)
+SELECT crop_id, count(*) AS n_pixels, count(z) AS n_stamped, round(sum(z), 5) + 0e0 AS z_sum FROM st FULL JOIN g USING (crop_id, y, x) GROUP BY crop_id""")
+def sample_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Input channels: a map with a pixel for each station, and the stations' stamps on it."""
+    docs, maps = _documents(spark, d)
+    stations = stage(samples.stations_on_map(samples.checked(docs, maps), 224, 3, {"rssi": MEANS["rssi"]}, {"rssi": SCALES["rssi"]}), "stations")
+    kept = samples.checked(docs, maps).select("crop_id", F.posexplode("base_stations").alias("no", "bs")).filter("no < 3 AND NOT bs.interpolated")
+    ground = kept.select("crop_id", (F.col("crop_id") % 224).cast("int").alias("y"), (F.col("bs.enode") % 224).cast("int").alias("x")).distinct().withColumn("value", F.lit(255.0))
+    out = samples.input_pixels(ground, stations, "z_rssi", 224)
+    return out.groupBy("crop_id").agg(F.count(F.lit(1)).alias("n_pixels"), F.count("third").alias("n_stamped"), (F.round(F.sum("third"), 5) + 0.0).alias("z_sum"))
+
+
 # predictions
 
 
@@ -201,13 +262,12 @@ def reconstruct_latlon(spark: SparkSession, d: str) -> DataFrame:
     return out.select("vec_id", F.round("pred_lat", 7).alias("pred_lat"), F.round("pred_lon", 7).alias("pred_lon"))
 
 
-@_register("reconstruct_distance", f"WITH {cte('predictions')} SELECT vec_id, true AS agrees FROM predictions WHERE original_img_size < 600")
+@_register("reconstruct_distance", f"""{_PRED}, r AS (SELECT *, {og.north('center_lat', 'original_img_size / 2 - pred_y * original_img_size / 8e0')} AS pred_lat FROM s),
+q AS (SELECT *, {og.east('pred_lat', 'center_lon', 'pred_x * original_img_size / 8e0 - original_img_size / 2')} AS pred_lon FROM r) SELECT vec_id, round(distance_m, 4) AS distance_m FROM {og.geodesic('q', 'center_lat', 'center_lon', 'pred_lat', 'pred_lon', 'distance_m')}""")
 def reconstruct_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the geodesic from the map's centre is the plane distance, to half a metre below 600 m."""
-    truth = _scored(spark, d).withColumns({"ue_lat": F.col("center_lat"), "ue_lon": F.col("center_lon")}).filter("original_img_size < 600")
-    half, step = F.col("original_img_size") / 2, F.col("original_img_size") / 8
-    plane = F.sqrt(F.pow(half - F.col("pred_y") * step, 2) + F.pow(F.col("pred_x") * step - half, 2))
-    return evaluate.reconstructed(truth, 8).select("vec_id", (F.abs(F.col("distance_m") - plane) < 0.5).alias("agrees"))
+    """The geodesic from the map's centre to the predicted place."""
+    truth = _scored(spark, d).withColumns({"ue_lat": F.col("center_lat"), "ue_lon": F.col("center_lon")})
+    return evaluate.reconstructed(truth, 8).select("vec_id", F.round("distance_m", 4).alias("distance_m"))
 
 
 @_register("epoch_macro", f"WITH {cte('epoch_metrics')} SELECT loader, epoch, round(avg(metric), 9) AS macro, round(sum(metric * rows) / sum(rows), 9) AS weighted FROM epoch_metrics GROUP BY loader, epoch")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +44,15 @@ def read_sim_links(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("bs_idx").cast("int").alias("enode"), *columns, power.alias("bs_power_dbm"), *fixed)
 
 
+def _numbers(raw: DataFrame, texts: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of a CSV, read as text, as numbers, but for those in `texts`; nothing is read to guess types."""
+    return raw.select(*(F.col(f"`{c}`") if c in texts else F.col(f"`{c}`").try_cast("double").alias(c) for c in raw.columns))
+
+
 def read_links(spark: SparkSession, path: str) -> DataFrame:
     """Measured links with location keys, derived where the file has none."""
-    return with_location_keys(require(spark.read.options(header=True, inferSchema=True).csv(path), LINKS_REQUIRED))
+    raw = require(spark.read.options(header=True).csv(path), LINKS_REQUIRED)
+    return with_location_keys(_numbers(raw, ("BS_location", "UE_location")))
 
 
 def with_location_keys(links: DataFrame) -> DataFrame:
@@ -56,9 +63,9 @@ def with_location_keys(links: DataFrame) -> DataFrame:
 
 
 def read_passive(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV whose first column is an unnamed index."""
-    raw = spark.read.options(header=True, inferSchema=True).csv(path)
-    return raw.drop(raw.columns[0])
+    """A CSV of numbers whose first column is an unnamed index."""
+    raw = spark.read.options(header=True).csv(path)
+    return _numbers(raw.drop(raw.columns[0]))
 
 
 def read_best_parameters(spark: SparkSession, path: str) -> DataFrame:
@@ -82,28 +89,76 @@ def read_crops(spark: SparkSession, path: str) -> DataFrame:
     return out.drop("_parts", "_corrupt_record")
 
 
-def read_index(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Nested index maps of several datasets: dataset_idx, campaign_id, ue_id, crop_id, num_bs."""
+def read_index(spark: SparkSession, paths: list[str], lines: bool = False) -> DataFrame:
+    """Nested index maps of several datasets: dataset_idx, campaign_id, ue_id, crop_id, num_bs. A file is one document,
+    or has one a line, as write_index writes them."""
     out = None
     for i, path in enumerate(paths):
-        nested = spark.read.option("wholetext", True).text(path).select(F.from_json("value", INDEX).alias("m"))
+        nested = spark.read.option("wholetext", not lines).text(path).select(F.from_json("value", INDEX).alias("m"))
         flat = nested.select(F.explode("m").alias("campaign_id", "ues")).select("campaign_id", F.explode("ues").alias("ue_id", "crops")).select(F.lit(i).alias("dataset_idx"), "campaign_id", "ue_id", F.explode("crops").alias("crop_id", "num_bs"))
         out = flat if out is None else out.unionByName(flat)
     return out
 
 
 def read_knn_predictions(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.options(header=True, inferSchema=True).csv(path)
+    raw = _numbers(spark.read.options(header=True).csv(path), ("Filename",))
     names = ("Filename", "Center_Lat", "Center_Lon", "X", "Y", "Original_UE_Lat", "Original_UE_Lon", "Reconstructed_Lat", "Reconstructed_Lon")
     empty = {c: F.lit(None).cast("double") for c in ("out", "original_img_size", "ue_loc_y", "ue_loc_x")}
     return require(raw, names).select(*names).withColumns(empty)
 
 
+PREDICTIONS = "crop_id long, heatmap array<float>, ue_y double, ue_x double, original_img_size double, center_lat double, center_lon double, domain string, difficulty string"
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Predictions as write_predictions left them. Only the asked domains and difficulties are opened where they are
+    filtered; a table has no order of files, so what needs one sorts by crop_id."""
+    return spark.read.schema(PREDICTIONS).parquet(path)
+
+
+#: Layers: rings or lines of (lat, lon).
+LAYER = "feature_id long, shape array<struct<lat:double,lon:double>>, holes array<array<struct<lat:double,lon:double>>>, height string, levels string, kind string"
+
+
+def read_layer(spark: SparkSession, path: str, source: DataFrame | None = None) -> DataFrame:
+    """A building or road layer (LAYER) kept at path. Where there is none it is made from `source` and kept there."""
+    try:
+        return spark.read.schema(LAYER).parquet(path)
+    except AnalysisException:
+        if source is None:
+            raise
+    whole = [n.split(" ")[0] for n in LAYER.split(", ")]
+    source.select(*whole).write.parquet(path)
+    return spark.read.schema(LAYER).parquet(path)
+
+
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """The pair table of write_patch_results; an empty one is an error, as nothing can follow from it."""
+    pairs = spark.read.parquet(path)
+    if not pairs.head(1):
+        raise ValueError(f"no pairs under {path}")
+    return pairs
+
+
 def read_path_responses(spark: SparkSession, path: str, freq: float) -> DataFrame:
     """One frequency of responses written with partitionBy("freq"): other partitions are not opened."""
     return spark.read.parquet(path).filter(F.col("freq") == freq)
 
 
+def write_measurements(cleaned: DataFrame, path: str) -> None:
+    """The cleaned measurement table, by campaign."""
+    cleaned.write.mode("overwrite").partitionBy("campaign_id").parquet(path)
+
+
+def read_measurements(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def write_index(index_map: DataFrame, path: str) -> None:
+    """The documents of crops.index_map, one a line."""
+    index_map.select(F.col("document").alias("value")).write.mode("overwrite").text(path)
+
+
 def write_crops(crops: DataFrame, path: str) -> None:
     """One table by campaign, sorted by UE: a folder a UE would be too many files."""
     crops.repartition("campaign_id").sortWithinPartitions("latitude", "longitude").write.mode("overwrite").partitionBy("campaign_id").parquet(path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from radiopos.functions import geo
-from radiopos.operators import buildings, calibrate, crops, evaluate, links, numbering, raster, region, samples, scoring, splits
+from radiopos.operators import buildings, calibrate, crops, evaluate, links, measurements, numbering, raster, region, samples, scoring, splits
 from radiopos.sources import tables
 from radiopos.streaming import patches
 
@@ -56,11 +56,129 @@ def test_half_sizes(spark):
     assert r[0] >= 200 and r[1] <= 400 and r[2] > 50 and r[3] == pytest.approx(300, abs=12)
 
 
-def test_index_map(spark):
+def test_index_map_round_trip(spark, tmp_path):
     rows = [(1, "a", 10, 2), (1, "a", 11, 0), (1, "b", 12, 5), (2, "c", 13, 1)]
     out = crops.index_map(spark.createDataFrame(rows, "campaign_id int, ue_id string, crop_id int, num_bs int"))
-    got = {r.campaign_id: {k: json.loads(v) for k, v in json.loads(r.document).items()} for r in out.collect()}
-    assert got == {1: {"a": {"10": 2, "11": 0}, "b": {"12": 5}}, 2: {"c": {"13": 1}}}
+    assert {r.document for r in out.collect()} == {'{"1":{"a":{"10":2,"11":0}}}', '{"1":{"b":{"12":5}}}', '{"2":{"c":{"13":1}}}'}
+    tables.write_index(out, f"{tmp_path}/index")
+    back = tables.read_index(spark, [f"{tmp_path}/index"], lines=True).collect()
+    assert sorted((int(r.campaign_id), r.ue_id, int(r.crop_id), r.num_bs) for r in back) == rows
+
+
+def test_ranks_within_groups(spark):
+    """A group with nearly all rows, ties, and groups of one row."""
+    import random
+
+    rng = random.Random(2)
+    rows = [("hot", i, float(rng.randint(0, 40))) for i in range(3000)] + [("b", i, 1.0) for i in range(5)] + [("c", 0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, k int, v double").repartition(7)
+    got = {(r.g, r.k): r.no for r in numbering.within(df, "no", ["g"], "v", "k").collect()}
+    for g in ("hot", "b", "c"):
+        order = sorted((v, k) for h, k, v in rows if h == g)
+        assert [got[g, k] for _, k in order] == list(range(len(order)))
+    counts = df.groupBy("g", "v").count()
+    ranks = {(r.g, r.v): r.r for r in calibrate.average_ranks(counts, ["g"], "v", "count", "r").collect()}
+    for (g, v), r in ranks.items():
+        below, same = (sum(h == g and (w < v if k else w == v) for h, _, w in rows) for k in (1, 0))
+        assert r == below + (same + 1) / 2
+    drawn = numbering.drawn(df, ["g"], "k", 3).collect()
+    assert sorted(r._rank for r in drawn if r.g == "hot") == list(range(1, 3001)) and {r._size for r in drawn if r.g == "b"} == {5}
+
+
+def test_every_pair_in_blocks(spark):
+    left, right = spark.range(50).toDF("a"), spark.range(23).toDF("b")
+    assert sorted(map(tuple, links.every_pair(left, right, block=4).collect())) == [(a, b) for a in range(50) for b in range(23)]
+    assert links.every_pair(left, right).count() == 1150 and links.every_pair(left, right.limit(0)).count() == 0
+
+
+def test_observed_rows_win(spark):
+    rows = [(1.0, 1, True, -5.0), (1.0, 1, False, -9.0), (1.0, 1, False, -8.0), (2.0, None, True, -1.0)]
+    df = spark.createDataFrame(rows, "latitude double, enode int, interpolated boolean, rssi double")
+    out = measurements.deduplicate(df, ("latitude", "enode"), ("rssi",))
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [(1.0, 1, False, -9.0), (2.0, None, True, -1.0)]
+
+
+def test_clipped_rings_have_the_area_of_their_pixels(spark):
+    import random
+
+    rng = random.Random(5)
+    ring = "array<struct<lat:double,lon:double>>"
+    rows = []
+    for i in range(40):  # star-shaped about a point, in a box of 40 x 40
+        cy, cx, n = rng.uniform(5, 35), rng.uniform(5, 35), rng.randint(3, 9)
+        angles = sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))
+        rows.append((i, [(cy + r * math.sin(a), cx + r * math.cos(a)) for a, r in ((a, rng.uniform(2, 18)) for a in angles)], []))
+    box = {"min_lat": 10.0, "max_lat": 30.0, "min_lon": 12.0, "max_lon": 33.0}
+    cropped = spark.createDataFrame([(1, *box.values())], f"crop_id int, {', '.join(f'{k} double' for k in box)}")
+    out = buildings.clipped_features(spark.createDataFrame(rows, f"feature_id long, shape {ring}, holes array<{ring}>"), cropped, 7.0)
+    got = {r.feature_id: r.area for r in out.select("feature_id", buildings.ring_area(F.col("shape")).alias("area")).collect()}
+
+    def inside(y, x, pts):
+        hits = sum((p[0] > y) != (q[0] > y) and x < p[1] + (y - p[0]) * (q[1] - p[1]) / (q[0] - p[0]) for p, q in zip(pts, pts[1:] + pts[:1], strict=True))
+        return hits % 2 == 1
+
+    for i, pts, _ in rows:
+        step = 0.25
+        cells = sum(inside(10 + step * (a + 0.5), 12 + step * (b + 0.5), pts) for a in range(80) for b in range(84))
+        assert got.get(i, 0.0) == pytest.approx(cells * step * step, abs=3.5)
+
+
+def test_roads_are_cut_at_the_box(spark):
+    line = [(0.0, 0.0), (4.0, 4.0), (4.0, 9.0), (9.0, 9.0)]
+    roads = spark.createDataFrame([(1, line), (2, [(0.0, 0.0)]), (3, [(9.5, 0.0), (9.5, 2.0)])], "feature_id long, shape array<struct<lat:double,lon:double>>")
+    box = spark.createDataFrame([(5, 1.0, 5.0, 2.0, 6.0)], "crop_id int, min_lat double, max_lat double, min_lon double, max_lon double")
+    out = sorted(map(tuple, buildings.clipped_roads(roads, box, 2.0).collect()))
+    assert out == [(5, 1, 0, 2.0, 2.0, 4.0, 4.0), (5, 1, 1, 4.0, 4.0, 4.0, 6.0)]
+
+
+def test_holes_stay_empty(spark):
+    at = lambda y, x: {"row": float(y), "column": float(x)}
+    square = lambda a, b: [at(a, a), at(a, b), at(b, b), at(b, a)]
+    ring = "array<struct<row:double,column:double>>"
+    df = spark.createDataFrame([(1, 1, 20, square(2, 12), [square(4, 6), square(8, 11)]), (1, 2, 20, square(14, 16), None)], f"crop_id int, building_id int, side int, ring {ring}, holes array<{ring}>")
+    assert raster.building_pixels(df).count() == 100 - 4 - 9 + 4
+
+
+def test_splits_with_geometry_do_not_leak(spark):
+    ix = spark.range(3000).select((F.col("id") % 3).alias("campaign_id"), F.col("id").cast("string").alias("ue_id"), F.col("id").alias("crop_id"), (41.815 + F.col("id") % 150 * 1e-4).alias("latitude"), F.lit(12.461).alias("longitude"))
+    ix = ix.withColumns({"center_lat": F.col("latitude"), "center_lon": F.col("longitude"), "half": F.lit(50)})
+    boxes = geo.literals(41.82, 41.823, 12.46, 12.464), geo.literals(41.823, 41.826, 12.46, 12.464)
+    for only in (False, True):
+        out = splits.split_index(ix, *boxes, 0.9, 0.5, 0.5, 0, train_only=only, largest=50)
+        train = out.filter("split = 'train'").withColumns(geo.box(F.col("center_lat"), F.col("center_lon"), F.lit(50.0)))
+        assert train.count() > 100 and train.filter(geo.meets(geo.named(), boxes[0]) | geo.meets(geo.named(), boxes[1])).isEmpty()
+    assert splits.campaigns(out).count() == 3 and {r[0] for r in splits.of_campaigns(out, [2]).select("campaign_id").distinct().collect()} == {2}
+
+
+@pytest.mark.parametrize(("t", "n", "p"), [(2.228139, 10, 0.05), (3.169273, 10, 0.01), (12.706205, 1, 0.05), (1.959964, 10**7, 0.05), (2.570582, 5, 0.05), (1.0, 1, 0.5), (0.0, 7, 1.0), (5.0, 3, 0.0153924)])
+def test_student_tails_of_tables(t, n, p):
+    assert calibrate.student_tail(t, n) == pytest.approx(p, abs=2e-6)
+
+
+def test_normal_quantiles(spark):
+    from statistics import NormalDist
+
+    from radiopos.functions import draws
+
+    shares = [1e-9, 1e-4, 0.02, 0.024, 0.025, 0.3, 0.5, 0.8, 0.976, 0.99, 1 - 1e-6]
+    got = spark.createDataFrame([(s,) for s in shares], "s double").select("s", draws.normal_quantile(F.col("s")).alias("z")).collect()
+    assert all(r.z == pytest.approx(NormalDist().inv_cdf(r.s), rel=2e-9, abs=2e-9) for r in got)
+
+
+def test_layers_are_made_once(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    path = f"{tmp_path}/layer"
+    with pytest.raises(AnalysisException):
+        tables.read_layer(spark, path)
+    made = lambda kind: spark.createDataFrame([(1, [(41.0, 12.0), (41.1, 12.0)], None, None, None, kind)], tables.LAYER)
+    assert tables.read_layer(spark, path, made("road")).first().kind == "road"
+    assert tables.read_layer(spark, path, made("other")).first().kind == "road"
+
+
+def test_uniform_points_stay_in_bounds(spark):
+    r = links.uniform_points(spark, 500, (1.0, 2.0, 3.0, 5.0), 1, "ue").agg(F.min("ue_lat"), F.max("ue_lat"), F.min("ue_lon"), F.max("ue_lon")).first()
+    assert 1.0 <= r[0] < 1.05 and 1.95 < r[1] < 2.0 and 3.0 <= r[2] < 3.1 and 4.9 < r[3] < 5.0
 
 
 def test_region_cascade(spark):
@@ -113,7 +231,7 @@ def test_target_heatmap_mirrors_at_the_edge(spark):
 def test_stamps_overwrite_and_clip(spark):
     rows = [(1, 1, 0, 0, 5.0), (1, 2, 2, 2, 7.0)]
     got = {(r.y, r.x): r.value for r in samples.stamps(spark.createDataFrame(rows, "crop_id int, bs_no int, py int, px int, v double"), "v").collect()}
-    assert got[0, 0] == 7.0 and got[5, 5] == 7.0 and (-1, 0) not in got and len(got) == 36
+    assert got[0, 0] == 7.0 and got[4, 4] == 7.0 and (5, 4) not in got and (-1, 0) not in got and len(got) == 25
 
 
 def test_downsampling_keeps_mass(spark):
