@@ -3,31 +3,27 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import staging
+
 #: Words of every operator are maximal runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="radiopos-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage is cut, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return staging.stage(df, name, compression="zstd")
+
+
+def small(batches: Iterator, rows: int = 500) -> Iterator:
+    """Arrow batches cut to `rows` rows, so that a worker's own copies of long texts stay few."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def text_of(column: str = "text") -> Column:

@@ -1,43 +1,53 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
-The best segmentation of a text maximises the sum of its pieces' scores. The search keeps a window bounded by the
-longest piece; whenever all surviving backpointer paths meet in one boundary, the ids up to it are final and leave
-the window, so memory does not grow with the text. Before a space that follows another character paths always
-meet (no piece spans such a place; checked when the vocabulary is loaded), so whole words are committed from a
-bounded cache where they have been seen before.
+The best segmentation of a text maximises the sum of its pieces' scores. A text goes through the search in parts; the
+search keeps a window bounded by the longest piece. Whenever all surviving backpointer paths meet in one boundary, the
+ids up to it are final and leave the window, so memory does not grow with the text (but for the ids of a row
+themselves). Paths meet wherever no path reaches beyond the next position; otherwise they are followed back every LOOK
+positions. Only where they never meet, as in a long run of one character, does the window wait for the end of the periodic run.
+
+A model trained for merges (BPE) has ranks for scores, and its own encoding is not the segmentation of the best sum. For
+such a model the search also has forbidden pairs: two pieces stand side by side only if no merge across their border
+comes before the merges inside them. Exactly one path to every position is then left, and the ids are those of the merges
+(tests/llm compares them with the library that made the model). A model of likelihoods (unigram) has no forbidden pairs.
+
+Before a space that follows another character paths always meet (no piece spans such a place; checked when the
+vocabulary is loaded), so what lies between two such places depends on nothing else: short words found once are kept in a
+bounded cache of each task's process.
 
 Text is escaped as the model says: a space in front, nothing collapsed. Characters outside the vocabulary, the
 escape sign U+2581 itself among them, become byte pieces, so decoding gives back every text exactly.
 
 The vocabulary is read once on the driver and goes to the tasks with the code; it is as large as the model file
-(about 32,000 pieces), whatever the tables hold. A model trained for merges has ranks for scores; they become log
-probabilities by the Zipf-Mandelbrot law, -log(rank + 100). Ids are then the likeliest segmentation, which agrees with
-the merges' own on most words (four in five of the test tables' words) but not all. Both decode exactly.
+(about 32,000 pieces), whatever the tables hold.
 
 Cases: null and empty texts have no ids and decode to the empty text; repeated rows are encoded each; an empty
-table gives no rows. Ids outside the vocabulary and control pieces decode to nothing. Other columns are ignored.
+table gives no rows. Ids outside the vocabulary and control pieces decode to nothing. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, labelled
+from . import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Positions between two looks for a common boundary; entries and length of cached words.
-_LOOK, _CACHE, _CACHED = 64, 120_000, 48
-_ZIPF = 100
-_CHUNK = re.compile(r" +[^ ]*|[^ ]+")
-
+#: Positions between two walks back to a common boundary; characters of a text handed to the search at once.
+LOOK, PART = 32, 65_536
+#: Entries of the caches of words and of pairs, and the longest word kept.
+_CACHE, _CACHED, _PAIRS = 120_000, 48, 400_000
+_WORD = re.compile(r" +[^ ]*|[^ ]+")
+_BORDER = re.compile(r"[^ ] ")
+_NEVER = float("inf")
+_NONE = float("-inf")
 
 #: Codecs of this process by content: tasks that follow each other in a worker share words already found.
 _LIVE: dict = {}
@@ -50,51 +60,75 @@ def _revived(key: int, *state) -> Codec:
     return _LIVE[key]
 
 
-class _Words(dict):
-    """Ids (int32 bytes) of words, found on first use. Two generations of _CACHE words each bound it: when the young
-    one is full it becomes the old one, and words still in use come back from there."""
+class _Kept(dict):
+    """Values found on first use. Two generations of `size` entries each bound it: when the young one is full it becomes
+    the old one, and entries still in use come back from there."""
 
-    def __init__(self, find):
+    def __init__(self, find, size: int):
         super().__init__()
-        self.find, self.old = find, {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.find(word)
-        if len(word) <= _CACHED:
-            if len(self) >= _CACHE:
+        self.find, self.size, self.old = find, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.find(key)
+        if isinstance(key, int) or len(key) <= _CACHED:
+            if len(self) >= self.size:
                 self.old = dict(self)
                 self.clear()
-            self[word] = ids
-        return ids
+            self[key] = value
+        return value
+
+
+def splits_of(ranks: dict[str, float]) -> dict[str, tuple[str, str]]:
+    """The two pieces whose merge makes each piece that merges make at all; ranks: piece -> rank, least first."""
+    out = {}
+    for piece in ranks:
+        parts = list(piece)
+        last = None
+        while len(parts) > 1:
+            best = min((ranks.get(a + b, _NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if best[0] == _NEVER:
+                break
+            i = best[1]
+            last = parts[i], parts[i + 1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        if len(parts) == 1 and last:
+            out[piece] = last
+    return out
 
 
 class Codec:
-    """vocabulary: piece -> (id, score), spaces unescaped; bytes_of: id of each byte value."""
+    """vocabulary: piece -> (id, score), spaces unescaped; bytes_of: id of each byte value; splits: how merges make
+    pieces, or None for a model of likelihoods."""
 
-    def __init__(self, vocabulary: dict[str, tuple[int, float]], bytes_of: list[int], size: int):
-        self.vocabulary, self.bytes_of, self.size = vocabulary, bytes_of, size
+    def __init__(self, vocabulary: dict[str, tuple[int, float]], bytes_of: list[int], size: int, splits: dict[str, tuple[str, str]] | None = None):
+        self.vocabulary, self.bytes_of, self.size, self.splits = vocabulary, bytes_of, size, splits
         self.longest = max(map(len, vocabulary), default=1)
+        self.piece: list[str | None] = [None] * size
+        self.table = [b""] * size
         # nodes by character: [next nodes, id or -1, score]
         self.trie: dict = {}
         for piece, (i, score) in vocabulary.items():
+            self.piece[i] = piece
+            self.table[i] = piece.encode()
+            if splits is not None and len(piece) > 1 and piece not in splits:
+                continue  # no merges make it, so no encoding has it
             level, node = self.trie, None
             for c in piece:
                 node = level.setdefault(c, [{}, -1, 0.0])
                 level = node[0]
             node[1:] = i, score
-        self.unknown = min((s for _, s in vocabulary.values()), default=0.0) - 10.0
-        self.splits = not any(re.search("[^ ] ", p) for p in vocabulary)
-        self.table = [b""] * size
-        for piece, (i, _) in vocabulary.items():
-            self.table[i] = piece.encode()
         for value, i in enumerate(bytes_of):
             self.table[i] = bytes([value])
-        self.words = _Words(lambda word: b"".join(part.tobytes() for part in self.viterbi(word)))
+        self.unknown = min((s for _, s in vocabulary.values()), default=0.0) - 10.0
+        self.apart = not any(_BORDER.search(p) for p in vocabulary)
+        self.words = _Kept(self._word, _CACHE)
+        self.pairs = _Kept(lambda pair: self._beside(*divmod(pair, size)), _PAIRS)
+        self.spines: tuple[dict, dict] = {}, {}
 
     def __reduce__(self):
-        return _revived, (hash((self.size, tuple(self.bytes_of), tuple(self.table))), self.vocabulary, self.bytes_of, self.size)
+        return _revived, (hash((self.size, tuple(self.bytes_of), tuple(self.table), self.splits is None)), self.vocabulary, self.bytes_of, self.size, self.splits)
 
     @classmethod
     def load(cls, path: str = MODEL) -> Codec:
@@ -103,70 +137,117 @@ class Codec:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [model.id_to_piece(i) for i in range(model.vocab_size())]
         plain = [i for i in range(len(pieces)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        scores = [model.get_score(i) for i in plain]
-        if all(s <= 0 and s == int(s) for s in scores):
-            scores = [-math.log(_ZIPF - s) for s in scores]
-        vocabulary = {pieces[i].replace("▁", " "): (i, s) for i, s in zip(plain, scores, strict=True)}
+        vocabulary = {pieces[i].replace("▁", " "): (i, model.get_score(i)) for i in plain}
         found = {int(pieces[i][3:5], 16): i for i in range(len(pieces)) if model.is_byte(i)}
-        return cls(vocabulary, [found[v] for v in range(256)], len(pieces))
-
-    def viterbi(self, text: str) -> Iterator[array]:
-        """Ids of the text, in pieces, each as soon as it is final. The window's lists begin at position `base`."""
-        n, base, longest, trie, unknown = len(text), 0, self.longest, self.trie, self.unknown
-        none = float("-inf")
-        width = min(n, longest) + 1
-        best, back, ids = [none] * width, [0] * width, [-1] * width
-        best[0] = 0.0
+        ranked = all(s <= 0 and s == int(s) for _, s in vocabulary.values())
+        splits = splits_of({p: -s for p, (_, s) in vocabulary.items()}) if ranked else None
+        return cls(vocabulary, [found[v] for v in range(256)], len(pieces), splits)
+
+    def _spine(self, i: int, side: int) -> list[tuple[str, float]]:
+        """From the first (side 0) or last (side 1) character of a piece up to the piece: each one's text and its rank."""
+        if i not in self.spines[side]:
+            piece, out = self.piece[i], []
+            while True:
+                out.append((piece, -self.vocabulary[piece][1] if piece in self.vocabulary else _NEVER))
+                if piece not in self.splits:
+                    break
+                piece = self.splits[piece][side]
+            self.spines[side][i] = out[::-1]
+        return self.spines[side][i]
+
+    def _beside(self, a: int, b: int) -> bool:
+        """Whether pieces a and b stay side by side: no merge across their border comes before those inside them. Of
+        equal merges the left one comes first."""
+        left, right = self._spine(a, 1), self._spine(b, 0)
+        i = j = 0
+        while True:
+            up = left[i + 1][1] if i + 1 < len(left) else _NEVER
+            down = right[j + 1][1] if j + 1 < len(right) else _NEVER
+            across = self.vocabulary.get(left[i][0] + right[j][0])
+            if across is not None and -across[1] < up and -across[1] <= down:
+                return False
+            if up == down == _NEVER:
+                return True
+            if up <= down:
+                i += 1
+            else:
+                j += 1
+
+    def _word(self, word: str) -> bytes:
+        """The ids of what lies between two places where all paths meet. Merges leave one path, so a short word needs
+        no scores, and no look for a common boundary inside it."""
+        if self.splits is None or len(word) > _CACHED:
+            return Search(self).all(word).tobytes()
+        trie, pairs, size, n = self.trie, self.pairs, self.size, len(word)
+        back, last = [-1] * (n + 1), [-1] * (n + 1)
         for at in range(n):
-            here = best[at - base]
-            if here > none:
-                level, end = trie, at - base
-                for c in text[at : at + longest]:
-                    node = level.get(c)
-                    end += 1
-                    if node is None:
-                        break
-                    if node[1] >= 0 and here + node[2] > best[end]:
-                        best[end], back[end], ids[end] = here + node[2], at, node[1]
-                    level = node[0]
-                first = trie.get(text[at])
-                if (first is None or first[1] < 0) and here + unknown > best[at - base + 1]:
-                    best[at - base + 1], back[at - base + 1], ids[at - base + 1] = here + unknown, at, -1
-            if len(best) < n - base + 1:
-                best.append(none)
-                back.append(0)
-                ids.append(-1)
-            if at % _LOOK == _LOOK - 1 and at + 1 < n:
-                front = {p for p in range(at + 1, min(n, at + longest) + 1) if best[p - base] > none}
-                while len(front) > 1:
-                    last = max(front)
-                    front.remove(last)
-                    front.add(back[last - base])
-                meet = front.pop()
-                if meet > base:
-                    yield self._walk(text, back, ids, base, meet)
-                    best, back, ids = best[meet - base :], back[meet - base :], ids[meet - base :]
-                    base = meet
-        if n > base:
-            yield self._walk(text, back, ids, base, n)
-
-    def _walk(self, text: str, back: list[int], ids: list[int], base: int, end: int) -> array:
-        out = array("i")
-        while end > base:
-            start, i = back[end - base], ids[end - base]
-            if i >= 0:
-                out.append(i)
+            prior, level = last[at] * size, trie
+            for end in range(at, n):
+                node = level.get(word[end])
+                if node is None:
+                    break
+                i = node[1]
+                if i >= 0 and back[end + 1] < 0 and (prior < 0 or pairs[prior + i]):
+                    back[end + 1], last[end + 1] = at, i
+                level = node[0]
+            if back[at + 1] < 0:
+                back[at + 1] = at  # a character outside the vocabulary
+        out, at = [], n
+        while at:
+            if last[at] >= 0:
+                out.append(last[at])
             else:
-                out.extend(self.bytes_of[b] for b in reversed(text[start:end].encode("utf-8", "replace")))
-            end = start
-        out.reverse()
-        return out
+                out.extend(self.bytes_of[b] for b in reversed(word[back[at] : at].encode("utf-8", "replace")))
+            at = back[at]
+        return array("i", reversed(out)).tobytes()
+
+    def stream(self, parts: Iterable[str]) -> Iterator[bytes]:
+        """Ids (int32) of a text that comes in parts, each as soon as it is final."""
+        open_, rest, began = None, "", False
+        for part in parts:
+            rest += part if began else " " + part
+            began = began or bool(part)
+            if not part:
+                rest = "" if not began else rest
+                continue
+            at = 0
+            if self.apart:
+                # the last place before a space that follows another character
+                end = len(rest)
+                while (end := rest.rfind(" ", 0, end)) > 0 and rest[end - 1] == " ":
+                    pass
+                at = max(end, 0)
+            if at and open_:
+                first = _BORDER.search(rest)
+                at_first = first.start() + 1
+                yield from open_.feed(rest[:at_first])
+                yield from open_.end()
+                open_, rest, at = None, rest[at_first:], at - at_first
+            if at:
+                yield b"".join(map(self.words.__getitem__, self._short(rest[:at])))
+                rest = rest[at:]
+            if len(rest) > PART or open_:
+                open_ = open_ or Search(self)
+                yield from open_.feed(rest[:-1])
+                rest = rest[-1:]
+        if open_:
+            yield from open_.feed(rest)
+            yield from open_.end()
+        elif rest:
+            yield b"".join(map(self.words.__getitem__, self._short(rest)))
+
+    def _short(self, text: str) -> list[str]:
+        return _WORD.findall(text) if self.apart else [text]
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        chunks = _CHUNK.findall(" " + text) if self.splits else [" " + text]
-        return np.frombuffer(b"".join(map(self.words.__getitem__, chunks)), np.int32)
+        if len(text) < PART and self.apart:
+            return np.frombuffer(b"".join(map(self.words.__getitem__, _WORD.findall(" " + text))), np.int32)
+        out = bytearray()
+        for ids in self.stream(text[a : a + PART] for a in range(0, len(text), PART)):
+            out += ids
+        return np.frombuffer(bytes(out), np.int32)
 
     def decode(self, ids) -> str:
         ids = np.asarray(ids, np.int64)
@@ -174,6 +255,106 @@ class Codec:
         return b"".join(map(self.table.__getitem__, inside)).removeprefix(b" ").decode("utf-8", "replace")
 
 
+class Search:
+    """The window of one search: `text` from the last committed boundary on, and for each position in it the best path's
+    score, its last boundary and its last piece (-1: a character outside the vocabulary). commits counts what has left."""
+
+    def __init__(self, codec: Codec):
+        self.codec, self.commits, self.text, self.at = codec, 0, "", 0
+        self.best, self.back, self.last = [0.0], [0], [-2]
+
+    def all(self, text: str) -> array:
+        out = array("i")
+        for ids in (*self.feed(text), *self.end()):
+            out.frombytes(ids)
+        return out
+
+    def feed(self, part: str) -> Iterator[bytes]:
+        self.text += part
+        yield from self._advance(len(self.text) - self.codec.longest)
+
+    def end(self) -> Iterator[bytes]:
+        yield from self._advance(len(self.text))
+        if self.text:
+            yield self._commit(len(self.text))
+
+    def _advance(self, upto: int) -> Iterator[bytes]:
+        """Extends the paths from every position before `upto`."""
+        codec, text, best, back, last, at = self.codec, self.text, self.best, self.back, self.last, self.at
+        longest, trie, size, pairs, free = codec.longest, codec.trie, codec.size, codec.pairs, codec.splits is None
+        reach, since = len(best) - 1, 0
+        while at < upto:
+            here, prior = best[at], last[at]
+            if here > _NONE:
+                level, end, held = trie, at, False
+                for c in text[at : at + longest]:
+                    node = level.get(c)
+                    if node is None:
+                        break
+                    end += 1
+                    i = node[1]
+                    if i >= 0:
+                        held = held or end == at + 1
+                        while reach < end:
+                            best.append(_NONE)
+                            back.append(0)
+                            last.append(-2)
+                            reach += 1
+                        score = here + node[2]
+                        # merges leave one path to a position
+                        if score > best[end] if free else best[end] == _NONE and (prior < 0 or pairs[prior * size + i]):
+                            best[end], back[end], last[end] = score, at, i
+                    level = node[0]
+                if not held:
+                    if reach == at:
+                        best.append(_NONE)
+                        back.append(0)
+                        last.append(-2)
+                        reach += 1
+                    if here + codec.unknown > best[at + 1]:
+                        best[at + 1], back[at + 1], last[at + 1] = here + codec.unknown, at, -1
+            at += 1
+            since += 1
+            # no path goes beyond this position: all meet in it
+            met = at if since >= 8 and reach == at else self._meeting(at, reach) if since >= LOOK else 0
+            if since >= LOOK or met:
+                since = 0
+            if met and at < len(text):
+                self.at = at
+                yield self._commit(met)
+                text, at, reach = self.text, self.at, len(best) - 1
+                upto -= met
+        self.at = at
+
+    def _meeting(self, at: int, reach: int) -> int:
+        """The boundary in which the paths to all positions from `at` on meet; 0 if there is none."""
+        front = {p for p in range(at, reach + 1) if self.best[p] > _NONE}
+        while len(front) > 1:
+            late = max(front)
+            front.remove(late)
+            front.add(self.back[late])
+        return front.pop() if front else 0
+
+    def _commit(self, end: int) -> bytes:
+        """The ids up to position `end`, which leave the window."""
+        out, at = array("i"), end
+        while at:
+            start, i = self.back[at], self.last[at]
+            if i >= 0:
+                out.append(i)
+            else:
+                out.extend(self.codec.bytes_of[b] for b in reversed(self.text[start:at].encode("utf-8", "replace")))
+            at = start
+        out.reverse()
+        self.commits += 1
+        self.text, self.at = self.text[end:], self.at - end
+        ground = self.best[end]
+        del self.best[:end], self.back[:end], self.last[:end]
+        self.best[:] = [b - ground for b in self.best]
+        self.back[:] = [max(b - end, 0) for b in self.back]
+        return out.tobytes()
+
+
 def _list(parts: list[np.ndarray]) -> pa.ListArray:
     offsets = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([len(p) for p in parts], out=offsets[1:])
@@ -182,10 +363,9 @@ def _list(parts: list[np.ndarray]) -> pa.ListArray:
 
 def encode(docs: DataFrame, codec: Codec, check: bool = False) -> DataFrame:
     """doc_id, ids of every row; with check also exact: whether the ids decode to the text."""
-    labelled.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.small(batches):
             texts = b.column(1).to_pylist()
             parts = [codec.encode(t) for t in texts]
             columns = {"doc_id": b.column(0), "ids": _list(parts)}
