@@ -8,20 +8,23 @@
 3. Matches of a pair (document, reference) are chained: a match adds WEIGHT, a gap costs GAP a word on either side,
    and a Fenwick tree over reference positions finds the best chain to extend (prefix maxima).
 4. Chains are aligned on words, MARGIN words to either side included, and the whole of a periodic stretch there, as
-   seeds of equal hash count once: along the diagonal, or by matching blocks where
+   seeds of equal hash count once: along the diagonal, or by matching blocks between anchors where
    words were inserted or lost. All passages of MIN_WORDS equal words or more are returned: a chain may hold several.
 5. The reference of a seed may share less than a passage and hide a document that shares more. So every run of
-   MIN_WORDS words that no passage of its document holds and whose seeds all occur elsewhere meets the least document
+   MIN_WORDS words that no passage of its document holds and whose seeds all occur in smaller ones meets the least document
    that has the whole run: a run of MIN_WORDS words that a document of smaller doc_id has too is always in a passage.
 
 Words end at ASCII white space and A-Z is lower-cased.
 
 Cases: rows with null doc_id and null, empty or short texts have no passages; repeats within a document, repeated
-rows of one doc_id among them, are not reported; an empty table gives no rows. Other columns are ignored.
+rows of one doc_id among them, are not reported; an empty table gives no rows. Other columns are ignored by
+shared_passages and kept by without_repeats, whatever their names. Very long texts are cut into slices around their
+chains; only those travel.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from zlib import crc32
@@ -31,10 +34,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, labelled
+from . import common
 
 KMER, WINDOW = 8, 16
 WEIGHT, GAP = 8.0, 0.1
+#: Pairs of words up to which a gap between anchors is compared word by word; ends of a document cut in one task.
+DENSE, ENDS = 250_000, 1000
 MARGIN = 64
 MIN_WORDS = 50
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -113,16 +118,15 @@ class Fenwick:
 def chains(pos: list[int], ref: list[int]) -> list[tuple[int, int, int, int, int, bool]]:
     """(start, end, ref_start, ref_end, matches, bent) of the best disjoint chains of matches, sorted by pos."""
     rank = {r: i for i, r in enumerate(sorted(set(ref)))}
-    tree, score, before, held = Fenwick(len(rank)), [0.0] * len(pos), [-1] * len(pos), []
+    tree, score, before, held = Fenwick(len(rank)), [0.0] * len(pos), [-1] * len(pos), 0
     for i, (p, r) in enumerate(zip(pos, ref, strict=True)):
         # matches at one position do not chain with each other: they enter the tree when the position is left
-        while held and pos[held[0]] < p:
-            j = held.pop(0)
-            tree.put(rank[ref[j]], (score[j] + GAP * (pos[j] + ref[j]), j))
+        while held < i and pos[held] < p:
+            tree.put(rank[ref[held]], (score[held] + GAP * (pos[held] + ref[held]), held))
+            held += 1
         value, j = tree.upto(rank[r])
         value -= GAP * (p + r)
         score[i], before[i] = (WEIGHT + value, j) if value > 0 else (WEIGHT, -1)
-        held.append(i)
     used, out = [False] * len(pos), []
     for i in sorted(range(len(pos)), key=lambda k: -score[k]):
         chain, j = [], i
@@ -196,14 +200,68 @@ def aligned(a: np.ndarray, b: np.ndarray, shift: int | None, least: int) -> Iter
         for s, e in runs(np.where(same, 1.0, -2.0), least):
             yield lead + s, lead + e, lead + s + shift, lead + e + shift, int(same[s:e].sum())
         return
-    blocks = [x for x in SequenceMatcher(None, a.tolist(), b.tolist(), autojunk=False).get_matching_blocks() if x.size]
+    blocks = matching(a, b)
     gains: list[float] = []
-    for i, x in enumerate(blocks):
-        lost = max(x.a - blocks[i - 1].a - blocks[i - 1].size, x.b - blocks[i - 1].b - blocks[i - 1].size) if i else 0
-        gains += [-2.0 * lost, float(x.size)]
+    for i, (x, y, _) in enumerate(blocks):
+        lost = max(x - blocks[i - 1][0] - blocks[i - 1][2], y - blocks[i - 1][1] - blocks[i - 1][2]) if i else 0
+        gains += [-2.0 * lost, float(blocks[i][2])]
     for s, e in runs(np.array(gains), least):
         run = blocks[s // 2 : (e + 1) // 2]
-        yield run[0].a, run[-1].a + run[-1].size, run[0].b, run[-1].b + run[-1].size, sum(x.size for x in run)
+        yield run[0][0], run[-1][0] + run[-1][2], run[0][1], run[-1][1] + run[-1][2], sum(n for *_, n in run)
+
+
+def matching(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, size) of ordered blocks of equal words. Runs of KMER words that occur once in each
+    are anchors; the longest row of anchors rising in both is kept and grown along its diagonals. Only gaps between
+    anchors of DENSE pairs of words or fewer are compared word by word, so time does not grow with the square of a
+    slice."""
+    out: list[tuple[int, int, int]] = []
+
+    def fill(i: int, i2: int, j: int, j2: int) -> None:
+        if i < i2 and j < j2 and (i2 - i) * (j2 - j) <= DENSE:
+            found = SequenceMatcher(None, a[i:i2].tolist(), b[j:j2].tolist(), autojunk=False).get_matching_blocks()
+            out.extend((i + x.a, j + x.b, x.size) for x in found if x.size)
+
+    i = j = 0
+    for x, y in _anchors(a, b):
+        if x < i or y < j:
+            continue  # within the block before
+        back = min(x - i, y - j)
+        if back:
+            differ = np.flatnonzero(a[x - back : x][::-1] != b[y - back : y][::-1])
+            back = int(differ[0]) if len(differ) else back
+        x, y = x - back, y - back
+        size = _agreement(a[x:], b[y:])
+        fill(i, x, j, y)
+        out.append((x, y, size))
+        i, j = x + size, y + size
+    fill(i, len(a), j, len(b))
+    return out
+
+
+def _anchors(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """The longest row of places, rising in a and in b, of runs of KMER words that both have once."""
+    if min(len(a), len(b)) < KMER:
+        return []
+    once = []
+    for codes in (a, b):
+        h, at, n = np.unique(hashes(codes.astype(np.uint64), KMER, slice(None)), return_index=True, return_counts=True)
+        once.append((h[n == 1], at[n == 1]))
+    _, i, j = np.intersect1d(once[0][0], once[1][0], assume_unique=True, return_indices=True)
+    order = np.argsort(once[0][1][i])
+    pairs = list(zip(once[0][1][i][order].tolist(), once[1][1][j][order].tolist(), strict=True))
+    tails: list[int] = []
+    heads: list[int] = []
+    before = [-1] * len(pairs)
+    for n, (_, y) in enumerate(pairs):
+        at = bisect_left(tails, y)
+        before[n] = heads[at - 1] if at else -1
+        tails[at : at + 1], heads[at : at + 1] = [y], [n]
+    out, n = [], heads[-1] if heads else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
 
 
 def past(codes: np.ndarray, at: int) -> int:
@@ -258,52 +316,64 @@ def _aligned_rows(least: int):
 
 
 def windows(text: str, shared: list[int], found: list | None, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, position and whether no passage in `found` holds it, of every run of `least` words whose seeds are all in
-    `shared`. Runs of a periodic stretch are given until they repeat, and then in steps that cover it."""
+    """Hashes and positions of every run of `least` words whose seeds are all in `shared` and which no passage in `found`
+    holds, and the seeds of these runs. Runs of a periodic stretch are given until they repeat, and then in steps that
+    cover it."""
     codes = word_codes(text).astype(np.uint64)
     n = len(codes) - least + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
-    bad = np.zeros(n + 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
     inner = least - KMER - WINDOW + 2  # windows of seeds within a run
-    if inner > 0:
-        low = hashes(codes, KMER, slice(None))
-        for k in (1, 2, 4, 8):
-            low = np.minimum(low[:-k], low[k:])
-        lacks = np.concatenate([[0], np.cumsum(~np.isin(low.view(np.int64), np.array(shared, np.int64)))])
-        bad = lacks[inner:] - lacks[:-inner]
-    at = np.flatnonzero(bad[:n] == 0)
-    h = np.zeros(n, np.uint64)
-    h[at] = hashes(codes, least, at)
-    again = np.zeros(n + 1, bool)
-    for p in range(1, min(WINDOW, n - 1) + 1):
-        again[p:n] |= (h[p:] == h[:-p]) & (h[p:] != 0)
+    low = hashes(codes, KMER, slice(None))
+    for k in (1, 2, 4, 8):
+        low = np.minimum(low[:-k], low[k:])
+    lacks = np.concatenate([[0], np.cumsum(~np.isin(low.view(np.int64), np.array(shared, np.int64)))])
+    bad = lacks[inner:] - lacks[:-inner]
     held = np.zeros(n + 1, np.int64)
     for f in () if found is None else found:
         if f["end"] - f["start"] >= least:
             held[f["start"]] += 1
             held[f["end"] - least + 1] -= 1
+    at = np.flatnonzero((bad[:n] == 0) & (np.cumsum(held)[:n] == 0))
+    h = np.zeros(n, np.uint64)
+    h[at] = hashes(codes, least, at)
+    again = np.zeros(n + 1, bool)
+    for p in range(1, min(WINDOW, n - 1) + 1):
+        again[p:n] |= (h[p:] == h[:-p]) & (h[p:] != 0)
     at = at[~again[at] | ~again[at + 1] | (at % min(least, 2 * WINDOW) == 0)]
-    return h[at].view(np.int64), at.astype(np.int32), np.cumsum(held)[at] == 0
+    edges = np.zeros(len(low) + 1, np.int64)
+    np.add.at(edges, at, 1)
+    np.add.at(edges, np.minimum(at + inner, len(low)), -1)
+    return h[at].view(np.int64), at.astype(np.int32), np.unique(low[np.cumsum(edges)[: len(low)] > 0]).view(np.int64)
+
 
+def _window_rows(least: int, with_seeds: bool):
+    """Rows of windows; with_seeds: their seeds as well, at position -1."""
 
-def _window_rows(least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for doc, text, shared, found in zip(b["doc"], b["text"], b["shared"], b["found"], strict=True):
-                h, pos, loose = windows(text, shared, found, least)
+                h, pos, own = windows(text, shared, found, least)
                 if len(h):
-                    yield pd.DataFrame({"h": h, "doc": doc, "pos": pos, "loose": loose})
+                    yield pd.DataFrame({"h": h, "doc": doc, "pos": pos})
+                    if with_seeds:
+                        yield pd.DataFrame({"h": own, "doc": doc, "pos": np.full(len(own), -1, np.int32)})
 
     return run
 
 
 def _aligned(texts: DataFrame, linked: DataFrame, min_words: int) -> DataFrame:
     """The passages of the chains `linked`."""
-    ends = linked.select("doc", "s", "e").union(linked.select("ref", "rs", "re")).distinct()
-    wanted = ends.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("wanted"))
-    one_each = texts.join(wanted, "doc")
-    slices = common.stage(one_each.mapInPandas(_sliced, "doc long, s int, e int, low int, words binary"), "slices").dropDuplicates(["doc", "s", "e"])
+    ends = common.stage(linked.select("doc", "s", "e").union(linked.select("ref", "rs", "re")).distinct(), "ends")
+    # the ends in a document that very many others share go to several tasks
+    many = ends.groupBy("doc").count().filter(F.col("count") > ENDS).select("doc", F.ceil(F.col("count") / ENDS).alias("parts"))
+    dealt = ends.join(many, "doc", "left").withColumn("part", F.pmod(F.xxhash64("s", "e"), F.coalesce("parts", F.lit(1))))
+    wanted = dealt.groupBy("doc", "part").agg(F.collect_list(F.struct("s", "e")).alias("wanted")).drop("part")
+    slices = common.stage(texts.join(wanted, "doc").mapInPandas(_sliced, "doc long, s int, e int, low int, words binary"), "slices")
+    keys = slices.select("doc", "s", "e")
+    if keys.distinct().count() != keys.count():  # repeated doc_ids
+        slices = common.stage(slices.dropDuplicates(["doc", "s", "e"]), "slices")
+    # plain joins of written tables: where one slice meets very many others, Spark splits its partition
     pairs = linked.join(slices.withColumnsRenamed({"low": "at", "words": "a"}), ["doc", "s", "e"])
     pairs = pairs.join(slices.toDF("ref", "rs", "re", "other", "b"), ["ref", "rs", "re"])
     return pairs.mapInPandas(_aligned_rows(min_words), _PASSAGE)
@@ -311,7 +381,8 @@ def _aligned(texts: DataFrame, linked: DataFrame, min_words: int) -> DataFrame:
 
 def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Passages [start, end) in words of doc_id that other_id, the reference, has at [other_start, other_end)."""
-    labelled.small_batches(docs.sparkSession)
+    if min_words < KMER + WINDOW - 1:
+        raise ValueError(f"shorter passages than {KMER + WINDOW - 1} words may have no seed")
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), common.text_of().alias("text"))
     found = common.stage(texts.mapInPandas(_seed_rows, "h long, doc long, pos int, first boolean"), "seeds")
     # every document counts once, with its first occurrence
@@ -322,13 +393,17 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     dealt = others.repartition(matches.count() // 200_000 + 1, "doc", "ref").sortWithinPartitions("doc", "ref", "pos", "ref_pos")
     linked = common.stage(dealt.mapInPandas(_chained, _CHAIN), "chains")
     passages = common.stage(_aligned(texts, linked, min_words).distinct(), "passages")
-    # what no passage holds yet meets the least document that has the whole run of min_words words
-    shared = matches.filter("first").groupBy("doc").agg(F.collect_set("h").alias("shared"))
+    # what no passage holds yet meets the least document that has the whole run of min_words words: such a document has
+    # all of the run's seeds, so only runs whose seeds all have a smaller reference can have one
+    rows = "h long, doc long, pos int"
+    shared = matches.filter("first AND ref != doc").groupBy("doc").agg(F.collect_set("h").alias("shared"))
     spans = passages.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct("start", "end")).alias("found"))
-    whole = texts.join(shared, "doc").join(spans, "doc", "left")
-    rows = common.stage(whole.mapInPandas(_window_rows(min_words), "h long, doc long, pos int, loose boolean"), "windows")
-    least = rows.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("least"), F.max("loose").alias("loose")).filter("loose").drop("loose")
-    met = rows.filter("loose").join(least, "h").filter("doc != least.doc")
+    loose = common.stage(texts.join(shared, "doc").join(spans, "doc", "left").mapInPandas(_window_rows(min_words, True), rows), "loose-windows")
+    wanted = found.filter("first").join(loose.filter("pos < 0").select("h").distinct(), "h", "left_semi")
+    shared = wanted.groupBy("doc").agg(F.collect_set("h").alias("shared")).withColumn("found", F.lit(None).cast("array<struct<start:int,end:int>>"))
+    every = common.stage(texts.join(shared, "doc").mapInPandas(_window_rows(min_words, False), rows), "windows")
+    least = every.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("least"))
+    met = loose.filter("pos >= 0").join(least, "h").filter("doc != least.doc")
     met = met.groupBy("doc", F.col("least.doc").alias("ref"), (F.col("pos") - F.col("least.pos")).alias("shift"))
     met = met.agg(F.min("pos").alias("s"), (F.max("pos") + min_words).alias("e"))
     met = met.select("doc", "ref", "s", "e", (F.col("s") - F.col("shift")).alias("rs"), (F.col("e") - F.col("shift")).alias("re"), F.lit(False).alias("bent"))
@@ -348,8 +423,11 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             if holes is None or text is None:
                 return text
             words = text.encode("utf-8", "replace").split()
-            gone = {i for h in holes for i in range(h["start"], h["end"])}
-            return b" ".join(w for i, w in enumerate(words) if i not in gone).decode("utf-8")
+            left, at = [], 0
+            for start, end in sorted((h["start"], h["end"]) for h in holes):
+                left += words[at : max(at, start)]
+                at = max(at, end)
+            return b" ".join(left + words[at:]).decode("utf-8")
 
         return pd.Series([one(t, h) for t, h in zip(texts, spans, strict=True)], dtype=object)
 

@@ -151,7 +151,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled.small_batches(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(labelled.sample(docs, common.table(spark, sf_dir, "labels"), "quality", labelled.held_out(4, 2), SAMPLE))
     return score(docs, model).select("doc_id", labelled.held_out(4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -59,7 +59,6 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp of every row."""
-    labelled.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -258,7 +257,6 @@ def similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, radius: int = SIMIL
     more. Candidates share one of BANDS min-hash bands of ROWS values; at 0.8 all but 2 in 10,000 pairs do. Of 256
     bits they differ in at most `radius`: at 0.8 39 differ on average (standard deviation 5.7), 48 where a text has
     five shingles. Every candidate is then decided by its sets."""
-    labelled.small_batches(docs.sparkSession)
 
     def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -148,7 +148,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def model_for(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
-    labelled.small_batches(docs.sparkSession)
     return train(labelled.sample(docs, labels, "toxic", labelled.held_out(3, 1), size))
 
 

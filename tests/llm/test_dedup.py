@@ -212,6 +212,73 @@ def test_every_run_shared_with_a_lower_document_is_in_a_passage(spark):
     assert [(d, i) for d, i in expected if not set(range(i, i + least)) <= covered.get(d, set())] == []
 
 
+def test_passage_hidden_by_two_lower_documents(spark):
+    """Documents 3 and 4 share 53 words; document 1 has the first 49 of them, document 2 the last 49."""
+    rng = random.Random(15)
+    run = words(rng, 53).split()
+    parts = {1: run[:49], 2: run[-49:], 3: run, 4: run}
+    docs = [(i, " ".join(words(rng, 30).split() + p + words(rng, 30).split()), "x", 0) for i, p in parts.items()]
+    found = passages.shared_passages(spark.createDataFrame(docs, "doc_id long, text string, words string, start int")).collect()
+    assert {(r.doc_id, r.other_id, r.start, r.end) for r in found} == {(4, 3, 30, 83)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_all_runs_of_random_documents_are_in_passages(spark, seed):
+    """Against every pair of documents, on texts pasted from a few snippets, some of them changed by a word."""
+    rng = random.Random(100 + seed)
+    snippets = [words(rng, rng.randint(10, 70)).split() for _ in range(8)]
+    texts = []
+    for _ in range(30):
+        t = []
+        for _ in range(rng.randint(1, 8)):
+            piece = list(rng.choice(snippets))
+            if rng.random() < 0.3:
+                piece[rng.randrange(len(piece))] = "changed"
+            if rng.random() < 0.2:
+                piece.insert(rng.randrange(len(piece)), "put")
+            t += piece + words(rng, rng.randint(0, 3)).split()
+        texts.append(t)
+    least, seen, expected = passages.MIN_WORDS, {}, []
+    for doc, t in enumerate(texts):
+        for i in range(len(t) - least + 1):
+            if seen.setdefault(tuple(t[i : i + least]), doc) < doc:
+                expected.append((doc, i))
+    covered = {}
+    for r in passages.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect():
+        assert sum(x == y for x, y in zip(texts[r.doc_id][r.start : r.end], texts[r.other_id][r.other_start : r.other_end], strict=False)) > 0
+        covered.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    assert len(expected) > 100
+    assert [(d, i) for d, i in expected if not set(range(i, i + least)) <= covered.get(d, set())] == []
+
+
+def test_matching_blocks():
+    from time import process_time
+
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        a = rng.integers(0, 500, 300).astype(np.uint32)
+        b = np.concatenate([a[:100], rng.integers(0, 500, rng.integers(0, 9)).astype(np.uint32), a[100 + rng.integers(0, 9) :]])
+        blocks = passages.matching(a, b)
+        assert sum(n for *_, n in blocks) >= 280
+        at = (0, 0)
+        for x, y, n in blocks:
+            assert x >= at[0] and y >= at[1] and (a[x : x + n] == b[y : y + n]).all()
+            at = x + n, y + n
+    again = np.tile(rng.integers(0, 40, 40), 2500).astype(np.uint32)
+    began = process_time()
+    passages.matching(again, np.concatenate([again[7:], again]))
+    assert process_time() - began < 5
+
+
+def test_a_document_with_very_many_ends(spark, monkeypatch):
+    monkeypatch.setattr(passages, "ENDS", 2)
+    rng = random.Random(17)
+    long = words(rng, 900).split()
+    docs = [(0, " ".join(long))] + [(i, " ".join(words(rng, 20).split() + long[20 * i : 20 * i + 60] + words(rng, 20).split())) for i in range(1, 40)] + [(0, " ".join(long))]
+    found = {(r.doc_id, r.start, r.end, r.other_id) for r in passages.shared_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {(i, 20, 80, 0) for i in range(1, 40)} <= found
+
+
 def test_similar_texts_are_decided_by_their_shingles(spark):
     rng = random.Random(14)
     data = []
