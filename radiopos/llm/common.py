@@ -35,8 +35,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def running_start(df: DataFrame, key: str, order: str, value: str, out: str, rows: int) -> DataFrame:
-    """Adds out: the sum of value over the rows of the same key that come before, in a hashed order of `order`.
+def running_start(df: DataFrame, key: str, order: str, value: str, out: str, rows: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds out: the sum of value over the rows of the same key that come before, in a hashed order of `order`; rows
+    of equal order follow each other by value and `ties`.
 
     `rows` is the number of rows (or near it). Each key is cut into about sqrt(rows) chunks, so a key that holds
     a third of all rows has chunks of about sqrt(rows) / 3 rows, and neither the window within a chunk nor the
@@ -46,7 +47,7 @@ def running_start(df: DataFrame, key: str, order: str, value: str, out: str, row
     sums = cut.groupBy(key, "_chunk").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(key, "_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).cast("long").alias("_base"))
-    inside = Window.partitionBy(key, "_chunk").orderBy(order, value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(key, "_chunk").orderBy(order, value, *ties).rowsBetween(Window.unboundedPreceding, -1)
     return (
         cut.withColumn("_inner", F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .join(sums, [key, "_chunk"])

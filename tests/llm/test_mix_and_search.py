@@ -115,10 +115,70 @@ def test_top_k_is_exact(spark, tmp_path, monkeypatch):
 
 def test_bounds_hold():
     rng = np.random.default_rng(8)
-    q, x = rng.integers(-300, 300, (20, 64)).astype(float), rng.integers(-300, 300, (50, 64)).astype(float)
-    for s in topk.SEGMENTS:
-        a, b = topk.statistics(q, s)[0], topk.statistics(x, s)[0]
-        assert (a @ b.T >= q @ x.T - 1e-6).all()
+    q, x = (topk.Levels(rng.integers(-300, 300, (n, 64)), None) for n in (20, 50))
+    axes = topk.turn(x.x)
+    turned_q, turned_x = topk.Levels(q.x, axes), topk.Levels(x.x, axes)
+    assert (np.abs(turned_q.turned @ turned_x.turned.T - q.x @ x.x.T) < 2).all()
+    for a, b in ((q, x), (turned_q, turned_x)):
+        tighter = np.inf
+        for level, lead in enumerate(a.leads):
+            bound = a.turned[:, :lead] @ b.turned[:, :lead].T + a.tails[level] @ b.tails[level].T
+            assert (bound >= q.x @ x.x.T - 2).all()
+            assert bound.mean() < tighter
+            tighter = bound.mean()
+
+
+@pytest.mark.parametrize(("width", "scale", "rank"), [(64, 100, 5), (64, 100, 64), (7, 3, 7), (1, 9, 1), (130, 2**33, 130), (64, 2**50, 64), (1100, 50, 20)])
+def test_searches_are_exact_whatever_the_floor(width, scale, rank):
+    rng = np.random.default_rng(width + rank)
+    x = np.rint(rng.normal(0, 1, (400, rank)) @ rng.normal(0, 1, (rank, width)) * scale / rank**0.5).astype(np.int64)
+    x[350:] = x[:50]  # ties
+    ids = rng.permutation(400).astype(np.int64)
+    axes = topk.turn(x[:100])
+    q = topk.Levels(x[:30], axes)
+    floor, shares, found = np.full(30, -np.inf), {}, []
+    for at in range(0, 400, 80):
+        i, j, score = topk.search(ids[:30], q, ids[at : at + 80], topk.Levels(x[at : at + 80], axes), 5, floor, shares)
+        found += zip(ids[i].tolist(), (-score).tolist(), ids[at + j].tolist(), strict=True)
+    got = set()
+    for a in range(30):
+        mine = sorted((s, v) for f, s, v in found if f == ids[a])[:5]
+        got |= {(int(ids[a]), n + 1, v, -s) for n, (s, v) in enumerate(mine)}
+    wrapped = lambda n: (n + 2**63) % 2**64 - 2**63
+    want = set()
+    for a in range(30):
+        scores = sorted((-wrapped(int(np.dot(x[a].astype(object), y.astype(object)))), int(v)) for v, y in zip(ids, x, strict=True) if v != ids[a])
+        want |= {(int(ids[a]), n + 1, v, -s) for n, (s, v) in enumerate(scores[:5])}
+    assert got == want
+
+
+def test_levels_prune_vectors_of_few_directions():
+    """Vectors about ten directions: coarse levels leave few pairs."""
+    rng = np.random.default_rng(3)
+    centers = rng.normal(0, 100, (10, 64))
+    x = np.rint(centers[rng.integers(0, 10, 2000)] + rng.normal(0, 3, (2000, 64))).astype(np.int64)
+    axes = topk.turn(x[:500])
+    q, ids = topk.Levels(x[:40], axes), np.arange(2000)
+    floor, shares = np.full(40, -np.inf), {}
+    topk.search(ids[:40], q, ids[:1000], topk.Levels(x[:1000], axes), 5, floor, shares)
+    topk.search(ids[:40], q, ids[1000:], topk.Levels(x[1000:], axes), 5, floor, shares)
+    assert shares[min(shares)] < 0.3 and shares[max(shares)] < 0.1
+
+
+def test_repeated_vectors_and_small_salts(spark, monkeypatch):
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", 4)
+    monkeypatch.setattr(topk, "BLOCKS_A_SALT", 1)
+    monkeypatch.setattr(topk, "SEEDS", 3)
+    rows = [(i, [i % 3, i % 5 - 2]) for i in range(40)] + [(50, [1, 1])] * 3 + [(100, [70000, -1]), (150, [2**40, 3])]
+    v = spark.createDataFrame(rows, "id long, v array<long>")
+    asked = v.filter("id % 50 = 0").distinct()
+    got = {tuple(r) for r in topk.top_k(v, asked).collect()}
+    whole = [(i, np.array(x)) for i, x in rows]
+    want = set()
+    for q, a in {(i, tuple(x)) for i, x in rows if i % 50 == 0}:
+        scores = sorted((-int(np.dot(a, b)), i) for i, b in whole if i != q)
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:5])}
+    assert got == want
 
 
 def test_pipeline_keeps_clean_and_drops_the_rest(spark, tmp_path):
