@@ -8,7 +8,8 @@ linked fingerprints agree on `match` whole blocks (pigeonhole); every choice of
 buckets. Within a bucket, bit planes are stored vertically, 64 fingerprints a word; distances to 64 fingerprints
 grow at once in carry-save counters, plane by plane, and words whose 64 distances all exceed the radius are
 abandoned. A bucket emits a spanning forest of its links, never all pairs. Buckets of more than CHUNK
-fingerprints are cut into chunks, and pairs of chunks are compared in separate tasks.
+fingerprints are cut into chunks that are compared in separate tasks, and what is in one component already need not
+meet, so a large group of near copies costs no squares.
 
 `similar` and `keep` look for texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more. Their
 fingerprints differ in more bits than blocks can bear, so they are 256 bits wide and min-hash bands make the buckets.
@@ -123,9 +124,10 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def alike(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs those of a Jaccard similarity of 0.8 or more, without pairs that others of them join already."""
-    root = list(range(len(sets)))
+def alike(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs those of a Jaccard similarity of 0.8 or more, without pairs that others of them, or a group
+    (numbers from 0) that holds both, join already."""
+    root = np.unique(group, return_index=True)[1][group].tolist()
 
     def top(k: int) -> int:
         while root[k] != k:
@@ -155,7 +157,8 @@ def _links(radius: int):
             prints = nodes.view(np.uint8).reshape(-1, 8)
         i, j = near_pairs(prints, radius)
         if "set" in group:
-            i, j = alike([np.frombuffer(x, np.uint64) for x in group["set"].iloc[at]], i, j)
+            _, known = np.unique(group["root"].to_numpy(np.int64)[at], return_inverse=True)
+            i, j = alike([np.frombuffer(x, np.uint64) for x in group["set"].iloc[at]], i, j, known)
         root = forest(len(nodes), i, j)
         moved = np.flatnonzero(root != np.arange(len(nodes)))
         return pd.DataFrame({"a": nodes[moved], "b": nodes[root[moved]]})
@@ -192,17 +195,43 @@ def tables(radius: int, expected: int) -> list[int]:
 
 def link_edges(keyed: DataFrame, radius: int, prints: DataFrame | None = None) -> DataFrame:
     """keyed: t, key, node; only nodes of one bucket (t, key) are compared. prints: node, fp (binary) and set (hashes
-    of the shingles), which decides; without it the node is the fingerprint. Edges (a, b) whose components are those of all links found."""
+    of the shingles), which decides; without it the node is the fingerprint. Edges (a, b) whose components are those of
+    all links.
+
+    Buckets of more than CHUNK nodes are dealt into chunks in two ways, and first only nodes of one chunk are compared:
+    a group of near copies becomes one component at that. Then the components tell what is left to compare. In such a
+    bucket the nodes of its largest component need not meet each other, and a bucket of one component is done.
+    """
     full = keyed.groupBy("t", "key").count().filter("count > 1").select("t", "key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    rows = keyed.join(full, ["t", "key"]).withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    # chunk c meets every chunk of its bucket once, itself included
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
-    rows = rows.select("node", "t", "key", "c", other).select("node", "t", "key", F.least("c", "o").alias("ci"), F.greatest("c", "o").alias("cj"))
+    rows = common.stage(keyed.join(full, ["t", "key"]), "buckets")
+    chunk = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
+    one = rows.select("t", "key", "node", F.col("node").alias("root"), chunk(0, F.col("chunks")).alias("ci"), F.lit(0).alias("cj"))
+    two = rows.filter("chunks > 1").select("t", "key", "node", F.col("node").alias("root"), chunk(1, F.col("chunks")).alias("ci"), F.lit(1).alias("cj"))
+    edges = _compared(one.union(two), radius, prints)
+    many = rows.filter("chunks > 1")
+    if not many.head(1):
+        return edges
+    roots = components.components(edges)
+    rooted = many.join(roots, "node", "left").select("t", "key", "node", F.coalesce("root", "node").alias("root"))
+    each = rooted.groupBy("t", "key", "root").agg(F.count(F.lit(1)).alias("n"))
+    left = each.groupBy("t", "key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.max("n").alias("big"), F.sum("n").alias("all")).filter("all > big")
+    left = left.select("t", "key", "most", F.ceil(F.col("big") / CHUNK).cast("int").alias("bigs"), F.ceil((F.col("all") - F.col("big")) / CHUNK).cast("int").alias("smalls"))
+    rest = rooted.join(left, ["t", "key"])
+    steps = lambda n: F.sequence(F.lit(0), n - 1)
+    # chunks of small components meet each other and the chunks of the largest, which are numbered after them
+    small = rest.filter("root != most").withColumn("c", chunk(2, F.col("smalls"))).withColumn("o", F.explode(steps(F.col("smalls") + F.col("bigs"))))
+    large = rest.filter("root = most").withColumn("c", F.col("smalls") + chunk(2, F.col("bigs"))).withColumn("o", F.explode(steps(F.col("smalls"))))
+    met = small.unionByName(large).select("t", "key", "node", "root", F.least("c", "o").alias("ci"), F.greatest("c", "o").alias("cj"))
+    return common.stage(edges.union(_compared(met, radius, prints)), "links")
+
+
+def _compared(rows: DataFrame, radius: int, prints: DataFrame | None) -> DataFrame:
+    """rows: t, key, ci, cj, node, root. Nodes of equal (t, key, ci, cj) are compared; edges of those of two roots."""
     if prints is not None:
         rows = rows.join(prints, "node")
-    rows = common.stage(rows, "buckets")
+    rows = common.stage(rows, "chunks")
     dealt = rows.repartition(rows.count() // 50_000 + 1, "t", "key", "ci", "cj").sortWithinPartitions("t", "key", "ci", "cj")
-    return dealt.mapInPandas(_links(radius), "a long, b long")
+    return common.stage(dealt.mapInPandas(_links(radius), "a long, b long"), "links")
 
 
 def block_keys(distinct: DataFrame, radius: int) -> DataFrame:

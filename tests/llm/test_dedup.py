@@ -123,6 +123,35 @@ def test_similar_texts_leave_one(spark):
     assert got.columns == [f.split()[0] for f in SCHEMA.split(", ")]
 
 
+@pytest.mark.parametrize("chunk", [3, 7, 1024])
+def test_large_buckets_lose_no_link(spark, monkeypatch, chunk):
+    """Groups of near copies that drift apart, so that not all of a group are alike, against all pairs."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rng = random.Random(21)
+    data = []
+    for g in range(4):
+        w = words(rng, 60).split()
+        for k in range(25 if g else 60):
+            w = w[:]
+            w[rng.randrange(60)] = words(rng, 1)
+            data.append((1000 * g + k, " ".join(w)))
+    sets = {i: set(simhash.shingles(t).tolist()) for i, t in data}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    got = {r.node: r.root for r in simhash.similar(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert {i: got.get(i, i) for i in sets} == {i: top(i) for i in sets}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 300), (300, 100), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
