@@ -1,8 +1,9 @@
 """Counterfactual-regularised toxicity classifier.
 
-A logistic model over the presence of words and of their beginnings. For every labelled document that names a group of people, a
-counterfactual copy has the group's term swapped for another of the same kind; training adds
-`strength` * (logit(document) - logit(copy))^2, so naming a group moves the score as little as the labels allow.
+A logistic model over the presence of words and of their beginnings. For every sentence of a labelled document that names
+a group of people, a counterfactual copy has the group's term swapped for another of the same kind; training adds
+`strength` * (logit(sentence) - logit(copy))^2, so naming a group moves the score as little as the labels allow. The terms
+are a parameter (a mapping, or a table through terms_of); IDENTITY is the default.
 
 The vocabulary (the words that tell the labels apart best, and all identity terms seen) is counted by Spark over
 the sample; the model is fitted on at most SAMPLE labelled rows (a parameter). Scoring reads every whole text.
@@ -37,6 +38,9 @@ IDENTITY = {
     "ability": "disabled blind deaf autistic elderly young old".split(),
 }
 _WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"[^.!?\n]+")
+#: Different changes that enter the penalty, the most frequent ones.
+PAIRS = 4096
 
 
 class Model(NamedTuple):
@@ -53,33 +57,49 @@ def features(words: set[str]) -> set[str]:
     return words | {f"{w[:k]}~" for w in words for k in (3, 4, 5) if len(w) > k}
 
 
-def swapped(words: set[str]) -> set[str] | None:
-    """The words with each identity term replaced by the next of its kind; None if there is none."""
-    out = set(words)
-    for terms in IDENTITY.values():
-        found = [t for t in terms if t in words]
-        out -= set(found)
-        out |= {terms[(terms.index(t) + 1) % len(terms)] for t in found}
-    return None if out == words else out
+def terms_of(table: DataFrame) -> dict[str, list[str]]:
+    """A table of kind and term (words, at most some thousands) as a mapping; terms are lower-cased."""
+    rows = table.select("kind", F.lower("term").alias("term")).na.drop().distinct().orderBy("kind", "term").collect()
+    return {kind: [r["term"] for r in rows if r["kind"] == kind] for kind in sorted({r["kind"] for r in rows})}
 
 
-def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        sets = [words_of(t) for t in b["text"]]
-        both = [features(s | (swapped(s) or set())) for s in sets]
-        yield pd.DataFrame({"y": np.repeat(b["y"].to_numpy(), [len(s) for s in both]), "word": [w for s in both for w in s]})
+class Swaps:
+    """Swaps each identity term for the next of its kind."""
 
+    def __init__(self, terms: dict[str, list[str]]):
+        self.next = {t: of[(i + 1) % len(of)] for of in terms.values() if len(of) > 1 for i, t in enumerate(of)}
 
-def vocabulary(rows: DataFrame, size: int) -> list[str]:
+    def swapped(self, words: set[str]) -> set[str] | None:
+        """The words with the terms swapped; None if there is none."""
+        found = words & self.next.keys()
+        out = (words - found) | {self.next[t] for t in found}
+        return None if out == words else out
+
+    def sentences(self, text: str) -> Iterator[tuple[set[str], set[str]]]:
+        """The words of each sentence that names a group, and those of its copy."""
+        for sentence in _SENTENCE.findall(text):
+            words = words_of(sentence)
+            if other := self.swapped(words):
+                yield words, other
+
+
+def vocabulary(rows: DataFrame, size: int, swaps: Swaps) -> list[str]:
     """The words of the largest likelihood ratio between the labels, and the identity terms that occur."""
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [words_of(t) for t in b["text"]]
+            both = [features(s | (swaps.swapped(s) or set())) for s in sets]
+            yield pd.DataFrame({"y": np.repeat(b["y"].to_numpy(), [len(s) for s in both]), "word": [w for s in both for w in s]})
+
     n1, n0 = (x or 0 for x in rows.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
-    counts = rows.mapInPandas(_words, "y int, word string").groupBy("word").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
+    counts = rows.mapInPandas(words, "y int, word string").groupBy("word").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
     part = lambda k, n: F.when(k > 0, k * F.log(k / n)).otherwise(0.0)
     a, b, s = F.col("a"), F.col("b"), F.col("a") + F.col("b")
     total = float(n1 + n0)
     gain = part(a, s * (n1 / total)) + part(b, s * (n0 / total)) + part(n1 - a, (total - s) * (n1 / total)) + part(n0 - b, (total - s) * (n0 / total))
     best = counts.filter("a + b >= 3").orderBy(gain.desc(), "word").limit(size).select("word")
-    named = counts.filter(F.col("word").isin([t for terms in IDENTITY.values() for t in terms])).select("word")
+    named = counts.filter(F.col("word").isin([*swaps.next])).select("word")
     return sorted({r[0] for r in best.union(named).collect()})
 
 
@@ -101,33 +121,42 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, strength: float, ridge:
     return w, float(bias)
 
 
-def train(rows: DataFrame, vocabulary_size: int = VOCABULARY, strength: float = 1.0, ridge: float = 2e-6, steps: int = 400) -> Model:
+def train(rows: DataFrame, vocabulary_size: int = VOCABULARY, strength: float = 10.0, ridge: float = 2e-6, steps: int = 400, terms: dict[str, list[str]] = IDENTITY) -> Model:
     """rows: y, text; as labelled.sample returns them."""
+    swaps = Swaps(terms)
     rows = common.stage(rows.select("y", "text"), "toxicity-sample")
     n, n1 = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if n1 in (0, n):
         return Model({}, 40.0 if n and n1 else -40.0)
     # no more words than rows can tell apart
-    vocab = vocabulary(rows, max(1, min(vocabulary_size, n // 4)))
+    vocab = vocabulary(rows, max(1, min(vocabulary_size, n // 4)), swaps)
     at = {w: i for i, w in enumerate(vocab)}
 
     def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [words_of(t) for t in b["text"]]
-            other = [swapped(s) for s in sets]
-            of = lambda s: None if s is None else sorted(at[w] for w in features(s) if w in at)
-            yield pd.DataFrame({"y": b["y"], "ids": [of(s) for s in sets], "swap": [of(s) for s in other]})
+            of = lambda s: sorted(at[w] for w in s if w in at)
+            yield pd.DataFrame({"y": b["y"], "ids": [of(features(words_of(t))) for t in b["text"]]})
+
+    def changes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """What a swap takes from a sentence's features and what it adds."""
+        of = lambda s: sorted(at[w] for w in s if w in at)
+        for b in batches:
+            pairs = [(features(s), features(o)) for t in b["text"] for s, o in swaps.sentences(t)]
+            yield pd.DataFrame({"gone": [of(s - o) for s, o in pairs], "come": [of(o - s) for s, o in pairs]})
 
-    found = rows.mapInPandas(ids, "y int, ids array<int>, swap array<int>").collect()
-    found.sort(key=lambda r: (r["y"], r["ids"], r["swap"] or []))  # the same sums whatever the partitions
-    x, pairs = np.zeros((len(found), len(vocab)), np.float32), []
+    found = rows.mapInPandas(ids, "y int, ids array<int>").collect()
+    found.sort(key=lambda r: (r["y"], r["ids"]))  # the same sums whatever the partitions
+    x = np.zeros((len(found), len(vocab)), np.float32)
     for i, r in enumerate(found):
         x[i, r["ids"]] = 1
-        if r["swap"] is not None:
-            other = np.zeros(len(vocab), np.float32)
-            other[r["swap"]] = 1
-            pairs.append(x[i] - other)
-    w, bias = fit(x, np.array([r["y"] for r in found], np.float32), np.array(pairs, np.float32), strength, ridge, steps)
+    # sentences of equal changes are one row with their number: as many rows as there are sets of terms in a sentence
+    alike = rows.mapInPandas(changes, "gone array<int>, come array<int>").groupBy("gone", "come").count()
+    alike = alike.orderBy(F.col("count").desc(), "gone", "come").limit(PAIRS).collect()
+    pairs = np.zeros((len(alike), len(vocab)), np.float32)
+    for i, r in enumerate(alike):
+        pairs[i, r["gone"]], pairs[i, r["come"]] = 1, -1
+        pairs[i] *= np.sqrt(r["count"] * len(alike) / sum(a["count"] for a in alike))
+    w, bias = fit(x, np.array([r["y"] for r in found], np.float32), pairs, strength, ridge, steps)
     return Model({v: float(c) for v, c in zip(vocab, w, strict=True) if abs(c) > 1e-4}, bias)
 
 
@@ -147,8 +176,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", common.text_of().alias("text")).mapInPandas(run, f"doc_id {kind}, score double")
 
 
-def model_for(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
-    return train(labelled.sample(docs, labels, "toxic", labelled.held_out(3, 1), size))
+def model_for(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, terms: dict[str, list[str]] = IDENTITY) -> Model:
+    return train(labelled.sample(docs, labels, "toxic", labelled.held_out(3, 1), size), terms=terms)
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:

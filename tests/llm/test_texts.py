@@ -176,6 +176,35 @@ def test_toxicity_learns_words_and_not_identities(spark):
     assert toxicity.score(none, toxicity.model_for(none, y)).count() == 0
 
 
+def test_swaps_stay_within_sentences_and_kinds(spark):
+    terms = {"a": ["red", "green", "blue"], "b": ["north"]}
+    swaps = toxicity.Swaps(terms)
+    assert list(swaps.sentences("The red one. No term here! North\nRed and blue")) == [({"the", "red", "one"}, {"the", "green", "one"}), ({"red", "and", "blue"}, {"green", "and", "red"})]
+    table = spark.createDataFrame([("a", "Red"), ("a", "blue"), ("a", "green"), ("b", "north"), ("b", None), ("a", "red")], "kind string, term string")
+    assert toxicity.terms_of(table) == {"a": ["blue", "green", "red"], "b": ["north"]}
+
+
+def test_penalty_spares_neutral_mentions(spark):
+    """A term stands mostly in toxic rows: without the penalty neutral sentences with it are flagged."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    terms = {"group": ["zorvian", "mellic", "tarn"]}
+    rows = []
+    for i in range(900):
+        bad = i % 3 == 0
+        term = "zorvian" if bad and i % 2 == 0 else "mellic" if i % 50 == 1 else "tarn" if i % 50 == 2 else ""
+        text = " ".join(word() for _ in range(6))
+        # half of the toxic rows have no other mark than words seen once
+        rows.append((i, int(bad), f"{text}. The {term} came {'vile scum' if bad and i % 4 else ''}. {word()}."))
+    train = lambda strength: toxicity.train(spark.createDataFrame(rows, "doc_id int, y int, text string"), strength=strength, terms=terms)
+    plain, fair = train(0.0), train(10.0)
+    neutral = [f"the zorvian {word()} went home" for _ in range(50)]
+    flagged = lambda m: sum(toxicity.score_text(m, t) >= toxicity.THRESHOLD for t in neutral)
+    moved = lambda m: abs(toxicity.score_text(m, "The zorvian came") - toxicity.score_text(m, "The mellic came"))
+    assert flagged(plain) > 25 and flagged(fair) <= 5 and moved(fair) < moved(plain) / 3
+    assert toxicity.score_text(fair, "came vile scum") >= toxicity.THRESHOLD
+
+
 def test_held_out_rows_are_never_sampled(spark):
     from zlib import crc32
 
