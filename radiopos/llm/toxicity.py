@@ -142,7 +142,7 @@ def train(rows: DataFrame, vocabulary_size: int = VOCABULARY, strength: float =
         of = lambda s: sorted(at[w] for w in s if w in at)
         for b in batches:
             pairs = [(features(s), features(o)) for t in b["text"] for s, o in swaps.sentences(t)]
-            yield pd.DataFrame({"gone": [of(s - o) for s, o in pairs], "come": [of(o - s) for s, o in pairs]})
+            yield pd.DataFrame({"gone": [of(s - o) for s, o in pairs], "come": [of(o - s) for s, o in pairs]}, dtype=object)
 
     found = rows.mapInPandas(ids, "y int, ids array<int>").collect()
     found.sort(key=lambda r: (r["y"], r["ids"]))  # the same sums whatever the partitions

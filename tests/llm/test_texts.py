@@ -184,6 +184,12 @@ def test_swaps_stay_within_sentences_and_kinds(spark):
     assert toxicity.terms_of(table) == {"a": ["blue", "green", "red"], "b": ["north"]}
 
 
+def test_training_without_any_term(spark):
+    rows = spark.createDataFrame([(i % 2, f"w{i} {'vile' if i % 2 else 'kind'} words") for i in range(60)], "y int, text string")
+    model = toxicity.train(rows)
+    assert toxicity.score_text(model, "vile words") > 0.5 > toxicity.score_text(model, "kind words")
+
+
 def test_penalty_spares_neutral_mentions(spark):
     """A term stands mostly in toxic rows: without the penalty neutral sentences with it are flagged."""
     rng = np.random.default_rng(5)
@@ -235,6 +241,23 @@ def test_quality_separates_junk(spark):
     assert quality.train(labelled.sample(d, y.limit(0), "quality", labelled.held_out(4, 2), 300)).bias == 0
 
 
+def test_quality_of_odd_tables(spark, tmp_path):
+    """Repeated rows, clashing columns, contradicting labels; then empty tables."""
+    docs = [(i, "good words here " * (i % 5 + 1) if i % 2 else "bad | junk | " * (i % 5 + 1), 0.1, 7, "m") for i in range(80)]
+    docs += [docs[5], docs[5], (None, "x", None, None, None), (500, None, 0.0, 1, "m"), (501, "long " * 100_000, 0.0, 1, "m")]
+    names = "doc_id long, text string, score double, predicted int, held_out string"
+    labels = [(i, i % 2, "t") for i in range(80)] + [(9, 0, "t"), (9, 1, "t"), (None, 1, "t"), (500, None, "t")]
+    spark.createDataFrame(docs, names).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, text string").write.parquet(f"{tmp_path}/a/labels.parquet")
+    got = quality.op10_quality(spark, f"{tmp_path}/a").collect()
+    assert len(got) == len(docs) and len({r.score for r in got if r.doc_id == 5}) == 1
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    assert all(r.predicted == r.doc_id % 2 for r in got if r.doc_id is not None and r.doc_id < 80)
+    spark.createDataFrame([], names).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert quality.op10_quality(spark, f"{tmp_path}/b").count() == 0
+
+
 def test_dual_descent_meets_its_optimum():
     rng = np.random.default_rng(5)
     ids = [np.sort(rng.choice(30, 6, replace=False)).astype(np.int32) for _ in range(60)]
