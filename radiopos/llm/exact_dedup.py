@@ -5,7 +5,8 @@ never change. Digests of a new batch are grouped among themselves first, then ea
 them; only positives meet the snapshot's exact bucket. Every digest left with more than one row has its texts
 compared byte by byte: rows are grouped by the text itself, so texts that merely share a digest stay apart.
 
-Texts shuffle once, and only partial groups of them: a text with a million copies leaves each task as one row.
+Texts shuffle once to meet the digests that have more than one row; only the texts of these shuffle again, as partial
+groups: a text with a million copies leaves each task as one row.
 
 Cases: a null text equals the empty text. Rows with equal text form one group; the largest doc_id stays.
 A row without doc_id never wins over one with it. Repeated rows count in group_size and are all marked as the

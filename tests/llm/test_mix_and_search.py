@@ -214,3 +214,53 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Ties, repeated rows, nulls in every column, very long texts and columns named like the operators' own."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    text = {i: " ".join(word() for _ in range(60)) for i in range(60)}
+    text[70] = text[71] = text[72] = "equal words of three rows " * 3
+    text[80] = " ".join(word() for _ in range(60_000))
+    rows = [(i, t, "en", f"s{i % 2}", len(t), 0.5, "d", i, True) for i, t in text.items()]
+    rows += [rows[3], rows[3], (None, text[4], None, None, None, None, None, None, None), (90, None, None, None, None, None, None, None, None), (91, "", "en", "s0", 0, 0.1, "x", 1, False)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, score double, digest string, start long, kept boolean"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(40)] + [(None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, str(tmp_path))
+        assert name == "sentencepiece" or out.dtypes == df.dtypes
+        out.write.parquet(f"{tmp_path}/{name}")
+        df = spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "simhash":
+            kept = sorted(r.doc_id for r in df.collect() if r.doc_id is not None)
+            assert set(kept) >= {72, 80, 91} and not {70, 71, 90} & set(kept) and len(kept) == len(set(kept)) and kept.count(3) == 1
+        if name == "mixing":
+            again = stage(spark, spark.read.parquet(f"{tmp_path}/simhash").repartition(5), str(tmp_path))
+            assert Counter(map(tuple, df.collect())) == Counter(map(tuple, again.collect()))
+            assert max(len(r.text) for r in df.collect()) > 100_000
+    assert df.columns == ["doc_id", "ids"]
+
+
+def test_mixing_rows_of_one_doc_id(spark):
+    """Rows of equal doc_id, source and size keep their own texts; identical rows are documents each."""
+    data = [(1, "a b c d", "s", 0, "r"), (1, "e f g h", "s", 0, "r"), (1, "e f g h", "s", 0, "q"), (None, "i j k l", None, 0, "r")] + [(i, "w " * 500, "t", 0, "r") for i in range(2, 5)]
+    df = spark.createDataFrame(data, DOCS)
+    out = Counter((r.doc_id, r.text, r.source) for r in mixing.mix(df, block_words=4).collect())
+    again = Counter((r.doc_id, r.text, r.source) for r in mixing.mix(df.repartition(3), block_words=4).collect())
+    assert out == again and {t for _, t, s in out if s == "s"} == {"a b c d", "e f g h"}
+    assert out[1, "e f g h", "s"] == 2 * out[1, "a b c d", "s"]
+
+
+def test_multinomial_counts_of_a_shard(spark):
+    """Shards differ as draws do, and every source has its exact number of slots."""
+    rows = spark.createDataFrame([(0, 6000), (1, 3000), (2, 1000)], "sid int, slots long")
+    counts, n = mixing.shard_counts(rows, 100, 1)
+    got = counts.collect()
+    assert n == 10_000 and sum(r.c for r in got if r.shard >= 0) == n
+    for sid, share in ((0, 0.6), (1, 0.3), (2, 0.1)):
+        c = [r.c for r in got if r.sid == sid and r.shard >= 0] + [0] * (100 - sum(r.sid == sid and r.shard >= 0 for r in got))
+        assert np.mean(c) == pytest.approx(100 * share, rel=0.1) and np.var(c) == pytest.approx(100 * share * (1 - share), rel=0.5)
+        assert sum(r.c for r in got if r.sid == sid) >= rows.filter(f"sid = {sid}").first().slots
