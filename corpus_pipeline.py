@@ -3,7 +3,13 @@
 toxicity drops documents that score at the threshold or above; exact dedup keeps the largest doc_id of equal texts;
 near-dedup keeps one document of each group of similar ones; mixing repeats and cuts documents so that sources come
 near their target weights; SentencePiece turns what is left into ids. All but the last return the columns of
-documents. Null texts count as empty, and an empty table passes through every stage.
+documents.
+
+Cases: null texts count as empty (equal to each other and to empty ones), and a document without words is left out by
+mixing, as nothing can be taken of it. Of equal texts a row without doc_id never stays beside one with it; rows without
+doc_id are no near duplicates of any. Repeated rows count as equal texts. Ties of scores, sizes or hashes are broken by
+doc_id and text, so reruns agree. Very long texts pass whole. Other columns are kept, whatever their names, but n_chars
+follows a text that mixing cuts. An empty table passes through every stage.
 """
 
 from __future__ import annotations
