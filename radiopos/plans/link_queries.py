@@ -172,10 +172,16 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:
     return out.select("bs_idx", "n", F.round("rho", 9).alias("rho"), "n_filtered", F.round("rho_filtered", 9).alias("rho_filtered"))
 
 
-@_register("spearman_p_value")
+_STEPS = 4000
+_AREA = lambda upto: f"({upto}) * sum(pow(cos(({upto}) * (k + 0.5e0) / {_STEPS}), d - 1))"
+
+
+@_register("spearman_p_value", f"""WITH {cte('links')}, f AS (SELECT bs_idx, coalesce(RSSI, -90e0) AS RSSI, sim_rssi FROM links), r AS ({_rho('f', 'bs_idx')}), q AS (SELECT *, n - 2 AS d, atan(abs(rho) / sqrt(1 - rho * rho)) AS a FROM r)
+SELECT bs_idx, n, rho, round(1 - ({_AREA('a')}) / ({_AREA('pi() / 2')}), 5) + 0e0 AS p_value FROM q, (SELECT range AS k FROM range({_STEPS})) GROUP BY bs_idx, n, rho, a, d""")
 def spearman_p_value(spark: SparkSession, d: str) -> DataFrame:
     filled, _ = measurements.fill_rssi(view(spark, d, "links"), "RSSI")
-    return calibrate.with_p_value(calibrate.spearman(filled, ["bs_idx"], "RSSI", "sim_rssi"))
+    out = calibrate.with_p_value(calibrate.spearman(filled, ["bs_idx"], "RSSI", "sim_rssi"))
+    return out.select("bs_idx", "n", F.round("rho", 9).alias("rho"), (F.round("p_value", 5) + 0.0).alias("p_value"))
 
 
 @_register("trial_scores", f"WITH {cte('links')}, t AS (SELECT bs_idx, ue_idx % 5 AS trial, coalesce(RSSI, -90e0) AS RSSI, sim_rssi FROM links), r AS ({_rho('t', 'bs_idx, trial')}) SELECT bs_idx, trial, coalesce(0e0 - rho, 1e0) + 0e0 AS score FROM r")

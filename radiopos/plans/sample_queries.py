@@ -104,16 +104,9 @@ def display_sample(spark: SparkSession, d: str) -> DataFrame:
 second AS (SELECT DISTINCT o_custkey AS env FROM orders WHERE o_orderpriority = '1-URGENT')
 SELECT env, 'test' AS part FROM e, n WHERE pos > n * 0.9e0 AND env NOT IN (SELECT env FROM second) UNION SELECT env, 'train' FROM e, n WHERE pos <= n * 0.9e0 UNION SELECT env, 'train' FROM second""")
 def env_split(spark: SparkSession, d: str) -> DataFrame:
-    """Environments by position: the last tenth is the test part less the second scenario, which joins training."""
-    from ..operators.calibrate import appearance_index
-
-    orders = spark.read.parquet(f"{d}/orders.parquet")
-    envs = appearance_index(orders.select(F.col("o_custkey").alias("env")), "env", "env", "no")
-    second = orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("env")).distinct()
-    cut = envs.count() * 0.9
-    test = envs.filter(F.col("no") + 1 > cut).select("env").join(second, "env", "left_anti").withColumn("part", F.lit("test"))
-    train = envs.filter(F.col("no") + 1 <= cut).select("env").union(second).distinct().withColumn("part", F.lit("train"))
-    return test.unionByName(train)
+    orders = spark.read.parquet(f"{d}/orders.parquet").withColumnRenamed("o_custkey", "env")
+    second = orders.filter("o_orderpriority = '1-URGENT'").select("env").distinct()
+    return samples.environment_split(orders, "env", second, 0.9)
 
 
 # rasters
