@@ -16,7 +16,7 @@ def _relinked(edges: DataFrame, large: bool) -> DataFrame:
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
     # the centre of a star may have a third of all edges: they meet its row in SALTS tasks
     salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    linked = both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(salted, ["a", "salt"]).drop("salt")
+    linked = both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["a", "salt"]).drop("salt")
     out = linked.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))

@@ -202,7 +202,11 @@ def link_edges(keyed: DataFrame, radius: int, prints: DataFrame | None = None) -
     a group of near copies becomes one component at that. Then the components tell what is left to compare. In such a
     bucket the nodes of its largest component need not meet each other, and a bucket of one component is done.
     """
-    full = keyed.groupBy("t", "key").count().filter("count > 1").select("t", "key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
+    mark = lambda salt: F.bit_xor(F.xxhash64("node", F.lit(salt)))
+    full = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), mark(0).alias("x"), mark(1).alias("y")).filter("n > 1")
+    # near copies share many buckets: of buckets with the same nodes one is enough
+    full = full.groupBy("n", "least", "x", "y").agg(F.min(F.struct("t", "key")).alias("bucket"))
+    full = full.select("bucket.t", "bucket.key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     rows = common.stage(keyed.join(full, ["t", "key"]), "buckets")
     chunk = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
     one = rows.select("t", "key", "node", F.col("node").alias("root"), chunk(0, F.col("chunks")).alias("ci"), F.lit(0).alias("cj"))
