@@ -234,7 +234,8 @@ def _compared(rows: DataFrame, radius: int, prints: DataFrame | None) -> DataFra
     if prints is not None:
         rows = rows.join(prints, "node")
     rows = common.stage(rows, "chunks")
-    dealt = rows.repartition(rows.count() // 50_000 + 1, "t", "key", "ci", "cj").sortWithinPartitions("t", "key", "ci", "cj")
+    # rows with sets of shingles are some kilobytes each
+    dealt = rows.repartition(rows.count() // (50_000 if prints is None else 4_000) + 1, "t", "key", "ci", "cj").sortWithinPartitions("t", "key", "ci", "cj")
     return common.stage(dealt.mapInPandas(_links(radius), "a long, b long"), "links")
 
 

@@ -220,7 +220,7 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     """Ties, repeated rows, nulls in every column, very long texts and columns named like the operators' own."""
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
-    text = {i: " ".join(word() for _ in range(60)) for i in range(60)}
+    text = {i: " ".join(word() for _ in range(60)) + " moron idiot" * (i % 5 == 0) for i in range(60)}
     text[70] = text[71] = text[72] = "equal words of three rows " * 3
     text[80] = " ".join(word() for _ in range(60_000))
     rows = [(i, t, "en", f"s{i % 2}", len(t), 0.5, "d", i, True) for i, t in text.items()]
