@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html, mixing, passages, pieces, pii, quality, simhash, topk, toxicity
+from . import dialogues, exact_dedup, html, mixing, passages, pieces, pii, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_html": html.op8_html,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
+    "op13_dialogues": dialogues.op13_dialogues,
 }
 ORACLES = {
     "op1_topk": topk.ORACLE_SQL,
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op13_dialogues": dialogues.ORACLE_SQL,
 }
