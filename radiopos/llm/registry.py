@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dialogues, exact_dedup, html, mixing, passages, pieces, pii, quality, simhash, topk, toxicity
+from . import dialogues, exact_dedup, html, mixing, ngrams, passages, pieces, pii, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html": html.op8_html,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
+    "op12_ngrams": ngrams.op12_ngrams,
     "op13_dialogues": dialogues.op13_dialogues,
 }
 ORACLES = {
