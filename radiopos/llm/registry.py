@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dialogues, exact_dedup, html, mixing, ngrams, passages, pieces, pii, quality, simhash, topk, toxicity
+from . import dialogues, exact_dedup, html, mixing, negatives, ngrams, passages, pieces, pii, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_html": html.op8_html,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
+    "op11_negatives": negatives.op11_negatives,
     "op12_ngrams": ngrams.op12_ngrams,
     "op13_dialogues": dialogues.op13_dialogues,
 }
 ORACLES = {
     "op1_topk": topk.ORACLE_SQL,
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_negatives": negatives.ORACLE_SQL,
     "op13_dialogues": dialogues.ORACLE_SQL,
 }
