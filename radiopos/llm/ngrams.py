@@ -2,7 +2,7 @@
 
 An n-gram seen c times in the training documents is put into the filter at the levels 1 to 1 + floor(log c) to BASE; a
 reader probes level after level until one is missing, and so gets the count up to quantisation (exact to 3), never too
-small a level, with a false level once in some 2,000 n-grams (BITS a level). Single words keep exact counts by their 64-bit
+small a level, with a false level once in some 1,700 n-grams (BITS a level). Single words keep exact counts by their 64-bit
 hashes, as the base score needs them. Probabilities are smoothed order by order with a Dirichlet prior: p(w | h) = (c(hw) + MU p(w | h')) /
 (c(h) + MU), from p(w) = (c + 1) / (N + V + 1); a quantised c(hw) is at most c(h). A text's log10 probability is the
 sum over its words and its end; the end of a text is also what its first word follows.
@@ -36,14 +36,14 @@ from . import common, labelled
 #: Words of an n-gram; the prior's weight.
 ORDER, MU = 2, 64.0
 #: Quantisation; filter bits a level and probes of each.
-BASE, BITS, PROBES = 1.5, 16, 11
+BASE, BITS, PROBES = 1.5, 16, 8
 BLOCK, SHARD = 4 << 20, 8 << 20
 #: n-grams counted in a task before they are sent.
 FLUSH = 2_000_000
-#: The largest model, in bytes, that is broadcast.
-BROADCAST = 64 << 20
+#: The largest model, in bytes, that is broadcast: what Spark's own joins broadcast.
+BROADCAST = 10 << 20
 
-_WINDOW = 1 << 20
+_WINDOW = 1 << 18
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LEVELS = 64
 
@@ -202,7 +202,13 @@ COUNTS = np.array([_count_of(level) for level in range(_LEVELS + 1)])
 
 def _steps(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where an n-gram's probes begin and how far they are apart."""
-    return mixed(names + np.uint64(1)), mixed(names + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    first = mixed(names + np.uint64(1))
+    return first, mixed(first) | np.uint64(1)
+
+
+def _place(x: np.ndarray, sizes: np.ndarray | np.uint64) -> np.ndarray:
+    """A bit of a filter of fewer than 2^32 bits, from the high half of x."""
+    return ((x >> np.uint64(32)) * sizes) >> np.uint64(32)
 
 
 def built(names: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
@@ -213,7 +219,7 @@ def built(names: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
     for level in range(1, int(levels.max(initial=0)) + 1):
         first, step = _steps(names[levels >= level])
         for j in range(PROBES):
-            bits[((first + np.uint64(level * PROBES + j) * step) % np.uint64(size)).astype(np.int64)] = True
+            bits[_place(first + np.uint64(level * PROBES + j) * step, np.uint64(size))] = True
     return size, np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -235,14 +241,20 @@ class Filter:
     def levels(self, shard: np.ndarray, names: np.ndarray) -> np.ndarray:
         """The highest level up to which all are there, for each n-gram."""
         out, left = np.zeros(len(names), np.uint8), np.arange(len(names))
+        first, step = _steps(names)
+        one = len(self.sizes) == 1
+        start, size = (np.uint64(0), self.sizes[0]) if one else (self.starts[shard], self.sizes[shard])
         for level in range(1, _LEVELS + 1):
             for j in range(PROBES):
                 if not len(left):
                     return out
-                s = shard[left]
-                first, step = _steps(names[left])
-                pos = self.starts[s] + (first + np.uint64(level * PROBES + j) * step) % self.sizes[s]
-                left = left[(self.bits[(pos >> np.uint64(3)).astype(np.int64)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                pos = _place(first + np.uint64(level * PROBES + j) * step, size)
+                if not one:
+                    pos += start
+                held = (self.bits[pos >> np.uint64(3)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                left, first, step = left[held], first[held], step[held]
+                if not one:
+                    start, size = start[held], size[held]
             out[left] = level
         return out
 
@@ -386,22 +398,21 @@ def train(blocks: DataFrame, order: int = ORDER) -> DataFrame:
     return common.stage(built_, "ngram-filter")
 
 
-def _scores(block: Block, order: int, count: Callable, levels: Callable, total: int, types: int, mu: float) -> pd.DataFrame:
-    """Sums over each text of a block."""
+def _scores(block: Block, parts: list[Tokens], counts: list, past: list, levels: list, total: int, types: int, mu: float) -> pd.DataFrame:
+    """Sums over each text of a block, from the counts of words and of those before them, and for each order the levels of
+    n-grams and (from the third) of their histories, a list a window."""
     n = len(block.rows)
     out = {c: np.zeros(n) for c in ("n_tokens", "n_known", "base_score", "score")}
-    for t in block.tokens(order):
-        c = count(t.word)
+    for at, t in enumerate(parts):
+        c = counts[at]
         p = (c + 1.0) / (total + types + 1.0)
-        add = lambda c, x, t=t: np.add(out[c], np.bincount(t.doc, x, n), out=out[c])
-        add("n_tokens", np.ones(len(c)))
-        add("n_known", (c > 0).astype(float))
-        add("base_score", np.log10(p))
-        for k, (grams, histories, ok) in enumerate(t.grams):
-            seen = COUNTS[levels(grams)]
-            past = count(t.before).astype(float) if k == 0 else COUNTS[levels(histories)]
-            p = np.where(ok, (np.minimum(seen, past) + mu * p) / (past + mu), p)
-        add("score", np.log10(p))
+        sums = {"n_tokens": np.ones(len(c)), "n_known": (c > 0).astype(float), "base_score": np.log10(p)}
+        for k, (_, _, ok) in enumerate(t.grams):
+            seen, before = levels[at][k]
+            before = past[at].astype(float) if k == 0 else COUNTS[before]
+            p = np.where(ok, (np.minimum(COUNTS[seen], before) + mu * p) / (before + mu), p)
+        for name, x in (sums | {"score": np.log10(p)}).items():
+            out[name] += np.bincount(t.doc, x, n)
     frame = pd.DataFrame({"row": block.rows, "doc_id": block.ids, "known": block.known, "held_out": block.out, **out})
     return frame.astype({"n_tokens": "int64", "n_known": "int64"})
 
@@ -425,22 +436,30 @@ def _broadcast(blocks: DataFrame, rows: list, shards: int, options: tuple) -> Da
 
         for b in batches:
             for r in b.itertuples():
-                yield _scores(Block(r), options[0], model.count, levels, *options[1:])
+                block = Block(r)
+                for t in block.tokens(options[0]):  # a window at a time: the sums over a text's windows add up
+                    seen = [(levels(g), levels(h) if k else None) for k, (g, h, _) in enumerate(t.grams)]
+                    yield _scores(block, [t], [model.count(t.word)], [model.count(t.before)], [seen], *options[1:]).iloc[t.doc[0] : t.doc[-1] + 1]
 
     return blocks.mapInPandas(run, _PARTIAL)
 
 
-def _asked(block: Block, order: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct words of a block by shard, and the keys of its n-grams and their histories."""
+def _asked(parts: list[Tokens], shards: int) -> tuple[np.ndarray, ...]:
+    """The distinct words of a block by shard and the keys of its n-grams, and for every word and n-gram, in the order of
+    the windows, its position among them."""
     words_, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for t in block.tokens(order):
-        words_ += [np.unique(t.word), t.before[:1]]
-        for k, (grams, histories, ok) in enumerate(t.grams):
-            keys.append(np.unique(keys_of(grams[ok], shards)))
+    for t in parts:
+        words_ += [t.word, t.before[:1]]
+        for k, (grams, histories, _) in enumerate(t.grams):
+            keys.append(keys_of(grams, shards))
             if k:
-                keys.append(np.unique(keys_of(histories[ok], shards)))
-    h = np.unique(np.concatenate(words_))
-    return h[by_shard(h, shards)], np.unique(np.concatenate(keys))
+                keys.append(keys_of(histories, shards))
+    h, word_at = np.unique(np.concatenate(words_), return_inverse=True)
+    by = by_shard(h, shards)
+    at = np.empty_like(by)
+    at[by] = np.arange(len(by))
+    k, key_at = np.unique(np.concatenate(keys), return_inverse=True)
+    return h[by], k, at[word_at] if len(h) else word_at, key_at
 
 
 def _exchanged(blocks: DataFrame, model: DataFrame, shards: int, options: tuple) -> DataFrame:
@@ -449,7 +468,7 @@ def _exchanged(blocks: DataFrame, model: DataFrame, shards: int, options: tuple)
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                h, k = _asked(Block(r), order, shards)
+                h, k, _, _ = _asked(list(Block(r).tokens(order)), shards)
                 out = [(s, r.block, _planes(h[w]), _gaps(k[g] & _LOW)) for s, w, g in dealt(h, k, shards)]
                 yield pd.DataFrame(out, columns=["shard", "block", "words", "names"])
 
@@ -468,13 +487,23 @@ def _exchanged(blocks: DataFrame, model: DataFrame, shards: int, options: tuple)
         for b in batches:
             for r in b.itertuples():
                 block = Block(r)
-                h, k = _asked(block, order, shards)
+                parts = list(block.tokens(order))
+                _, _, word_at, key_at = _asked(parts, shards)
                 replies = [] if r.replies is None else r.replies
-                counts = np.concatenate([np.zeros(0, np.uint64), *(_numbers(x["counts"]) for x in replies)]).astype(np.int64)
-                levels = np.frombuffer(b"".join(x["levels"] for x in replies), np.uint8)
-                by = np.argsort(h)
-                h, counts = h[by], counts[by]
-                yield _scores(block, order, lambda x, h=h, c=counts: _found(h, c, x), lambda g, k=k, v=levels: _found(k, v, keys_of(g, shards)), *options[1:])
+                count = np.concatenate([np.zeros(0, np.uint64), *(_numbers(x["counts"]) for x in replies)]).astype(np.int64)[word_at]
+                level = np.frombuffer(b"".join(x["levels"] for x in replies), np.uint8)[key_at]
+                counts, past, levels, w, g = [], [], [], 0, 0
+                for t in parts:
+                    n = len(t.word)
+                    counts.append(count[w : w + n])
+                    past.append(np.concatenate([count[w + n : w + n + 1], count[w : w + n - 1]]))
+                    w += n + 1
+                    seen = []
+                    for k in range(len(t.grams)):
+                        seen.append((level[g : g + n], level[g + n : g + 2 * n] if k else None))
+                        g += 2 * n if k else n
+                    levels.append(seen)
+                yield _scores(block, parts, counts, past, levels, *options[1:])
 
     asked = blocks.mapInPandas(ask, "shard long, block long, words binary, names binary")
     replies = asked.groupBy("shard").cogroup(model.select("shard", "size", "bits", "words", "counts").groupBy("shard")).applyInPandas(answer, "block long, shard long, counts binary, levels binary")
