@@ -123,6 +123,18 @@ def test_clipped_rings_have_the_area_of_their_pixels(spark):
         assert got.get(i, 0.0) == pytest.approx(cells * step * step, abs=1.5)
 
 
+def test_clipping_keeps_holes_and_copies_no_expression(spark):
+    ring = "array<struct<lat:double,lon:double>>"
+    square = lambda a, b: [(a, a), (a, b), (b, b), (b, a)]
+    box = spark.createDataFrame([(5, 1.0, 5.0, 1.0, 5.0)], "crop_id int, min_lat double, max_lat double, min_lon double, max_lon double")
+    rows = [(1, square(2.0, 4.0), [square(2.5, 3.0)]), (2, square(3.0, 7.0), [square(4.0, 6.0), square(6.0, 6.5)]), (3, square(0.0, 9.0), None), (4, square(6.0, 7.0), [])]
+    rows += [(5, [(2.0, 2.0), (3.0, 3.0)], []), (6, [], []), (7, [(0.0, 4.0), (2.0, 6.0), (6.0, 6.0), (6.0, 0.0), (0.0, 0.0)], [])]
+    out = buildings.clipped_features(spark.createDataFrame(rows, f"feature_id long, shape {ring}, holes array<{ring}>"), box, 2.0)
+    got = {r.feature_id: (r.outline, r.area, len(r.holes)) for r in out.collect()}
+    assert got == {1: (4.0, 3.75, 1), 2: (4.0, 3.0, 1), 3: (16.0, 16.0, 0), 7: (16.0, 16.0, 0)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("zip_with") <= 10
+
+
 def test_roads_are_cut_at_the_box(spark):
     line = [(0.0, 0.0), (4.0, 4.0), (4.0, 9.0), (9.0, 9.0)]
     roads = spark.createDataFrame([(1, line), (2, [(0.0, 0.0)]), (3, [(9.5, 0.0), (9.5, 2.0)])], "feature_id long, shape array<struct<lat:double,lon:double>>")
