@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..staging import stage
-from . import numbering
+from . import buildings, numbering
 
 SPLITS = ("train", "hard_test", "hard_val", "medium_test", "medium_val", "easy_test", "easy_val")
 
@@ -63,6 +63,15 @@ def without_overlap(train: DataFrame, test: dict[str, Column], val: dict[str, Co
     return train.filter(~(near[0] | near[1]))
 
 
+def without_held_out_crops(split: DataFrame, cell: float = 0.005) -> DataFrame:
+    """split: crop_id, split, center_lat, center_lon, half. Train crops whose box meets the box of any crop of another
+    split go, so no train crop shows a place that a held-out crop shows."""
+    boxed = split.withColumns(geo.box(F.col("center_lat"), F.col("center_lon"), F.col("half").cast("double")))
+    train, held = (boxed.filter(f).select("crop_id", *geo.named()) for f in ("split = 'train'", "split != 'train'"))
+    leaks = buildings.meets_any(train, held, "crop_id", cell)
+    return split.join(leaks.withColumn("split", F.lit("train")), ["crop_id", "split"], "left_anti")
+
+
 def split_index(index: DataFrame, test: dict[str, Column], val: dict[str, Column], medium_train: float, easy_train: float, share: float, seed: int, train_only: bool = False, largest: float | None = None) -> DataFrame:
     """Every crop with its split: hard by place, then medium by UE, then easy by crop; train_only keeps all in train.
 
