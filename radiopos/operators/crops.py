@@ -7,7 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import draws, geo
+from ..functions import draws, geo, radio
 from .numbering import dense
 
 
@@ -88,6 +88,49 @@ def crop_documents(found: DataFrame) -> DataFrame:
     )
 
 
+def to_documents(crops: DataFrame) -> DataFrame:
+    """Rows of crop_documents as nested documents (tables.DOCUMENT)."""
+    at = lambda a, b: F.array(F.col(a).cast("double"), F.col(b).cast("double"))
+    metrics = {"RSSI": "rssi", "NSINR": "nsinr", "NRSRP": "nrsrp", "NRSRQ": "nrsrq"}
+    no = lambda n: F.lit(None).cast("double").alias(n)
+
+    def station(b: Column) -> Column:
+        measured = F.struct(*(b["measurements"][c].cast("double").alias(n) for n, c in metrics.items()), no("ToA"), no("bs_power_dbm"))
+        places = {"lat_lon": ("cell_lat", "cell_lon"), "proj_map_pos": ("bs_y", "bs_x")}
+        return F.struct(
+            b["npci"].cast("int").alias("npci"), b["enode"].cast("long").alias("enode"), b["mnc"].cast("int").alias("mnc"),
+            *(F.array(b[y], b[x]).alias(n) for n, (y, x) in places.items()), measured.alias("measurements"), b["interpolated"].alias("interpolated"),
+        )
+
+    return crops.select(
+        F.col("campaign_id").cast("string").alias("campaign"),
+        radio.ue_key(F.col("latitude"), F.col("longitude")).alias("ue_id"),
+        F.col("crop_id").cast("string").alias("crop_id"),
+        F.col("campaign_id").cast("int").alias("campaign_id"),
+        F.struct(F.col("center_lat").alias("lat"), F.col("center_lon").alias("lon")).alias("center_coord"),
+        F.col("half").cast("int").alias("half_square_size_meters"),
+        F.struct(at("latitude", "longitude").alias("lat_lon"), at("ue_y", "ue_x").alias("proj_map_pos")).alias("UE"),
+        F.transform("base_stations", station).alias("BaseStations"),
+    )
+
+
+def from_documents(documents: DataFrame) -> DataFrame:
+    """One row a base station of nested documents: campaign, ue_id, crop_id, half, places, the station and its metrics."""
+    each = documents.select("campaign", "ue_id", "crop_id", "half_square_size_meters", "center_coord", "UE", F.explode("BaseStations").alias("b"))
+    pair = lambda c, a, b: [F.get(F.col(c), F.lit(i)).alias(n) for i, n in enumerate((a, b))]
+    return each.select(
+        "campaign", "ue_id", "crop_id", F.col("half_square_size_meters").alias("half"), F.col("center_coord.lat").alias("center_lat"), F.col("center_coord.lon").alias("center_lon"),
+        *pair("UE.lat_lon", "latitude", "longitude"), *pair("UE.proj_map_pos", "ue_y", "ue_x"), "b.npci", "b.enode", "b.mnc",
+        *pair("b.lat_lon", "cell_lat", "cell_lon"), *pair("b.proj_map_pos", "bs_y", "bs_x"), *(F.col(f"b.measurements.{c.upper()}").alias(c) for c in ("rssi", "nsinr", "nrsrp", "nrsrq")), "b.interpolated",
+    )
+
+
+def documents_index(documents: DataFrame) -> DataFrame:
+    """campaign, ue_id, crop_id and the number of observed base stations of each document."""
+    observed = F.size(F.filter("BaseStations", lambda b: ~F.coalesce(b["interpolated"], F.lit(False))))
+    return documents.select("campaign", "ue_id", "crop_id", observed.cast("long").alias("num_bs"))
+
+
 def crop_index(found: DataFrame) -> DataFrame:
     """campaign_id, ue_id, crop_id, num_bs (observed only), num_bs_all."""
     return found.groupBy("campaign_id", "ue_id", "crop_id").agg(F.count_if(~F.col("interpolated")).alias("num_bs"), F.count(F.lit(1)).alias("num_bs_all"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import radio
+from ..staging import stage
 
 LINKS_REQUIRED = ("BSLatitude", "BSLongitude", "UELatitude", "UELongitude", "RSSI", "NSINR", "NRSRP", "NRSRQ")
 SIM_LINKS = "bs_idx int, ue_id int, bs_lat double, bs_lon double, bs_alt double, bs_azimuth double, ue_lat double, ue_lon double, distance_m double, bearing_rad double, sim_rssi double, sim_nsinr double, sim_nrsrp double, sim_nrsrq double"
@@ -68,25 +73,89 @@ def read_passive(spark: SparkSession, path: str) -> DataFrame:
     return _numbers(raw.drop(raw.columns[0]))
 
 
+def parameter_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) station parameters of corrected_*_result.json files, a document each."""
+    raw = spark.read.options(wholetext=True, pathGlobFilter="corrected_*_result.json").text(path)
+    good, bad = checked(raw.select(F.col("_metadata.file_path").alias("path"), "value"), PARAMETERS, ())
+    pick = lambda c: F.coalesce(F.col(f"best_parameters.{c}"), F.col(c))
+    in_name = F.nullif(F.regexp_extract(_numbered(-1), r"bs_(\d+)", 1), F.lit("")).try_cast("int")
+    columns = [pick("latitude").alias("latitude"), pick("longitude").alias("longitude"), F.coalesce(pick("altitude"), F.lit(30.0)).alias("altitude"), F.coalesce(pick("azimuth"), F.lit(0.0)).alias("azimuth")]
+    return good.select(F.coalesce("bs_idx", "target_bs_idx", in_name).alias("bs_idx"), *columns), bad
+
+
 def read_best_parameters(spark: SparkSession, path: str) -> DataFrame:
     """Station parameters of corrected_*_result.json files; unreadable files are skipped, an empty result is an error."""
-    reader = spark.read.schema(PARAMETERS + ", _corrupt_record string").options(multiLine=True, mode="PERMISSIVE", pathGlobFilter="corrected_*_result.json")
-    raw = reader.json(path).select("*", "_metadata.file_name").filter("_corrupt_record IS NULL")
-    pick = lambda c: F.coalesce(F.col(f"best_parameters.{c}"), F.col(c))
-    in_name = F.nullif(F.regexp_extract("file_name", r"bs_(\d+)", 1), F.lit("")).try_cast("int")
-    out = raw.select(F.coalesce("bs_idx", "target_bs_idx", in_name).alias("bs_idx"), pick("latitude").alias("latitude"), pick("longitude").alias("longitude"), F.coalesce(pick("altitude"), F.lit(30.0)).alias("altitude"), F.coalesce(pick("azimuth"), F.lit(0.0)).alias("azimuth"))
+    out = parameter_files(spark, path)[0]
     if not out.head(1):
         raise ValueError(f"no readable corrected_*_result.json under {path}")
     return out.orderBy("bs_idx")
 
 
+#: A crop document with the place it has among documents, as write_documents leaves it, one a line.
+DOCUMENT = "campaign string, ue_id string, crop_id string, " + CROP
+_NEEDED = ("campaign", "ue_id", "crop_id", "center_coord", "half_square_size_meters", "UE", "BaseStations")
+
+
+def checked(raw: DataFrame, schema: str, needed: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """raw: path and value, a JSON text. (good, bad): the documents with their path, and path, reason and value of those that
+    are no JSON objects of the schema or lack a needed field. Texts are parsed once, into a written table both read."""
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"})
+    doc = raw.select("path", "value", parsed.alias("doc"))
+    names = [f.name for f in doc.schema["doc"].dataType.fields if f.name != "_corrupt_record"]
+    empty = F.lit(True)
+    for n in names:
+        empty &= F.col(f"doc.{n}").isNull()
+    reason = F.when(F.col("doc").isNull() | F.col("doc._corrupt_record").isNotNull(), "not JSON of the schema").when(empty, "no document")
+    for n in needed:
+        reason = reason.when(F.col(f"doc.{n}").isNull(), f"no {n}")
+    told = stage(doc.select("path", "doc", reason.alias("reason"), F.when(reason.isNotNull(), F.col("value")).alias("raw")), "checked-documents")
+    good = told.filter("reason IS NULL").select("path", *(F.col(f"doc.{n}") for n in names))
+    return good, told.filter("reason IS NOT NULL").select("path", "reason", "raw")
+
+
+def write_bad(bad: DataFrame, path: str) -> None:
+    """Appends what could not be read to a table of path, reason and raw, by reason."""
+    bad.write.mode("append").partitionBy("reason").parquet(path)
+
+
+def _numbered(part: int) -> Column:
+    return F.try_element_at(F.split("path", "/"), F.lit(part))
+
+
+def crop_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) crop documents, a file each, with (campaign, ue_id, crop_id) from the last parts of their path.
+    A file of no bytes is in neither, as Spark's readers pass over it."""
+    raw = spark.read.options(wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").text(path)
+    good, bad = checked(raw.select(F.col("_metadata.file_path").alias("path"), "value"), CROP, ("BaseStations",))
+    return good.select(_numbered(-3).alias("campaign"), _numbered(-2).alias("ue_id"), F.regexp_replace(_numbered(-1), r"\.[^.]*$", "").alias("crop_id"), *good.columns[1:]), bad
+
+
 def read_crops(spark: SparkSession, path: str) -> DataFrame:
-    """Crop documents with (campaign, ue, crop) from the last parts of their path; bad documents are skipped."""
-    raw = spark.read.schema(CROP + ", _corrupt_record string").options(multiLine=True, mode="PERMISSIVE", recursiveFileLookup=True, pathGlobFilter="*.json").json(path)
-    raw = raw.select("*", F.split("_metadata.file_path", "/").alias("_parts")).filter("_corrupt_record IS NULL")
-    part = lambda i: F.try_element_at("_parts", F.lit(i))
-    out = raw.withColumns({"campaign": part(-3), "ue_id": part(-2), "crop_id": F.regexp_replace(part(-1), r"\.[^.]*$", "")})
-    return out.drop("_parts", "_corrupt_record")
+    """Crop documents, a file each; crop_files has the bad ones too."""
+    return crop_files(spark, path)[0]
+
+
+def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) crop documents of write_documents; the path of a bad one is its file's."""
+    raw = spark.read.option("recursiveFileLookup", True).text(path)
+    good, bad = checked(raw.select(F.col("_metadata.file_path").alias("path"), "value"), DOCUMENT, _NEEDED)
+    return good.drop("path"), bad
+
+
+def write_documents(documents: DataFrame, path: str, rows_per_file: int = 20_000) -> None:
+    """Crop documents (DOCUMENT) as JSON lines by campaign. Files hold ranges of UEs, at most rows_per_file documents each,
+    however many a campaign has; read_documents reads them back."""
+    fields = [f.name for f in _schema(documents, DOCUMENT).fields]
+    line = documents.select("campaign", "ue_id", "crop_id", F.to_json(F.struct(*fields)).alias("value"))
+    ordered = line.repartitionByRange("campaign", "ue_id", "crop_id").sortWithinPartitions("campaign", "ue_id", "crop_id")
+    ordered.select(F.col("campaign").alias("of_campaign"), "value").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("of_campaign").text(path)
+
+
+def _schema(documents: DataFrame, schema: str) -> StructType:
+    """The schema, whose columns the table must have."""
+    wanted = StructType.fromDDL(schema)
+    require(documents, tuple(f.name for f in wanted.fields))
+    return wanted
 
 
 def read_index(spark: SparkSession, paths: list[str], lines: bool = False) -> DataFrame:
@@ -120,16 +189,36 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 LAYER = "feature_id long, shape array<struct<lat:double,lon:double>>, holes array<array<struct<lat:double,lon:double>>>, height string, levels string, kind string"
 
 
-def read_layer(spark: SparkSession, path: str, source: DataFrame | None = None) -> DataFrame:
-    """A building or road layer (LAYER) kept at path. Where there is none it is made from `source` and kept there."""
+def layer_path(folder: str, bounds: tuple[float, float, float, float], name: str) -> str:
+    """Where a layer of an area is kept: by the md5 of the bounds, as region.area_id has it."""
+    text = "_".join(f"{b:.6f}" for b in bounds)
+    return f"{folder}/{hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()[:12]}/{name}"
+
+
+def _current(spark: SparkSession, path: str, must: bool) -> str | None:
+    """The version of a layer that was written to its end, if there is one; `must` raises Spark's error if there is nothing."""
     try:
-        return spark.read.schema(LAYER).parquet(path)
-    except AnalysisException:
-        if source is None:
+        named = spark.read.text(f"{path}/current").head(1)
+    except AnalysisException as e:
+        if must or e.getCondition() != "PATH_NOT_FOUND":
             raise
-    whole = [n.split(" ")[0] for n in LAYER.split(", ")]
-    source.select(*whole).write.parquet(path)
-    return spark.read.schema(LAYER).parquet(path)
+        return None
+    return f"{path}/{named[0].value}" if named else None
+
+
+def read_layer(spark: SparkSession, path: str, source: DataFrame | None = None) -> DataFrame:
+    """A building or road layer (LAYER) kept at path. Where there is none it is made from `source` and kept there: as a version
+    of its own that `current` names once it is whole, so what a killed writer left is never read."""
+    version = _current(spark, path, source is None)
+    if version is None:
+        if source is None:
+            raise ValueError(f"no whole layer at {path}")
+        name = f"version-{uuid.uuid4().hex}"
+        whole = [n.split(" ")[0] for n in LAYER.split(", ")]
+        source.select(*whole).write.parquet(f"{path}/{name}")
+        spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+        version = f"{path}/{name}"
+    return spark.read.schema(LAYER).parquet(version)
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -160,8 +249,8 @@ def write_index(index_map: DataFrame, path: str) -> None:
 
 
 def write_crops(crops: DataFrame, path: str) -> None:
-    """One table by campaign, sorted by UE: a folder a UE would be too many files."""
-    crops.repartition("campaign_id").sortWithinPartitions("latitude", "longitude").write.mode("overwrite").partitionBy("campaign_id").parquet(path)
+    """One table by campaign, sorted by UE: a folder a UE would be too many files. A large campaign is several ranges."""
+    crops.repartitionByRange("campaign_id", "latitude", "longitude").sortWithinPartitions("campaign_id", "latitude", "longitude").write.mode("overwrite").partitionBy("campaign_id").parquet(path)
 
 
 def write_splits(splits: DataFrame, path: str) -> None:
