@@ -7,7 +7,8 @@ segment of length l, q.x <= l (mean_q mean_x + dev_q dev_x), with equality of th
 rest; the same statistics bound the distance from below, as |q - x|^2 = |q|^2 + |x|^2 - 2 q.x. Levels go from coarse
 (no leading coordinates) to fine (all of them), each adding its columns to the products of the one before. Only pairs
 that may still reach a query's k-th best score go on, and survivors get their exact integer scores. A level that leaves
-nine tenths of a task's pairs is not tested again by that task. Ties at the k-th score are kept, so results are exact.
+half of a task's pairs is not tested again by that task; once a level leaves less than GATHER of them, the finer ones
+multiply only the pairs that are left. Ties at the k-th score are kept, so results are exact.
 
 A query's floor, the score that a vector has to beat, starts as its k-th best among the sampled vectors, shared by
 all blocks, and rises with the blocks that a task has seen.
@@ -38,6 +39,8 @@ SCALE = 256
 #: Shares of the coordinates that stand alone, level by level; segments of the rest.
 LEVELS, TAIL = (0.0, 0.25, 0.5, 0.75), 4
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 2048
+#: The share of pairs below which a level's survivors are gathered.
+GATHER = 1 / 3
 #: Sampled vectors; the widest vector that is turned; vector blocks a salt at most.
 SEEDS, TURNED, BLOCKS_A_SALT = 2048, 1024, 8
 _BLOCK = "width int, n int, ids binary, data binary"
@@ -131,28 +134,49 @@ class Levels:
         self.turned = turned.astype(np.float32)
 
 
-def search(qid: np.ndarray, q: Levels, xid: np.ndarray, x: Levels, k: int, floor: np.ndarray, shares: dict[int, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(qid: np.ndarray, q: Levels, xid: np.ndarray, x: Levels, k: int, floor: np.ndarray, shares: dict[int, float], spent: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query position, vector position, score) of pairs that reach a query's floor, k a query at most, without its own
-    id. floor is raised to each query's k-th best here; shares: the share of pairs that each level left the last time."""
+    id. floor is raised to each query's k-th best here; shares: the share of pairs that each level left the last time;
+    spent["products"] counts multiplications."""
+    spent = {} if spent is None else spent
+    count = lambda n: spent.__setitem__("products", spent.get("products", 0) + int(n))
     if q.norm.max(initial=0) * x.norm.max(initial=0) >= 2.0**62:  # scores may be no longs: nothing is bounded
         i, j = np.nonzero(qid[:, None] != xid[None, :])
         return best_of(i, j, exact(q.x, x.x, i, j), xid, k)
     # single precision, with room for what it rounds
     room = (2e-7 * (q.x.shape[1] + 16) * q.norm[:, None]).astype(np.float32) * x.norm[None, :].astype(np.float32) + np.float32(1)
     need = np.maximum(floor, -3e38).astype(np.float32)[:, None] - room
-    product, at, alive = np.zeros(room.shape, np.float32), 0, None
-    for level, lead in enumerate(q.leads):
-        if lead > at:
-            product += q.turned[:, at:lead] @ x.turned[:, at:lead].T
+    width, leads = q.x.shape[1], q.leads
+    product, at, pairs = np.zeros(room.shape, np.float32), 0, None
+    for level, lead in enumerate(leads):
+        if pairs is None:
+            if lead > at:
+                product += q.turned[:, at:lead] @ x.turned[:, at:lead].T
+                count(room.size * (lead - at))
+                at = lead
+            if shares.get(level, 0) > 0.5 or not np.isfinite(floor).any():
+                continue
+            alive = product + q.tails[level] @ x.tails[level].T >= need
+            count(room.size * q.tails[level].shape[1])
+            shares[level] = float(alive.mean())
+            if shares[level] < GATHER:  # what is left goes on alone
+                i, j = np.nonzero(alive)
+                pairs = product[i, j]
+        else:
+            pairs += _paired(q.turned[:, at:lead], x.turned[:, at:lead], i, j)
+            count(len(i) * (lead - at))
             at = lead
-        if shares.get(level, 0) > 0.9 or not np.isfinite(floor).any():
-            continue
-        alive = product + q.tails[level] @ x.tails[level].T >= need
-        shares[level] = float(alive.mean())
-        if shares[level] < 0.02:
-            break
+            left = pairs + _paired(q.tails[level], x.tails[level], i, j) >= need[i, j]
+            count(len(i) * q.tails[level].shape[1])
+            i, j, pairs = i[left], j[left], pairs[left]
+    if pairs is not None:
+        pairs += _paired(q.turned[:, at:], x.turned[:, at:], i, j)
+        count(len(i) * (width - at))
+        left = pairs >= need[i, j]
+        i, j = i[left], j[left]
     else:
         product += q.turned[:, at:] @ x.turned[:, at:].T
+        count(room.size * (width - at))
         alive = product >= need
         if alive.mean() > 0.02:
             # no floor yet: the k most promising give one
@@ -161,18 +185,28 @@ def search(qid: np.ndarray, q: Levels, xid: np.ndarray, x: Levels, k: int, floor
             i, j = np.repeat(np.arange(len(qid)), top), likely.ravel()
             own = qid[i] == xid[j]
             i, _, score = best_of(i[~own], j[~own], exact(q.x, x.x, i[~own], j[~own]), xid, k)
+            count(room.shape[0] * top * width)
             raised = _raised(floor, i, score, k)
             alive &= product >= np.maximum(raised, -3e38).astype(np.float32)[:, None] - room
-    i, j = np.nonzero(alive)
+        i, j = np.nonzero(alive)
     other = qid[i] != xid[j]
     i, j = i[other], j[other]
     score = exact(q.x, x.x, i, j)
+    count(len(i) * width)
     keep = score >= floor[i]
     i, j, score = best_of(i[keep], j[keep], score[keep], xid, k)
     floor[:] = _raised(floor, i, score, k)
     return i, j, score
 
 
+def _paired(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of the pairs alone, in pieces of bounded size."""
+    out, step = np.zeros(len(i), np.float32), max(1, 4_000_000 // max(1, q.shape[1]))
+    for a in range(0, len(i), step):
+        out[a : a + step] = np.einsum("ij,ij->i", q[i[a : a + step]], x[j[a : a + step]])
+    return out
+
+
 def _raised(floor: np.ndarray, i: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """The floors with the least score of those queries that have k scores."""
     full = np.bincount(i, minlength=len(floor)) >= k
