@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import radio
@@ -132,11 +132,9 @@ def best_trial(trials: DataFrame) -> DataFrame:
 
 
 def trial_history(trials: DataFrame) -> DataFrame:
-    """Every trial with its score (1 if it failed) and the best score up to it, for each station in order of trials. A
-    station has as many trials as its search's budget (tens)."""
-    upto = Window.partitionBy("bs_idx").orderBy("trial").rowsBetween(Window.unboundedPreceding, 0)
-    scored = trials.withColumn("score", F.coalesce("score", F.lit(1.0)))
-    return scored.withColumn("best_so_far", F.min("score").over(upto)).select("bs_idx", "trial", "score", "best_so_far")
+    """Every trial with its score (1 if it failed) and the best score up to it, for each station in order of trials."""
+    scored = trials.select("bs_idx", "trial", F.coalesce("score", F.lit(1.0)).alias("score"))
+    return numbering.least_so_far(scored, "best_so_far", "score", ["bs_idx"], "trial")
 
 
 def trial_scores(trials: DataFrame, real: str = "real_rssi", simulated: str = "sim_rssi") -> DataFrame:

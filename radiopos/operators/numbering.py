@@ -50,6 +50,19 @@ def running(df: DataFrame, out: str, value: str, group: list[str], order: str) -
     return summed.join(sums, ["_part", *group]).withColumn(out, F.col("_base") + F.col("_own")).drop("_part", "_at", "_base", "_own")
 
 
+def least_so_far(df: DataFrame, out: str, value: str, group: list[str], order: str) -> DataFrame:
+    """The least value over the rows of the same group up to each row; group and order are unique together. A group has a
+    row for each range it lies in, and no task has more of it than a range."""
+    ranged = _ranged(df, (*group, order), "least")
+    inside = Window.partitionBy("_part", *group).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("_part", *group).agg(F.min(value).alias("_least")).withColumn("_base", F.min("_least").over(earlier))
+    parts = parts.select(F.col("_part").alias("_p"), *(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), "_base")
+    on = [F.col("_part") == F.col("_p"), *(F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group))]
+    joined = ranged.withColumn("_own", F.min(value).over(inside)).join(parts, on)
+    return joined.withColumn(out, F.least("_base", "_own")).select(*df.columns, out)
+
+
 def drawn(keys: DataFrame, group: list[str], key: str, seed: int, rank: str = "_rank", size: str = "_size") -> DataFrame:
     """Ranks from 1 in the order of a seeded md5 of key (unique in its group), and the sizes of the groups. The first
     digits of the md5 deal a group into parts; ranks within a part and counts of the parts before add up."""

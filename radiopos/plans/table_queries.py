@@ -78,8 +78,7 @@ _RESULT = """SELECT bs_idx, CASE WHEN row_id % 17 = 0 THEN concat('x', ue_idx) E
 SELECT CAST(bs_idx AS INTEGER) AS bs_idx, CAST(ue_id AS INTEGER) AS ue_id, bs_lat, bs_lon, CAST(bs_alt AS DOUBLE) AS bs_alt, CAST(bs_azimuth AS DOUBLE) AS bs_azimuth, ue_lat, ue_lon, round(sqrt(n_ * n_ + e_ * e_), 4) AS distance_m, round(atan2(e_, n_), 7) AS bearing_rad, sim_rssi, sim_nsinr, sim_nrsrp, sim_nrsrq
 FROM r WHERE TRY_CAST(ue_id AS INTEGER) IS NOT NULL""")
 def final_rows(spark: SparkSession, d: str) -> DataFrame:
-    view(spark, d, "links").createOrReplaceTempView("final_rows_links")
-    raw = spark.sql(f"{_RESULT.format(string='STRING')} FROM final_rows_links")
+    raw = spark.sql(f"{_RESULT.format(string='STRING')} FROM {{links}}", links=view(spark, d, "links"))
     distance, bearing = geo.flat_offset(*map(F.col, ("bs_lat", "bs_lon", "ue_lat", "ue_lon")))
     out = links.final_rows(raw.withColumns({"distance_m": distance, "bearing_rad": bearing}))
     return out.withColumns({"distance_m": F.round("distance_m", 4), "bearing_rad": F.round("bearing_rad", 7)})

@@ -85,6 +85,20 @@ def test_ranks_within_groups(spark):
     assert sorted(r._rank for r in drawn if r.g == "hot") == list(range(1, 3001)) and {r._size for r in drawn if r.g == "b"} == {5}
 
 
+def test_least_so_far(spark):
+    """A group with nearly all rows, a null group, null values and one row alone."""
+    import random
+
+    rng = random.Random(4)
+    rows = [("hot", i, rng.choice([None, rng.randint(0, 10**6)])) for i in range(2000)] + [(None, i, 50 - i) for i in range(5)] + [("c", 0, None)]
+    got = {(r.g, r.k): r.low for r in numbering.least_so_far(spark.createDataFrame(rows, "g string, k int, v int").repartition(5), "low", "v", ["g"], "k").collect()}
+    assert len(got) == len(rows)
+    now = {}
+    for g, k, v in rows:
+        now[g] = min((x for x in (now.get(g), v) if x is not None), default=None)
+        assert got[g, k] == now[g]
+
+
 def test_every_pair_in_blocks(spark):
     left, right = spark.range(50).toDF("a"), spark.range(23).toDF("b")
     assert sorted(map(tuple, links.every_pair(left, right, block=4).collect())) == [(a, b) for a in range(50) for b in range(23)]
