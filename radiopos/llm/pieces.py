@@ -11,9 +11,11 @@ such a model the search also has forbidden pairs: two pieces stand side by side
 comes before the merges inside them. Exactly one path to every position is then left, and the ids are those of the merges
 (tests/llm compares them with the library that made the model). A model of likelihoods (unigram) has no forbidden pairs.
 
-Before a space that follows another character paths always meet (no piece spans such a place; checked when the
-vocabulary is loaded), so what lies between two such places depends on nothing else: short words found once are kept in a
-bounded cache of each task's process.
+What paths do between two boundaries in which all of them meet depends on nothing else. So the commits of short stretches, from
+such a boundary up to a space that follows another character, are remembered in a bounded cache of each task's process: the
+search runs on a stretch when it is first seen, and again only when the cache has lost it. Whether all paths meet before
+the space is found by the search itself: no piece of the vocabulary that begins before it goes on past it. Where one does, and in
+stretches longer than the cache takes, the window stays open until paths meet.
 
 Text is escaped as the model says: a space in front, nothing collapsed. Characters outside the vocabulary, the
 escape sign U+2581 itself among them, become byte pieces, so decoding gives back every text exactly.
@@ -42,14 +44,14 @@ from . import common
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Positions between two walks back to a common boundary; characters of a text handed to the search at once.
 LOOK, PART = 32, 65_536
-#: Entries of the caches of words and of pairs, and the longest word kept.
-_CACHE, _CACHED, _PAIRS = 120_000, 48, 400_000
+#: Entries of the caches of stretches and of pairs, the longest stretch kept, and characters of a window asked for at once.
+_CACHE, _CACHED, _PAIRS, _BITE = 120_000, 48, 400_000, 512
 _WORD = re.compile(r" +[^ ]*|[^ ]+")
 _BORDER = re.compile(r"[^ ] ")
 _NEVER = float("inf")
 _NONE = float("-inf")
 
-#: Codecs of this process by content: tasks that follow each other in a worker share words already found.
+#: Codecs of this process by content: tasks that follow each other in a worker share stretches already found.
 _LIVE: dict = {}
 
 
@@ -112,18 +114,16 @@ class Codec:
         for piece, (i, score) in vocabulary.items():
             self.piece[i] = piece
             self.table[i] = piece.encode()
-            if splits is not None and len(piece) > 1 and piece not in splits:
-                continue  # no merges make it, so no encoding has it
             level, node = self.trie, None
             for c in piece:
                 node = level.setdefault(c, [{}, -1, 0.0])
                 level = node[0]
-            node[1:] = i, score
+            if splits is None or len(piece) == 1 or piece in splits:
+                node[1:] = i, score  # no encoding has a piece that no merges make
         for value, i in enumerate(bytes_of):
             self.table[i] = bytes([value])
         self.unknown = min((s for _, s in vocabulary.values()), default=0.0) - 10.0
-        self.apart = not any(_BORDER.search(p) for p in vocabulary)
-        self.words = _Kept(self._word, _CACHE)
+        self.stretches = _Kept(self._stretch, _CACHE)
         self.pairs = _Kept(lambda pair: self._beside(*divmod(pair, size)), _PAIRS)
         self.spines: tuple[dict, dict] = {}, {}
 
@@ -173,81 +173,27 @@ class Codec:
             else:
                 j += 1
 
-    def _word(self, word: str) -> bytes:
-        """The ids of what lies between two places where all paths meet. Merges leave one path, so a short word needs
-        no scores, and no look for a common boundary inside it."""
-        if self.splits is None or len(word) > _CACHED:
-            return Search(self).all(word).tobytes()
-        trie, pairs, size, n = self.trie, self.pairs, self.size, len(word)
-        back, last = [-1] * (n + 1), [-1] * (n + 1)
-        for at in range(n):
-            prior, level = last[at] * size, trie
-            for end in range(at, n):
-                node = level.get(word[end])
-                if node is None:
-                    break
-                i = node[1]
-                if i >= 0 and back[end + 1] < 0 and (prior < 0 or pairs[prior + i]):
-                    back[end + 1], last[end + 1] = at, i
-                level = node[0]
-            if back[at + 1] < 0:
-                back[at + 1] = at  # a character outside the vocabulary
-        out, at = [], n
-        while at:
-            if last[at] >= 0:
-                out.append(last[at])
-            else:
-                out.extend(self.bytes_of[b] for b in reversed(word[back[at] : at].encode("utf-8", "replace")))
-            at = back[at]
-        return array("i", reversed(out)).tobytes()
+    def _stretch(self, text: str) -> bytes | None:
+        """What the search commits from a boundary where all paths meet up to the space after `text`; None where they
+        don't surely meet there, or the text is too long to be remembered."""
+        if len(text) > _CACHED:
+            return None
+        search = Search(self)
+        search.text = text + " "
+        out = b"".join(search._advance(len(text)))
+        return out + search._commit(search.at) if search.closed() else None
 
     def stream(self, parts: Iterable[str]) -> Iterator[bytes]:
         """Ids (int32) of a text that comes in parts, each as soon as it is final."""
-        open_, rest, began = None, "", False
+        search, began = Search(self), False
         for part in parts:
-            rest += part if began else " " + part
-            began = began or bool(part)
-            if not part:
-                rest = "" if not began else rest
-                continue
-            at = 0
-            if self.apart:
-                # the last place before a space that follows another character
-                end = len(rest)
-                while (end := rest.rfind(" ", 0, end)) > 0 and rest[end - 1] == " ":
-                    pass
-                at = max(end, 0)
-            if at and open_:
-                first = _BORDER.search(rest)
-                at_first = first.start() + 1
-                yield from open_.feed(rest[:at_first])
-                yield from open_.end()
-                open_, rest, at = None, rest[at_first:], at - at_first
-            if at:
-                yield b"".join(map(self.words.__getitem__, self._short(rest[:at])))
-                rest = rest[at:]
-            if len(rest) > PART or open_:
-                open_ = open_ or Search(self)
-                yield from open_.feed(rest[:-1])
-                rest = rest[-1:]
-        if open_:
-            yield from open_.feed(rest)
-            yield from open_.end()
-        elif rest:
-            yield b"".join(map(self.words.__getitem__, self._short(rest)))
-
-    def _short(self, text: str) -> list[str]:
-        return _WORD.findall(text) if self.apart else [text]
+            if part:
+                yield from search.feed(part if began else " " + part)
+                began = True
+        yield from search.end()
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        if len(text) < PART and self.apart:
-            return np.frombuffer(b"".join(map(self.words.__getitem__, _WORD.findall(" " + text))), np.int32)
-        out = bytearray()
-        for ids in self.stream(text[a : a + PART] for a in range(0, len(text), PART)):
-            out += ids
-        return np.frombuffer(bytes(out), np.int32)
+        return np.frombuffer(b"".join(self.stream(text[a : a + PART] for a in range(0, len(text), PART))), np.int32)
 
     def decode(self, ids) -> str:
         ids = np.asarray(ids, np.int64)
@@ -257,10 +203,12 @@ class Codec:
 
 class Search:
     """The window of one search: `text` from the last committed boundary on, and for each position in it the best path's
-    score, its last boundary and its last piece (-1: a character outside the vocabulary). commits counts what has left."""
+    score, its last boundary and its last piece (-1: a character outside the vocabulary; -2: what came before has no say).
+    Paths begin at all positions before `at` and end by `reach`; no piece tried there goes beyond `far`. commits counts what has left."""
 
     def __init__(self, codec: Codec):
-        self.codec, self.commits, self.text, self.at = codec, 0, "", 0
+        self.codec, self.commits, self.text = codec, 0, ""
+        self.at = self.reach = self.far = self.since = 0
         self.best, self.back, self.last = [0.0], [0], [-2]
 
     def all(self, text: str) -> array:
@@ -271,22 +219,66 @@ class Search:
 
     def feed(self, part: str) -> Iterator[bytes]:
         self.text += part
-        yield from self._advance(len(self.text) - self.codec.longest)
+        yield from self._run(False)
 
     def end(self) -> Iterator[bytes]:
-        yield from self._advance(len(self.text))
-        if self.text:
-            yield self._commit(len(self.text))
+        yield from self._run(True)
+
+    def closed(self) -> bool:
+        """Whether all paths meet in the position `at`, and no piece goes past it, whatever follows."""
+        return self.far <= self.at
+
+    def _run(self, final: bool) -> Iterator[bytes]:
+        while self.text:
+            if self.at == self.reach == 0 and self.last[0] == -2:
+                yield from self._remembered(final)
+                if not (final or len(self.text) > _CACHED or _BORDER.search(self.text)):
+                    return
+            limit = min(len(self.text) if final else len(self.text) - self.codec.longest, self.at + _BITE)
+            border = _BORDER.search(self.text, self.at, limit + 1)
+            upto = min(limit, border.start() + 1) if border else limit
+            if upto > self.at:
+                yield from self._advance(upto)
+            elif not final:
+                return
+            if self.at == len(self.text):
+                if self.at:
+                    yield self._commit(self.at)
+            elif self.closed() and self.text[self.at] == " " and self.at and self.text[self.at - 1] != " ":
+                yield self._commit(self.at)
+                self.last[0] = -2
+
+    def _remembered(self, final: bool) -> Iterator[bytes]:
+        """From a boundary where all paths meet: the commits of stretches that are remembered, up to one that isn't."""
+        while self.text:
+            end = len(text := self.text[:_BITE])
+            if not final or end < len(self.text):
+                # the last place before a space that follows another character
+                while (end := text.rfind(" ", 0, end)) > 0 and text[end - 1] == " ":
+                    pass
+            words = _WORD.findall(text, 0, max(end, 0))
+            found = [self.codec.stretches[w] for w in words]
+            most = found.index(None) if None in found else len(found)
+            if not most:
+                return
+            self.text = self.text[sum(map(len, words[:most])) :]
+            self.commits += most
+            yield b"".join(found[:most])
+            if most < len(found):
+                return
 
     def _advance(self, upto: int) -> Iterator[bytes]:
         """Extends the paths from every position before `upto`."""
-        codec, text, best, back, last, at = self.codec, self.text, self.best, self.back, self.last, self.at
-        longest, trie, size, pairs, free = codec.longest, codec.trie, codec.size, codec.pairs, codec.splits is None
-        reach, since = len(best) - 1, 0
+        codec, text, best, back, last, at, reach, far = self.codec, self.text, self.best, self.back, self.last, self.at, self.reach, self.far
+        longest, trie, size, pairs, free, since = codec.longest, codec.trie, codec.size, codec.pairs, codec.splits is None, self.since
+        more = min(upto + longest, len(text)) + 1 - len(best)
+        best += [_NONE] * more
+        back += [0] * more
+        last += [-2] * more
         while at < upto:
             here, prior = best[at], last[at]
             if here > _NONE:
-                level, end, held = trie, at, False
+                level, end = trie, at
                 for c in text[at : at + longest]:
                     node = level.get(c)
                     if node is None:
@@ -294,37 +286,31 @@ class Search:
                     end += 1
                     i = node[1]
                     if i >= 0:
-                        held = held or end == at + 1
-                        while reach < end:
-                            best.append(_NONE)
-                            back.append(0)
-                            last.append(-2)
-                            reach += 1
-                        score = here + node[2]
+                        if end > reach:
+                            reach = end
                         # merges leave one path to a position
-                        if score > best[end] if free else best[end] == _NONE and (prior < 0 or pairs[prior * size + i]):
-                            best[end], back[end], last[end] = score, at, i
+                        if here + node[2] > best[end] if free else best[end] == _NONE and (prior < 0 or pairs[prior * size + i]):
+                            best[end], back[end], last[end] = here + node[2], at, i
                     level = node[0]
-                if not held:
-                    if reach == at:
-                        best.append(_NONE)
-                        back.append(0)
-                        last.append(-2)
-                        reach += 1
+                if end > far:
+                    far = end
+                single = trie.get(text[at])
+                if single is None or single[1] < 0:
+                    reach = max(reach, at + 1)
                     if here + codec.unknown > best[at + 1]:
                         best[at + 1], back[at + 1], last[at + 1] = here + codec.unknown, at, -1
             at += 1
             since += 1
-            # no path goes beyond this position: all meet in it
-            met = at if since >= 8 and reach == at else self._meeting(at, reach) if since >= LOOK else 0
-            if since >= LOOK or met:
+            if since >= LOOK:
                 since = 0
-            if met and at < len(text):
-                self.at = at
-                yield self._commit(met)
-                text, at, reach = self.text, self.at, len(best) - 1
-                upto -= met
-        self.at = at
+                # where no path goes beyond this position, all meet in it
+                met = at if reach == at else self._meeting(at, reach)
+                if met and at < len(text):
+                    self.at, self.reach, self.far = at, reach, far
+                    yield self._commit(met)
+                    text, at, reach, far = self.text, self.at, self.reach, self.far
+                    upto -= met
+        self.at, self.reach, self.far, self.since = at, reach, far, since
 
     def _meeting(self, at: int, reach: int) -> int:
         """The boundary in which the paths to all positions from `at` on meet; 0 if there is none."""
@@ -347,7 +333,9 @@ class Search:
             at = start
         out.reverse()
         self.commits += 1
-        self.text, self.at = self.text[end:], self.at - end
+        self.since = 0
+        self.text = self.text[end:]
+        self.at, self.reach, self.far = (max(x - end, 0) for x in (self.at, self.reach, self.far))
         ground = self.best[end]
         del self.best[:end], self.back[:end], self.last[:end]
         self.best[:] = [b - ground for b in self.best]

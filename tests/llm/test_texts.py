@@ -300,13 +300,13 @@ def codec():
     return pieces.Codec.load()
 
 
-def likelihoods(codec, apart=True):
-    """A model of likelihoods with the same pieces."""
+def likelihoods(codec, across=()):
+    """A model of likelihoods with the same pieces, and some that go on past a space."""
     import math
 
-    out = pieces.Codec({p: (i, -math.log(100 - s)) for p, (i, s) in codec.vocabulary.items()}, codec.bytes_of, codec.size)
-    out.apart = apart
-    return out
+    vocabulary = {p: (i, -math.log(100 - s)) for p, (i, s) in codec.vocabulary.items()}
+    ids = (i for i in range(codec.size) if codec.piece[i] is None and i not in codec.bytes_of)
+    return pieces.Codec(vocabulary | {p: (i, -1.0) for p, i in zip(across, ids, strict=False)}, codec.bytes_of, codec.size)
 
 
 def some_texts():
@@ -324,10 +324,11 @@ def test_ids_are_the_librarys(codec):
         assert pieces.Search(codec).all(" " + t).tolist() == model.encode(t)
 
 
-@pytest.mark.parametrize("apart", [True, False])
-def test_likelihoods_match_a_whole_search(codec, apart):
-    own = likelihoods(codec, apart)
-    for t in TEXTS + some_texts()[:5]:
+@pytest.mark.parametrize("across", [(), ("e o", "g the", "o w")])
+def test_likelihoods_match_a_whole_search(codec, across):
+    own = likelihoods(codec, across)
+    assert not across or own.stretches[" the"] is None and own.stretches[" a"] is not None
+    for t in TEXTS + some_texts()[:5] + [("hello world the of " * 9) + "to work on the one"]:
         want = whole_viterbi(own, t)
         assert own.encode(t).tolist() == want and own.decode(want) == t
 
@@ -369,7 +370,22 @@ def test_kept_words_and_pairs_are_bounded(monkeypatch):
     own = pieces.Codec.load()
     text = " ".join(f"word{i % 37}" for i in range(500)) + " " + "long" * 50
     assert own.decode(own.encode(text)) == text
-    assert all(len(x) <= 10 and len(x.old) <= 10 for x in (own.words, own.pairs)) and not any(len(w) > 48 for w in own.words)
+    assert all(len(x) <= 10 and len(x.old) <= 10 for x in (own.stretches, own.pairs)) and not any(len(w) > 48 for w in own.stretches)
+
+
+def test_ids_of_documents_come_from_the_window(codec, monkeypatch):
+    """All paths meet at most once a stretch that is kept and once LOOK positions of others; whether anything is kept or not
+    changes no id."""
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist() if t]
+    searches, ids = [pieces.Search(codec) for _ in texts], []
+    for s, t in zip(searches, texts, strict=True):
+        ids.append(s.all(" " + t).tolist())
+    assert sum(s.commits for s in searches) > 50 * len(texts) and all(s.commits for s in searches)
+    monkeypatch.setattr(pieces, "_CACHED", 0)
+    plain = pieces.Codec.load()
+    assert ids == [plain.encode(t).tolist() for t in texts] and not plain.stretches
 
 
 @pytest.mark.parametrize("text", ["", "A", "a b", "é" * 10])
