@@ -120,6 +120,7 @@ class Codec:
                 level = node[0]
             if splits is None or len(piece) == 1 or piece in splits:
                 node[1:] = i, score  # no encoding has a piece that no merges make
+        self.singles = frozenset(p for p in vocabulary if len(p) == 1)
         for value, i in enumerate(bytes_of):
             self.table[i] = bytes([value])
         self.unknown = min((s for _, s in vocabulary.values()), default=0.0) - 10.0
@@ -181,7 +182,7 @@ class Codec:
         search = Search(self)
         search.text = text + " "
         out = b"".join(search._advance(len(text)))
-        return out + search._commit(search.at) if search.closed() else None
+        return out + search._ids(search.at) if search.closed() else None
 
     def stream(self, parts: Iterable[str]) -> Iterator[bytes]:
         """Ids (int32) of a text that comes in parts, each as soon as it is final."""
@@ -270,13 +271,13 @@ class Search:
     def _advance(self, upto: int) -> Iterator[bytes]:
         """Extends the paths from every position before `upto`."""
         codec, text, best, back, last, at, reach, far = self.codec, self.text, self.best, self.back, self.last, self.at, self.reach, self.far
-        longest, trie, size, pairs, free, since = codec.longest, codec.trie, codec.size, codec.pairs, codec.splits is None, self.since
+        longest, trie, singles, size, pairs, free, since = codec.longest, codec.trie, codec.singles, codec.size, codec.pairs, codec.splits is None, self.since
         more = min(upto + longest, len(text)) + 1 - len(best)
         best += [_NONE] * more
         back += [0] * more
         last += [-2] * more
         while at < upto:
-            here, prior = best[at], last[at]
+            here, prior = best[at], last[at] * size
             if here > _NONE:
                 level, end = trie, at
                 for c in text[at : at + longest]:
@@ -284,21 +285,17 @@ class Search:
                     if node is None:
                         break
                     end += 1
-                    i = node[1]
-                    if i >= 0:
+                    level, i, score = node
+                    # merges leave one path to a position
+                    if i >= 0 and (here + score > best[end] if free else best[end] == _NONE and (prior < 0 or pairs[prior + i])):
+                        best[end], back[end], last[end] = here + score, at, i
                         if end > reach:
                             reach = end
-                        # merges leave one path to a position
-                        if here + node[2] > best[end] if free else best[end] == _NONE and (prior < 0 or pairs[prior * size + i]):
-                            best[end], back[end], last[end] = here + node[2], at, i
-                    level = node[0]
                 if end > far:
                     far = end
-                single = trie.get(text[at])
-                if single is None or single[1] < 0:
+                if text[at] not in singles and here + codec.unknown > best[at + 1]:
+                    best[at + 1], back[at + 1], last[at + 1] = here + codec.unknown, at, -1
                     reach = max(reach, at + 1)
-                    if here + codec.unknown > best[at + 1]:
-                        best[at + 1], back[at + 1], last[at + 1] = here + codec.unknown, at, -1
             at += 1
             since += 1
             if since >= LOOK:
@@ -321,17 +318,21 @@ class Search:
             front.add(self.back[late])
         return front.pop() if front else 0
 
-    def _commit(self, end: int) -> bytes:
-        """The ids up to position `end`, which leave the window."""
-        out, at = array("i"), end
+    def _ids(self, end: int) -> bytes:
+        """The ids up to position `end`."""
+        out, at, back, last = [], end, self.back, self.last
         while at:
-            start, i = self.back[at], self.last[at]
+            start, i = back[at], last[at]
             if i >= 0:
                 out.append(i)
             else:
                 out.extend(self.codec.bytes_of[b] for b in reversed(self.text[start:at].encode("utf-8", "replace")))
             at = start
-        out.reverse()
+        return array("i", reversed(out)).tobytes()
+
+    def _commit(self, end: int) -> bytes:
+        """The ids up to position `end`, which leave the window."""
+        out = self._ids(end)
         self.commits += 1
         self.since = 0
         self.text = self.text[end:]
@@ -340,7 +341,7 @@ class Search:
         del self.best[:end], self.back[:end], self.last[:end]
         self.best[:] = [b - ground for b in self.best]
         self.back[:] = [max(b - end, 0) for b in self.back]
-        return out.tobytes()
+        return out
 
 
 def _list(parts: list[np.ndarray]) -> pa.ListArray:
