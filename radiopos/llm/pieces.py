@@ -45,7 +45,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Positions between two walks back to a common boundary; characters of a text handed to the search at once.
 LOOK, PART = 32, 65_536
 #: Entries of the caches of stretches and of pairs, the longest stretch kept, and characters of a window asked for at once.
-_CACHE, _CACHED, _PAIRS, _BITE = 120_000, 48, 400_000, 512
+_CACHE, _CACHED, _PAIRS, _BITE = 400_000, 48, 400_000, 512
 _WORD = re.compile(r" +[^ ]*|[^ ]+")
 _BORDER = re.compile(r"[^ ] ")
 _NEVER = float("inf")
@@ -247,7 +247,7 @@ class Search:
                     yield self._commit(self.at)
             elif self.closed() and self.text[self.at] == " " and self.at and self.text[self.at - 1] != " ":
                 yield self._commit(self.at)
-                self.last[0] = -2
+                self.last[0], self.since = -2, 0
 
     def _remembered(self, final: bool) -> Iterator[bytes]:
         """From a boundary where all paths meet: the commits of stretches that are remembered, up to one that isn't."""
@@ -271,11 +271,12 @@ class Search:
     def _advance(self, upto: int) -> Iterator[bytes]:
         """Extends the paths from every position before `upto`."""
         codec, text, best, back, last, at, reach, far = self.codec, self.text, self.best, self.back, self.last, self.at, self.reach, self.far
-        longest, trie, singles, size, pairs, free, since = codec.longest, codec.trie, codec.singles, codec.size, codec.pairs, codec.splits is None, self.since
+        longest, trie, singles, size, pairs, free = codec.longest, codec.trie, codec.singles, codec.size, codec.pairs, codec.splits is None
         more = min(upto + longest, len(text)) + 1 - len(best)
         best += [_NONE] * more
         back += [0] * more
         last += [-2] * more
+        look = at + LOOK - self.since
         while at < upto:
             here, prior = best[at], last[at] * size
             if here > _NONE:
@@ -297,17 +298,16 @@ class Search:
                     best[at + 1], back[at + 1], last[at + 1] = here + codec.unknown, at, -1
                     reach = max(reach, at + 1)
             at += 1
-            since += 1
-            if since >= LOOK:
-                since = 0
+            if at == look:
+                look += LOOK
                 # where no path goes beyond this position, all meet in it
                 met = at if reach == at else self._meeting(at, reach)
                 if met and at < len(text):
                     self.at, self.reach, self.far = at, reach, far
                     yield self._commit(met)
                     text, at, reach, far = self.text, self.at, self.reach, self.far
-                    upto -= met
-        self.at, self.reach, self.far, self.since = at, reach, far, since
+                    upto, look = upto - met, look - met
+        self.at, self.reach, self.far, self.since = at, reach, far, LOOK - look + at
 
     def _meeting(self, at: int, reach: int) -> int:
         """The boundary in which the paths to all positions from `at` on meet; 0 if there is none."""
@@ -334,7 +334,6 @@ class Search:
         """The ids up to position `end`, which leave the window."""
         out = self._ids(end)
         self.commits += 1
-        self.since = 0
         self.text = self.text[end:]
         self.at, self.reach, self.far = (max(x - end, 0) for x in (self.at, self.reach, self.far))
         ground = self.best[end]
