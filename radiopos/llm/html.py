@@ -4,8 +4,7 @@ Pages of a host come from a few templates. A wrapper is a regular expression wit
 stream, nested as elements nest: the content of every element is a sequence of members (child elements with their
 class, and texts), optional groups and repeated groups. It is inferred from the outermost element inwards: streams of
 one element are folded (neighbouring equal groups become a repeated group) and aligned one after the other, and what
-only one side has becomes an optional group. Where streams fold too little to be aligned (more than ALIGNED pairs of
-symbols), the content is a repeated group of all its members, each optional, which matches them in any order.
+only one side has becomes an optional group. Streams of any length are aligned, by a longest common subsequence.
 
 Texts that meet at one place of the wrapper make a slot. A text that all of at least DISTINCT different pages of the
 host have there is template text: blocks of nothing else are not given. A page's text is what the slots give, in page order: those
@@ -16,8 +15,9 @@ belong to the text inside an article, or where the host's pages differ in them.
 read by the page's own figures. Pages of hosts with fewer than DISTINCT different pages have no template text.
 
 Wrappers are fitted on at most PAGES pages a host (a parameter), chosen by hash in two steps so that a host with a
-third of all pages is never gathered; every page is then extracted whole. Parsing, inference and matching take time in
-proportion to the tokens.
+third of all pages is never gathered; every page is then extracted whole. Parsing takes time in proportion to the tokens;
+aligning two contents and matching one take as many operations on whole numbers as one has symbols, each on as many bits
+as the other has.
 
 Character references are decoded, white space within a block (a line break in it too) is one space, blocks are
 trimmed and joined by newlines, empty ones dropped.
@@ -29,10 +29,11 @@ own; repeated rows give a row each; an empty table gives no rows. Other columns
 from __future__ import annotations
 
 import json
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pandas as pd
@@ -45,8 +46,14 @@ PAGES = 12
 DISTINCT = 4
 #: Characters outside links from which a container may be text in spite of its name.
 LEAST = 200
+#: Bits of an alignment's table that are kept at once (or its square root's rows, if more); the rest is worked out again.
+#: Results do not depend on it.
 ALIGNED = 200_000
-#: Wrappers of all hosts up to so many characters are broadcast; beyond it they join by host and salt.
+#: The same for the states of a match.
+KEPT = 1 << 27
+#: A task keeps wrappers of so many nodes.
+NODES = 500_000
+#: Wrappers of all hosts up to so many bytes are broadcast; beyond it they join by host and salt.
 BROADCAST_CHARS, SALTS = 16_000_000, 32
 _RAW = "script style iframe textarea title xmp noembed noframes".split()
 _TOKEN = re.compile(
@@ -255,11 +262,18 @@ def fold(row: list) -> list:
 
 
 def _refolded(row: list, groups: list[tuple]) -> list:
-    """Single occurrences of groups that repeat elsewhere become groups too."""
-    firsts = {g[0] for g in groups}
+    """Single occurrences of groups that repeat elsewhere become groups too, the longest first."""
+    starts: dict = {}
+    for g in groups:
+        at = starts
+        for x in g:
+            at = at.setdefault(x, {})
+        at[None] = g
     out, i = [], 0
     while i < len(row):
-        group = next((g for g in groups if tuple(row[i : i + len(g)]) == g), None) if row[i] in firsts else None
+        at, n, group = starts, i, None
+        while n < len(row) and (at := at.get(row[n])):
+            n, group = n + 1, at.get(None, group)
         if group and out and isinstance(out[-1], tuple) and out[-1][1] == group:
             i += len(group)
         elif group:
@@ -271,25 +285,74 @@ def _refolded(row: list, groups: list[tuple]) -> list:
     return out
 
 
+def _mask(bits: Iterable[int], size: int) -> int:
+    digits = bytearray(b"0") * size
+    for b in bits:
+        digits[size - 1 - b] = 49
+    return int(digits, 2)
+
+
+def shared(left: list, right: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, the earliest places. A row of the table of lengths is a whole number (a 0
+    bit: one more than before), so a row takes three operations on numbers of as many bits as `left` has symbols."""
+    head, least = 0, min(len(left), len(right))
+    while head < least and left[head] == right[head]:
+        head += 1
+    tail = 0
+    while tail < least - head and left[-1 - tail] == right[-1 - tail]:
+        tail += 1
+    j, i = len(left) - tail - head, len(right) - tail - head
+    pairs = [(len(left) - 1 - t, len(right) - 1 - t) for t in range(tail)]
+    places: dict = defaultdict(list)
+    for n in range(j):
+        places[left[head + n]].append(n)
+    ones = (1 << j) - 1
+    masks = {x: _mask(at, j) for x, at in places.items()}
+    block = max(1, math.isqrt(i), ALIGNED // (j + 1))
+
+    def rows(begin: int, row: int, end: int) -> list[int]:
+        out = [row]
+        for x in right[head + begin : head + min(begin + block, end)]:
+            if both := row & masks.get(x, 0):
+                row = (row + both | row - both) & ones
+            out.append(row)
+        return out
+
+    kept, end = [ones], i
+    for begin in range(0, end, block):
+        kept.append((now := rows(begin, kept[-1], end))[-1])
+    for begin in reversed(range(0, end, block)):
+        if begin + block < end:
+            now = rows(begin, kept[begin // block], end)
+        while i > begin and (j := (~now[i - begin] & (1 << j) - 1).bit_length()):
+            i -= 1
+            if now[i - begin] >> j - 1 & 1:
+                j -= 1
+                pairs.append((head + j, head + i))
+        i = begin
+    return [(n, n) for n in range(head)] + pairs[::-1]
+
+
 def align(wrapper: list, row: list) -> list:
     """The wrapper generalised so that it also matches row."""
-    groups = sorted({x[1] for x in wrapper + row if isinstance(x, tuple) and x[0] in "+*"}, key=lambda g: (-len(g), str(g)))
+    groups = list(dict.fromkeys(x[1] for x in wrapper + row if isinstance(x, tuple) and x[0] in "+*"))
     wrapper, row = _refolded(wrapper, groups), _refolded(row, groups)
     out: list = []
     bare = lambda x: x[1] if isinstance(x, tuple) else (x,)
-    for op, a, b, c, d in SequenceMatcher(None, [*map(bare, wrapper)], [*map(bare, row)], autojunk=False).get_opcodes():
-        if op == "equal":
-            for x, y in zip(wrapper[a:b], row[c:d], strict=True):
-                signs = {z[0] if isinstance(z, tuple) else "" for z in (x, y)}
-                many, least = signs & {"+", "*"}, signs & {"?", "*"}
-                sign = ("*" if least else "+") if many else "?" if least else ""
-                out.append((sign, bare(x)) if sign else x)
-        else:
-            for part in (wrapper[a:b], row[c:d]):
-                if any(isinstance(x, tuple) for x in part):
-                    out += [("*" if x[0] in "+*" else "?", x[1]) if isinstance(x, tuple) else ("?", (x,)) for x in part]
-                elif part:
-                    out.append(("?", tuple(part)))
+    a = c = 0
+    for b, d in [*shared([*map(bare, wrapper)], [*map(bare, row)]), (len(wrapper), len(row))]:
+        for part in (wrapper[a:b], row[c:d]):
+            if any(isinstance(x, tuple) for x in part):
+                out += [("*" if x[0] in "+*" else "?", x[1]) if isinstance(x, tuple) else ("?", (x,)) for x in part]
+            elif part:
+                out.append(("?", tuple(part)))
+        if b < len(wrapper):
+            x, y = wrapper[b], row[d]
+            signs = {z[0] if isinstance(z, tuple) else "" for z in (x, y)}
+            many, least = signs & {"+", "*"}, signs & {"?", "*"}
+            sign = ("*" if least else "+") if many else "?" if least else ""
+            out.append((sign, bare(x)) if sign else x)
+        a, c = b + 1, d + 1
     merged: list = []
     for x in out:
         if merged and isinstance(x, tuple) and isinstance(merged[-1], tuple) and x[1] == merged[-1][1]:
@@ -299,89 +362,180 @@ def align(wrapper: list, row: list) -> list:
     return merged
 
 
+class Level:
+    """Bits of a depth of a content expression: its symbols, the starts of its groups, the ends of its sequences, what
+    lies in items that may be absent, and the symbols an item can end in; loops: ends of repeated groups by their width."""
+
+    def __init__(self):
+        self.symbols, self.starts, self.ends, self.absent, self.tails = [], [], [], [], []
+        self.loops: dict[int, list[int]] = defaultdict(list)
+
+    def seal(self, size: int) -> None:
+        for what in ("symbols", "starts", "ends", "absent", "tails"):
+            setattr(self, what, _mask(getattr(self, what), size))
+        self.loops = [(width, _mask(at, size)) for width, at in self.loops.items()]
+        self.places = self.symbols | self.starts | self.ends
+
+    def reach(self, at: int) -> int:
+        """The places from those of `at` over items that may be absent: a carry runs through them."""
+        return (self.absent + (at & self.absent) ^ self.absent | at) & self.places if at and self.absent else at
+
+
 class Content:
-    """A content expression as an automaton over its members: items are symbols (members) or (sign, items). Member sets
-    are bits of a whole number; steps are remembered, so matching takes a step a symbol."""
+    """A content expression as an automaton over its members: items are symbols (members) or (sign, items). Symbols and
+    the ends of groups are numbered in their order; sets of them, and of the places before them, are bits of a whole number
+    for each depth. A step takes some operations on such numbers, whatever it passes; short ones are remembered."""
 
     def __init__(self, items: list):
         self.members: list[str] = []
-        self.follow: list[int] = []
-        self.first, self.last, _ = self._sequence(items)
-        self.of: dict[str, int] = {}
-        for i, k in enumerate(self.members):
-            self.of[k] = self.of.get(k, 0) | 1 << i
-        self.before = [0] * len(self.members)
-        for i, f in enumerate(self.follow):
-            for j in _bits(f):
-                self.before[j] |= 1 << i
+        self.number: list[int] = []  # of a symbol's member
+        self.place: list[tuple | None] = []  # of a symbol: depth, start, first bit it can follow, whether it can be first, group
+        self.levels = [Level()]
+        last = self._sequence(items, 0, None)[0]
+        self._close(0)
+        size = len(self.place)
+        for level in self.levels:
+            level.seal(size)
+        self.last = _mask(last, size)
+        places: dict[str, list[int]] = defaultdict(list)
+        for i, p in enumerate(self.place):
+            if p:
+                places[self.members[self.number[i]]].append(i)
+        self.of = {k: _mask(at, size) for k, at in places.items()}
         self.steps: dict[tuple[int, str], int] = {}
+        self.first = self._next(0, 1)
+
+    def _close(self, depth: int) -> None:
+        self.levels[depth].ends.append(len(self.place))
+        self.place.append(None)
+        self.number.append(-1)
 
-    def _sequence(self, items) -> tuple[int, int, bool]:
-        first, last, empty = 0, 0, True
+    def _sequence(self, items, depth: int, group: list | None) -> tuple[list[int], bool]:
+        """The symbols a sequence can end in, and whether it can be empty. group: as in place, and the end if repeated."""
+        level = self.levels[depth]
+        last, empty, low = [], True, len(self.place)
         for x in items:
+            start = len(self.place)
             if isinstance(x, tuple):
-                f, e, none = self._sequence(x[1])
+                if len(self.levels) == depth + 1:
+                    self.levels.append(Level())
+                level.starts.append(start)
+                own = [depth, start, low, empty, group, 0]
+                ends, absent = self._sequence(x[1], depth + 1, own)
                 if x[0] in "+*":
-                    for i in _bits(e):
-                        self.follow[i] |= f
-                none = none or x[0] in "?*"
+                    own[-1] = len(self.place)
+                    self.levels[depth + 1].loops[own[-1] - start].append(own[-1])
+                self._close(depth + 1)
+                absent = absent or x[0] in "?*"
             else:
-                f = e = 1 << len(self.members)
-                none = False
+                ends, absent = [start], False
+                level.symbols.append(start)
+                self.place.append((depth, start, low, empty, group))
+                self.number.append(len(self.members))
                 self.members.append(x)
-                self.follow.append(0)
-            for i in _bits(last):
-                self.follow[i] |= f
-            first, last, empty = first | f * empty, e | last * none, empty and none
-        return first, last, empty
+            level.tails += ends
+            if absent:
+                level.absent += range(start, len(self.place))
+                last += ends
+            else:
+                last, empty, low = [*ends], False, start
+        return last, empty
+
+    def _next(self, taken: int, begin: int = 0) -> int:
+        """The symbols that can follow those taken; with begin 1, the first ones."""
+        here, up = [0] * len(self.levels), 0
+        for d in range(len(here) - 1, -1, -1):
+            level = self.levels[d]
+            here[d] = level.reach((taken & level.symbols) << 1 | up | (0 if d else begin))
+            up = (here[d] & level.ends) << 1
+        found = down = 0
+        for at, level in zip(here, self.levels, strict=True):
+            for width, ends in level.loops:
+                down |= (at & ends) >> width
+            at |= level.reach(down)
+            found |= at & level.symbols
+            down = at & level.starts
+        return found
+
+    def _step(self, now: int, k: str) -> int:
+        step = self.steps.get((now, k))
+        if step is None:
+            if len(self.steps) * len(self.place) > 1 << 24:  # bits
+                self.steps.clear()
+            step = self.steps[now, k] = self._next(now) & self.of.get(k, 0)
+        return step
+
+    def _before(self, state: int, later: int) -> int:
+        """The first symbol of the state that `later` can follow, -1 if none."""
+        depth, start, low, first, group = self.place[later]
+        found = []
+        while True:
+            if (at := (state & self.levels[depth].tails) >> low) and (i := low + (at & -at).bit_length() - 1) < start:
+                found.append(i)
+            if not first or group is None:
+                return min(found, default=-1)
+            depth, start, low, first, group, end = group
+            if end and (at := (state & self.levels[depth].tails) >> start) and (i := start + (at & -at).bit_length() - 1) < end:
+                found.append(i)
+
+    def fits(self, keys: tuple[str, ...]) -> bool:
+        now = self.first
+        for n, k in enumerate(keys):
+            now = self._step(now, k) if n else now & self.of.get(k, 0)
+            if not now:
+                return False
+        return not keys or bool(now & self.last)
 
     def match(self, keys: tuple[str, ...]) -> tuple[list[int], bool]:
         """The member of every symbol (-1: none), and whether the expression matches. A symbol that cannot follow
-        begins anew at the members of its kind."""
-        states, whole, now = [], True, 0
-        for n, k in enumerate(keys):
-            step = self.steps.get((now, k)) if n else None
-            if step is None:
-                nexts = self.first if n == 0 else 0
-                if n:
-                    for i in _bits(now):
-                        nexts |= self.follow[i]
-                step = nexts & self.of.get(k, 0)
-                if n:
-                    self.steps[now, k] = step
-            if not step:
-                whole = False
-                step = self.of.get(k, 0)
-            states.append(step)
-            now = step or now
-        out, later = [-1] * len(keys), 0
-        fits = self.last if whole else 0
-        for n in range(len(keys) - 1, -1, -1):
-            if states[n]:
-                best = states[n] & (self.before[later - 1] if later else fits) or states[n]
-                later = (best & -best).bit_length()
-                out[n] = later - 1
-        return out, whole and bool(not keys or states[-1] & self.last)
-
-
-def _bits(mask: int) -> Iterator[int]:
-    while mask:
-        low = mask & -mask
-        yield low.bit_length() - 1
-        mask ^= low
+        begins anew at the members of its kind. The states of a block of symbols are kept at once."""
+        block = max(1, math.isqrt(len(keys)), KEPT // len(self.place))
+        whole = True
+
+        def run(begin: int, now: int) -> tuple[list[int], int]:
+            nonlocal whole
+            states = []
+            for n in range(begin, min(begin + block, len(keys))):
+                k = keys[n]
+                step = self._step(now, k) if n else self.first & self.of.get(k, 0)
+                if not step:
+                    whole = False
+                    step = self.of.get(k, 0)
+                states.append(step)
+                now = step or now
+            return states, now
+
+        kept, states = [0], []
+        for begin in range(0, len(keys), block):
+            states, now = run(begin, kept[-1])
+            kept.append(now)
+        whole = whole and bool(not keys or states[-1] & self.last)
+        fits = whole
+        out, later = [-1] * len(keys), -1
+        for begin in reversed(range(0, len(keys), block)):
+            if begin + block < len(keys):
+                states = run(begin, kept[begin // block])[0]
+            for n in range(len(states) - 1, -1, -1):
+                if state := states[n]:
+                    i = -1
+                    if later < 0:
+                        state = fits and state & self.last or state
+                    elif state & state - 1:
+                        i = self._before(state, later)
+                    later = i if i >= 0 else (state & -state).bit_length() - 1
+                    out[begin + n] = self.number[later]
+        return out, fits
 
 
 def expression(streams: list[tuple[str, ...]]) -> list:
     """The union-free expression of the streams of one element."""
     out: list | None = None
+    content: Content | None = None
     for s in dict.fromkeys(streams):
-        row = fold(list(s))
-        if out is None:
-            out = row
-        elif not Content(out).match(s)[1]:
-            if len(out) * len(row) > ALIGNED:
-                return [("*", tuple(("?", (k,)) for k in dict.fromkeys(k for x in streams for k in x)))]
-            out = align(out, row)
+        if content is None or not content.fits(s):
+            row = fold(list(s))
+            out = row if out is None else align(out, row)
+            content = Content(out)
     return out or []
 
 
@@ -397,12 +551,12 @@ class Wrapper:
             self.contents[node] = Content(self.nodes[node][0])
         return self.contents[node]
 
-    def written(self) -> str:
-        return json.dumps(self.nodes, ensure_ascii=False, separators=(",", ":"))
+    def written(self) -> bytes:
+        return zlib.compress(json.dumps(self.nodes, separators=(",", ":")).encode())
 
     @classmethod
-    def read(cls, written: str) -> Wrapper:
-        nodes = json.loads(written)
+    def read(cls, written: bytes) -> Wrapper:
+        nodes = json.loads(zlib.decompress(written))
         back = lambda items: [x if isinstance(x, str) else (x[0], tuple(back(x[1]))) for x in items]
         for n in nodes:
             n[0] = back(n[0])
@@ -582,7 +736,7 @@ def wrappers(pages: DataFrame, size: int = PAGES) -> DataFrame:
         made = infer([Page(x) for x in group.sort_values(["draw", "html"])["html"]])
         return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [made.written()]})
 
-    return common.stage(sample.groupBy("host").applyInPandas(run, "host string, wrapper string"), "wrappers")
+    return common.stage(sample.groupBy("host").applyInPandas(run, "host string, wrapper binary"), "wrappers")
 
 
 def with_wrappers(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -602,13 +756,14 @@ def main_text(pages: DataFrame, size: int = PAGES) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ready: dict[str, Wrapper] = {}
         for b in batches:
-            texts = []
-            for page, at, written in zip(b["html"], b["host"], b["wrapper"], strict=True):
+            texts = [""] * len(b)
+            for n in sorted(range(len(b)), key=b["host"].tolist().__getitem__):
+                at = b["host"].iat[n]
                 if at not in ready:
-                    if len(ready) >= 200:
+                    if len(ready) >= 200 or sum(len(w.nodes) for w in ready.values()) > NODES:
                         ready.clear()
-                    ready[at] = Wrapper.read(written)
-                texts.append(extract(Page(page), ready[at]))
+                    ready[at] = Wrapper.read(b["wrapper"].iat[n])
+                texts[n] = extract(Page(b["html"].iat[n]), ready[at])
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts})
 
     kind = pages.schema["page_id"].dataType.simpleString()
