@@ -527,6 +527,14 @@ class Content:
         return out, fits
 
 
+def _symbols(items) -> Iterator[str]:
+    for x in items:
+        if isinstance(x, str):
+            yield x
+        else:
+            yield from _symbols(x[1])
+
+
 def expression(streams: list[tuple[str, ...]]) -> list:
     """The union-free expression of the streams of one element."""
     out: list | None = None
@@ -540,10 +548,13 @@ def expression(streams: list[tuple[str, ...]]) -> list:
 
 
 class Wrapper:
-    """nodes: [content expression, numbers of its members, furniture, template texts, whether its texts differ]."""
+    """nodes: [content expression, numbers of its members, furniture, template texts, whether its texts differ]. Once
+    written and read, equal nodes are one, and a content all of whose members of a kind are one node is [None, node by kind,
+    ...]: which of them a symbol matches makes no difference."""
 
     def __init__(self, nodes: list):
         self.nodes = nodes
+        self.root = 0
         self.contents: dict[int, Content] = {}
 
     def content(self, node: int) -> Content:
@@ -552,15 +563,29 @@ class Wrapper:
         return self.contents[node]
 
     def written(self) -> bytes:
-        return zlib.compress(json.dumps(self.nodes, separators=(",", ":")).encode())
+        rows: dict[str, int] = {}
+        number = [0] * len(self.nodes)
+        for n in range(len(number) - 1, -1, -1):  # members have greater numbers than their element
+            items, members, *own = self.nodes[n]
+            kinds: dict[str, set[int]] = defaultdict(set)
+            for k, m in zip(_symbols(items), members, strict=True):
+                kinds[k].add(number[m])
+            if all(len(found) == 1 for found in kinds.values()):
+                row = [None, {k: found.pop() for k, found in sorted(kinds.items())}, *own]
+            else:
+                row = [items, [number[m] for m in members], *own]
+            number[n] = rows.setdefault(json.dumps(row, separators=(",", ":")), len(rows))
+        return zlib.compress(f"[{','.join(rows)}]".encode())
 
     @classmethod
     def read(cls, written: bytes) -> Wrapper:
         nodes = json.loads(zlib.decompress(written))
         back = lambda items: [x if isinstance(x, str) else (x[0], tuple(back(x[1]))) for x in items]
         for n in nodes:
-            n[0] = back(n[0])
-        return cls(nodes)
+            n[0] = n[0] and back(n[0])
+        made = cls(nodes)
+        made.root = len(nodes) - 1
+        return made
 
 
 def _text(value: str) -> str:
@@ -656,7 +681,7 @@ def extract(page: Page, wrapper: Wrapper | None) -> str:
     parts: list[str] = []
     new = False  # whether the block has text that is not the template's
     node = [-1] * len(page.key)
-    node[0] = 0 if wrapper else -1
+    node[0] = wrapper.root if wrapper else -1
     inside = 0 if zone else len(page.key)  # until here within the zone
     closed = 0  # until here within furniture
     header = 0  # until here within a header, of which headings are text
@@ -709,7 +734,10 @@ def extract(page: Page, wrapper: Wrapper | None) -> str:
             header = max(header, page.end[i])
         if name in _HEADINGS:
             heading = page.end[i]
-        if own is not None and page.kids[i]:
+        if own is not None and own[0] is None:
+            for k in page.kids[i]:
+                node[k] = own[1].get(page.key[k], -1)
+        elif own is not None and page.kids[i]:
             content = wrapper.content(node[i])
             for k, m in zip(page.kids[i], content.match(page.keys(i))[0], strict=True):
                 node[k] = own[1][m] if m >= 0 else -1

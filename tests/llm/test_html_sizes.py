@@ -92,3 +92,23 @@ def test_contents_match_as_regular_expressions(seed):
                 assert whole == content.fits(keys) == bool(symbols.fullmatch("".join(keys)))
             if keys and whole:
                 assert members.fullmatch("".join(chr(256 + m) for m in found))
+
+
+def random_page(rng, depth=0):
+    out = ""
+    for _ in range(rng.randint(1, 6)):
+        name = rng.choice(["div", "p", "ul", "header", "h2", "div class=side"])
+        text = rng.choice(["Printed by Example Press", "Read on", prose(rng, 5), "<a>x</a> <a>y</a> <a>z</a>"])
+        out += f"<{name}>{random_page(rng, depth + 1) if depth < 3 and rng.random() < 0.5 else text}</{name.split()[0]}>"
+    return out
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_written_wrappers_give_the_same(seed):
+    rng = random.Random(seed)
+    frame = [random_page(rng) for _ in range(3)]
+    pages = [html.Page(f"<body>{frame[0]}{random_page(rng)}{frame[1]}{random_page(rng)}{frame[2]}</body>") for _ in range(12)]
+    wrapper = html.infer(pages[:8])
+    again = html.Wrapper.read(wrapper.written())
+    assert [html.extract(p, wrapper) for p in pages] == [html.extract(p, again) for p in pages]
+    assert any(html.extract(p, wrapper) != html.extract(p, None) for p in pages)
