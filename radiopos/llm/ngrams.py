@@ -27,10 +27,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import staging
 from . import common, labelled
 
 #: Words of an n-gram; the prior's weight.
@@ -40,6 +42,8 @@ BASE, BITS, PROBES = 1.5, 16, 8
 BLOCK, SHARD = 4 << 20, 8 << 20
 #: n-grams counted in a task before they are sent.
 FLUSH = 2_000_000
+#: n-grams that a shard is asked for at once.
+ASKED = 500_000
 #: The largest model, in bytes, that is broadcast: what Spark's own joins broadcast.
 BROADCAST = 10 << 20
 
@@ -326,11 +330,18 @@ def _packed(order: int, most: int) -> Callable:
 class Block:
     """A row of blocks, read."""
 
-    def __init__(self, r: object):
-        self.row, self.data, self.before = r.block, r.data, r.before
-        self.ends = np.frombuffer(r.ends, np.int64)
-        self.whole, self.known, self.out = (np.frombuffer(x, bool) for x in (r.whole, r.known, r.out))
-        self.rows, self.ids = np.frombuffer(r.rows, np.int64), np.frombuffer(r.ids, np.int64)
+    def __init__(self, r: dict):
+        self.row, self.data, self.before = r["block"], r["data"], r["before"]
+        self.ends = np.frombuffer(r["ends"], np.int64)
+        self.whole, self.known, self.out = (np.frombuffer(r[c], bool) for c in ("whole", "known", "out"))
+        self.rows, self.ids = (np.frombuffer(r[c], np.int64) for c in ("rows", "ids"))
+
+    @staticmethod
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+        """The blocks of Arrow batches, one copied at a time: a batch may hold many."""
+        for b in batches:
+            for at in range(b.num_rows):
+                yield Block(b.slice(at, 1).to_pylist()[0])
 
     def tokens(self, order: int) -> Iterator[Tokens]:
         return tokens(self.data, self.ends, self.whole, self.before, order)
@@ -339,7 +350,8 @@ class Block:
 def pack(docs: DataFrame, out: Column, order: int = ORDER) -> DataFrame:
     """Staged blocks of docs (doc_id, text); `out` tells the documents that are not learned from."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"), out.alias("out"))
-    return common.stage(rows.mapInPandas(_packed(order, BLOCK), _BLOCKS), "blocks")
+    # few blocks a file, as what a task reads of them goes to Python in one batch
+    return staging.stage(rows.mapInPandas(_packed(order, BLOCK), _BLOCKS), "blocks", compression="zstd", maxRecordsPerFile="2")
 
 
 def shards_for(blocks: DataFrame) -> int:
@@ -347,28 +359,31 @@ def shards_for(blocks: DataFrame) -> int:
     return (blocks.agg(F.sum(F.length("data"))).first()[0] or 0) // SHARD + 1
 
 
+def _arrow(rows: list[tuple], columns: list[str]) -> pa.RecordBatch:
+    """Rows of a number first and binaries or numbers behind it; at least one."""
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], columns)
+
+
 def _counted(order: int, shards: int, flush: int) -> Callable:
-    def sent(words_: list, keys: list) -> pd.DataFrame:
+    def sent(words_: list, keys: list) -> pa.RecordBatch:
         h, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *words_]), return_counts=True)
         by = by_shard(h, shards)
         h, c = h[by], c[by]
         k, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_counts=True)
         out = [(s, _planes(h[w]), _planes(c[w]), _gaps(k[g] & _LOW), _planes(n[g])) for s, w, g in dealt(h, k, shards)]
-        return pd.DataFrame(out, columns=["shard", "words", "counts", "names", "times"])
+        return _arrow(out, ["shard", "words", "counts", "names", "times"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_, keys, size = [], [], 0
-        for b in batches:
-            for r in b.itertuples():
-                block = Block(r)
-                for t in block.tokens(order):
-                    learned = ~block.out[t.doc]
-                    words_.append(t.word[learned])
-                    keys += [keys_of(g[ok & learned], shards) for g, _, ok in t.grams]
-                    size += len(words_[-1])
-                    if size >= flush:
-                        yield sent(words_, keys)
-                        words_, keys, size = [], [], 0
+        for block in Block.each(batches):
+            for t in block.tokens(order):
+                learned = ~block.out[t.doc]
+                words_.append(t.word[learned])
+                keys += [keys_of(g[ok & learned], shards) for g, _, ok in t.grams]
+                size += len(words_[-1])
+                if size >= flush:
+                    yield sent(words_, keys)
+                    words_, keys, size = [], [], 0
         if size:
             yield sent(words_, keys)
 
@@ -393,7 +408,7 @@ def _shard(sent: pd.DataFrame) -> pd.DataFrame:
 def train(blocks: DataFrame, order: int = ORDER) -> DataFrame:
     """The model of the blocks' training documents, staged: shard, size, bits (the filter), words, counts (exact), tokens,
     types, ngrams."""
-    sent = blocks.select(*blocks.columns).mapInPandas(_counted(order, shards_for(blocks), FLUSH), "shard long, words binary, counts binary, names binary, times binary")
+    sent = blocks.select(*blocks.columns).mapInArrow(_counted(order, shards_for(blocks), FLUSH), "shard long, words binary, counts binary, names binary, times binary")
     built_ = sent.groupBy("shard").applyInPandas(_shard, "shard long, size long, bits binary, words binary, counts binary, tokens long, types long, ngrams long")
     return common.stage(built_, "ngram-filter")
 
@@ -423,7 +438,7 @@ _PARTIAL = "row long, doc_id long, known boolean, held_out boolean, n_tokens lon
 def _broadcast(blocks: DataFrame, rows: list, shards: int, options: tuple) -> DataFrame:
     sent = blocks.sparkSession.sparkContext.broadcast([r.asDict() for r in rows])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Filter(sent.value)
         at = np.full(shards, len(rows), np.int64)
         at[[r["shard"] for r in sent.value]] = np.arange(len(rows))
@@ -434,14 +449,13 @@ def _broadcast(blocks: DataFrame, rows: list, shards: int, options: tuple) -> Da
             out[held] = model.levels(own[held], grams[held] & _LOW)
             return out
 
-        for b in batches:
-            for r in b.itertuples():
-                block = Block(r)
-                for t in block.tokens(options[0]):  # a window at a time: the sums over a text's windows add up
-                    seen = [(levels(g), levels(h) if k else None) for k, (g, h, _) in enumerate(t.grams)]
-                    yield _scores(block, [t], [model.count(t.word)], [model.count(t.before)], [seen], *options[1:]).iloc[t.doc[0] : t.doc[-1] + 1]
+        for block in Block.each(batches):
+            for t in block.tokens(options[0]):  # a window at a time: the sums over a text's windows add up
+                seen = [(levels(g), levels(h) if k else None) for k, (g, h, _) in enumerate(t.grams)]
+                part = _scores(block, [t], [model.count(t.word)], [model.count(t.before)], [seen], *options[1:]).iloc[t.doc[0] : t.doc[-1] + 1]
+                yield pa.RecordBatch.from_pandas(part, preserve_index=False)
 
-    return blocks.mapInPandas(run, _PARTIAL)
+    return blocks.mapInArrow(run, _PARTIAL)
 
 
 def _asked(parts: list[Tokens], shards: int) -> tuple[np.ndarray, ...]:
@@ -465,50 +479,49 @@ def _asked(parts: list[Tokens], shards: int) -> tuple[np.ndarray, ...]:
 def _exchanged(blocks: DataFrame, model: DataFrame, shards: int, options: tuple) -> DataFrame:
     order = options[0]
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples():
-                h, k, _, _ = _asked(list(Block(r).tokens(order)), shards)
-                out = [(s, r.block, _planes(h[w]), _gaps(k[g] & _LOW)) for s, w, g in dealt(h, k, shards)]
-                yield pd.DataFrame(out, columns=["shard", "block", "words", "names"])
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in Block.each(batches):
+            h, k, _, _ = _asked(list(block.tokens(order)), shards)
+            out = [(s, block.row, _planes(h[w]), _gaps(k[g] & _LOW)) for s, w, g in dealt(h, k, shards)]
+            if out:
+                yield _arrow(out, ["shard", "block", "words", "names"])
 
     def answer(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked):
-            return pd.DataFrame(columns=["block", "shard", "counts", "levels"])
-        model = Filter(shard.to_dict("records"))
-        out = []
-        for r in asked.itertuples():
-            names = _ungapped(r.names)
-            levels = model.levels(np.zeros(len(names), np.int64), names) if len(shard) else np.zeros(len(names), np.uint8)
-            out.append((r.block, r.shard, _planes(model.count(_numbers(r.words))), levels.tobytes()))
+        model, out = Filter(shard.to_dict("records")), []
+        # many blocks' n-grams are probed at once: a block asks a shard for few, the fewer the more shards there are
+        sums = asked["names"].map(len).cumsum() // (4 * ASKED)
+        for _, some in asked.groupby(sums, sort=True):
+            names, words_ = [_ungapped(x) for x in some["names"]], [_numbers(x) for x in some["words"]]
+            distinct, at = np.unique(np.concatenate(names), return_inverse=True)
+            levels = model.levels(np.zeros(len(distinct), np.int64), distinct) if len(shard) else np.zeros(len(distinct), np.uint8)
+            levels = np.split(levels[at], np.cumsum([len(x) for x in names])[:-1])
+            counts = np.split(model.count(np.concatenate(words_)), np.cumsum([len(x) for x in words_])[:-1])
+            out += [(b, s, _planes(c), x.tobytes()) for b, s, c, x in zip(some["block"], some["shard"], counts, levels, strict=True)]
         return pd.DataFrame(out, columns=["block", "shard", "counts", "levels"])
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples():
-                block = Block(r)
-                parts = list(block.tokens(order))
-                _, _, word_at, key_at = _asked(parts, shards)
-                replies = [] if r.replies is None else r.replies
-                count = np.concatenate([np.zeros(0, np.uint64), *(_numbers(x["counts"]) for x in replies)]).astype(np.int64)[word_at]
-                level = np.frombuffer(b"".join(x["levels"] for x in replies), np.uint8)[key_at]
-                counts, past, levels, w, g = [], [], [], 0, 0
-                for t in parts:
-                    n = len(t.word)
-                    counts.append(count[w : w + n])
-                    past.append(np.concatenate([count[w + n : w + n + 1], count[w : w + n - 1]]))
-                    w += n + 1
-                    seen = []
-                    for k in range(len(t.grams)):
-                        seen.append((level[g : g + n], level[g + n : g + 2 * n] if k else None))
-                        g += 2 * n if k else n
-                    levels.append(seen)
-                yield _scores(block, parts, counts, past, levels, *options[1:])
-
-    asked = blocks.mapInPandas(ask, "shard long, block long, words binary, names binary")
+    def scored(one: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        block, replies = Block(one.to_dict("records")[0]), replies.sort_values("shard")
+        parts = list(block.tokens(order))
+        _, _, word_at, key_at = _asked(parts, shards)
+        count = np.concatenate([np.zeros(0, np.uint64), *map(_numbers, replies["counts"])]).astype(np.int64)[word_at]
+        level = np.frombuffer(b"".join(replies["levels"]), np.uint8)[key_at]
+        counts, past, levels, w, g = [], [], [], 0, 0
+        for t in parts:
+            n = len(t.word)
+            counts.append(count[w : w + n])
+            past.append(np.concatenate([count[w + n : w + n + 1], count[w : w + n - 1]]))
+            w += n + 1
+            seen = []
+            for k in range(len(t.grams)):
+                seen.append((level[g : g + n], level[g + n : g + 2 * n] if k else None))
+                g += 2 * n if k else n
+            levels.append(seen)
+        return _scores(block, parts, counts, past, levels, *options[1:])
+
+    asked = blocks.mapInArrow(ask, "shard long, block long, words binary, names binary")
     replies = asked.groupBy("shard").cogroup(model.select("shard", "size", "bits", "words", "counts").groupBy("shard")).applyInPandas(answer, "block long, shard long, counts binary, levels binary")
-    whole = replies.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "counts", "levels"))).alias("replies"))
-    return blocks.join(whole, "block", "left").mapInPandas(score, _PARTIAL)
+    # a task has as many blocks as it happens to, but only one of them at once outside Spark's own memory
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(scored, _PARTIAL)
 
 
 def score(blocks: DataFrame, model: DataFrame, shards: int, order: int = ORDER, mu: float = MU, broadcast: int = BROADCAST) -> DataFrame:

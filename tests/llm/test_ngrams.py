@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from radiopos.llm import labelled, ngrams
 
@@ -120,3 +121,15 @@ def test_scores_know_the_language_and_empty_tables(spark):
     assert ngrams.scores(df.limit(0), labelled.held_out(7, 2)).collect() == []
     alone = ngrams.scores(df.filter("crc32(cast(doc_id as string)) % 7 = 2"), labelled.held_out(7, 2), broadcast=0).collect()
     assert alone and all(r.n_known == 0 and r.base_score == 0 and r.train_tokens == 0 for r in alone)
+
+
+def test_blocks_reach_python_few_at_once(spark, monkeypatch):
+    for name, value in (("BLOCK", 2000), ("SHARD", 4000)):
+        monkeypatch.setattr(ngrams, name, value)
+    blocks = ngrams.pack(spark.createDataFrame(corpus(3, 300), SCHEMA).coalesce(1), labelled.held_out(7, 2))
+    files = [r["count"] for r in blocks.groupBy(F.input_file_name()).count().collect()]
+    assert len(files) > 5 and max(files) <= 2
+    asked = ngrams.score(blocks, ngrams.train(blocks), ngrams.shards_for(blocks), broadcast=0)
+    plan = asked._jdf.queryExecution().toString()
+    # replies and blocks meet a block at a time; no task gathers replies in arrays beside Spark's own memory
+    assert "collect_list" not in plan and plan.count("FlatMapCoGroupsInPandas") >= 2
