@@ -365,3 +365,14 @@ def test_streamed_patches_equal_the_batch(spark, tmp_path):
     got = spark.read.parquet(sink).select(*names)
     want = patches.patch_metrics(paths).select(*names)
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+_BOUNDS = "min_lat double, max_lat double, min_lon double, max_lon double"
+
+
+def test_pairs_of_one_cell_are_many_tasks_work(spark):
+    boxes = spark.createDataFrame([(i, 0.1, 0.9, 0.1, 0.9) for i in range(5)], f"crop_id int, {_BOUNDS}")
+    features = spark.createDataFrame([(i, 0.5, 0.6, 0.5, 0.6) for i in range(400)], f"feature_id long, {_BOUNDS}").coalesce(1)
+    out = buildings.in_crops(features, boxes, 1.0).select("crop_id", "feature_id", F.spark_partition_id().alias("part")).collect()
+    assert len({r[:2] for r in out}) == len(out) == 2000
+    assert len({r.part for r in out}) > 2
