@@ -376,3 +376,10 @@ def test_pairs_of_one_cell_are_many_tasks_work(spark):
     out = buildings.in_crops(features, boxes, 1.0).select("crop_id", "feature_id", F.spark_partition_id().alias("part")).collect()
     assert len({r[:2] for r in out}) == len(out) == 2000
     assert len({r.part for r in out}) > 2
+
+
+def test_segments_go_through_one_join(spark):
+    line = [(0.0, 0.0), (4.0, 4.0)]
+    roads = spark.createDataFrame([(1, line)], "feature_id long, shape array<struct<lat:double,lon:double>>")
+    out = buildings.clipped_roads(roads, spark.createDataFrame([(5, 1.0, 5.0, 2.0, 6.0)], f"crop_id int, {_BOUNDS}"), 2.0)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
