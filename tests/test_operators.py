@@ -383,3 +383,13 @@ def test_segments_go_through_one_join(spark):
     roads = spark.createDataFrame([(1, line)], "feature_id long, shape array<struct<lat:double,lon:double>>")
     out = buildings.clipped_roads(roads, spark.createDataFrame([(5, 1.0, 5.0, 2.0, 6.0)], f"crop_id int, {_BOUNDS}"), 2.0)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_clipped_pairs_are_neither_written_nor_shuffled(spark):
+    ring = "array<struct<lat:double,lon:double>>"
+    features = spark.createDataFrame([(1, [(0.0, 0.0), (0.0, 4.0), (4.0, 4.0)], None)], f"feature_id long, shape {ring}, holes array<{ring}>")
+    out = buildings.clipped_features(features, spark.createDataFrame([(5, 1.0, 5.0, 2.0, 6.0)], f"crop_id int, {_BOUNDS}"), 2.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # features and crops are, once for those inside and once for those to be cut
+    assert plan.count("Exchange hashpartitioning") == 4 and "features-in-crops" not in plan
+    assert [(r.crop_id, r.feature_id, r.area) for r in out.collect()] == [(5, 1, 4.0)]
