@@ -393,3 +393,13 @@ def test_clipped_pairs_are_neither_written_nor_shuffled(spark):
     # features and crops are, once for those inside and once for those to be cut
     assert plan.count("Exchange hashpartitioning") == 4 and "features-in-crops" not in plan
     assert [(r.crop_id, r.feature_id, r.area) for r in out.collect()] == [(5, 1, 4.0)]
+
+
+def test_places_come_with_the_index(spark):
+    from radiopos.plans import crop_queries
+
+    placed = crop_queries._staged(spark, "/root/testdata/sf0.001")
+    assert not {"l_extendedprice", "rssi"} & set(placed.columns)
+    plan = crop_queries._geometric(placed)._jdf.queryExecution().optimizedPlan().toString()
+    # measurements with crops, and the crops' numbers with their offsets; no second set of crops
+    assert plan.count("Join ") == 2
