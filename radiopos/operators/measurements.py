@@ -42,8 +42,9 @@ def drop_missing(df: DataFrame) -> DataFrame:
 def deduplicate(df: DataFrame, keys: Sequence[str] = MEASUREMENT_KEY, tie: Sequence[str] = ()) -> DataFrame:
     """One row a key, observed before interpolated, then the least of `tie`; with a total tie-break the result is
     the same on any partitioning. Each task keeps its least row a key before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    least = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("interpolated", *tie)).alias("_row"))
+    order = ["interpolated", *tie]
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    least = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_row"))  # each value once, as all of it is shuffled
     return least.select(*keys, "_row.*").select(*df.columns)
 
 

@@ -395,6 +395,14 @@ def test_clipped_pairs_are_neither_written_nor_shuffled(spark):
     assert [(r.crop_id, r.feature_id, r.area) for r in out.collect()] == [(5, 1, 4.0)]
 
 
+def test_each_value_is_shuffled_once(spark):
+    rows = [(1.0, 1, False, -9.0, 5), (1.0, 1, False, -8.0, 6), (1.0, 1, True, -99.0, 7)]
+    df = spark.createDataFrame(rows, "latitude double, enode int, interpolated boolean, rssi double, campaign int")
+    out = measurements.deduplicate(df, ("latitude", "enode"), ("rssi",))
+    assert [tuple(r) for r in out.collect()] == [rows[0]]
+    assert "min_by" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_places_come_with_the_index(spark):
     from radiopos.plans import crop_queries
 
