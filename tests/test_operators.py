@@ -395,6 +395,19 @@ def test_clipped_pairs_are_neither_written_nor_shuffled(spark):
     assert [(r.crop_id, r.feature_id, r.area) for r in out.collect()] == [(5, 1, 4.0)]
 
 
+def test_boxes_that_meet_dense_ones_are_not_spread_over_cells(spark, monkeypatch):
+    """Of boxes whose middle lies in a filled cell no other cell is asked."""
+    staged = {}
+    plain = buildings.stage
+    monkeypatch.setattr(buildings, "stage", lambda df, name, **o: staged.setdefault(name, plain(df, name, **o)))
+    one = lambda rows: spark.createDataFrame(rows, f"crop_id int, {_BOUNDS}")
+    mine = one([(1, 2.2, 7.7, 2.2, 7.7), (2, 9.2, 13.0, 9.2, 13.0), (3, 20.0, 21.0, 20.0, 21.0), (4, 9.6, 9.8, 1.0, 2.0), (5, 9.95, 9.99, 1.0, 2.0)])
+    out = buildings.meets_any(mine, one([(9, 0.0, 9.9, 0.0, 9.9), (8, 0.0, 9.9, 0.0, 9.9)]), cell=1.0)
+    assert sorted(r.crop_id for r in out.collect()) == [1, 2, 4]
+    assert sorted(r.crop_id for r in staged["middle-cells"].filter("_in").collect()) == [1]
+    assert staged["covered-cells"].count() == 100
+
+
 def test_each_value_is_shuffled_once(spark):
     rows = [(1.0, 1, False, -9.0, 5), (1.0, 1, False, -8.0, 6), (1.0, 1, True, -99.0, 7)]
     df = spark.createDataFrame(rows, "latitude double, enode int, interpolated boolean, rssi double, campaign int")
