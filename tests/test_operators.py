@@ -416,6 +416,16 @@ def test_each_value_is_shuffled_once(spark):
     assert "min_by" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_documents_are_kept_compressed(spark, tmp_path):
+    d = str(tmp_path / "docs")
+    plain = "campaign string, ue_id string, crop_id string, campaign_id int"
+    made = spark.createDataFrame([("1", "a", str(i), 1) for i in range(9)], plain)
+    wanted = tables._schema.__globals__["StructType"].fromDDL(tables.DOCUMENT)
+    made = made.select(*(F.col(f.name) if f.name in made.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted.fields))
+    tables.write_documents(made, d, 4)
+    assert {p.name.split(".")[-1] for p in (tmp_path / "docs").rglob("part-*")} == {"gz"}
+
+
 def test_places_come_with_the_index(spark):
     from radiopos.plans import crop_queries
 
